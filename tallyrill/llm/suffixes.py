@@ -28,10 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
-from .tables import BLOB, BUCKETS_A_PARTITION, NULL_ID, Lookup, attach, blob_batch, by_bucket, dealt, id_buckets, joined, keyed, pack, partitions, small_batches, written
+from .tables import BLOB, BUCKETS_A_PARTITION, NULL_ID, Dealer, Lookup, attach, blob_batch, by_bucket, id_buckets, joined, keyed, pack, partitions, small_batches, written
 
 GRAM = 32
-FLUSH = 1_500_000
 #: Most suffixes of one task's sorted runs.
 RUN_ROWS = 400_000
 #: Kinds of packed rows.
@@ -40,8 +39,7 @@ WHOLE, EDGE = 0, 1
 
 def _anchored(length: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: list[dict] = []
-        rows = 0
+        out = Dealer()
         for batch in batches:
             for part in X.slices(batch, "text"):
                 raw, at = X.utf8(part.column(2))
@@ -51,16 +49,11 @@ def _anchored(length: int, n: int):
                 a, first, last = X.anchors(grams, at, length, GRAM)
                 context = X.Spans(X.mix(raw.astype(X.U64) + X.U64(77)))(first, last + length)
                 doc = np.searchsorted(at, a, "right") - 1
-                have.append({
+                yield from out.add({
                     "fp": grams[a], "sw": context, "id": part.column(0).to_numpy()[doc], "tag": part.column(1).to_numpy()[doc].astype(np.uint16),
                     "pos": (first - at[doc]).astype(np.int64), "n": (last - first + 1).astype(np.uint16), "off": (a - first).astype(np.uint16),
-                })
-                rows += len(a)
-            if rows > FLUSH:
-                yield from dealt(x := joined(have), (x["fp"] % X.U64(n)).astype(np.int64))
-                have, rows = [], 0
-        if have:
-            yield from dealt(x := joined(have), (x["fp"] % X.U64(n)).astype(np.int64))
+                }, grams[a] % X.U64(n))
+        yield from out.flush()
 
     return run
 
@@ -76,30 +69,35 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
 def _classed(length: int, n: int):
     """Classes of equal contexts among the anchors of one bucket."""
 
-    def run(bucket: int, have: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
-        x = joined(have[0])
-        order = np.argsort(x["fp"], kind="stable")
-        new = _changes(x["fp"][order])
-        size = np.diff(np.append(np.flatnonzero(new), len(order)))
-        x = {k: v[order[np.repeat(size, size) > 1]] for k, v in x.items()}
-        if not len(x["fp"]):
-            return
-        order = np.lexsort((x["pos"], x["tag"], x["id"], x["sw"], x["fp"]))
-        x = {k: v[order] for k, v in x.items()}
-        new_class = _changes(x["fp"], x["sw"])
-        new_row = _changes(x["fp"], x["sw"], x["id"], x["tag"], x["pos"])
-        own = np.zeros(len(order), bool)  # repeats of the representative's own row are the same place
-        own[new_class] = True
-        lead = np.maximum.accumulate(np.where(new_class, np.arange(len(order)), 0))
-        own |= (x["id"] == x["id"][lead]) & (x["tag"] == x["tag"][lead]) & (x["pos"] == x["pos"][lead])
-        again = ~own & new_row
-        yield from dealt({"id": x["id"][again], "tag": x["tag"][again], "pos": x["pos"][again], "end": x["pos"][again] + x["n"][again] + length - 1}, id_buckets(x["id"][again], n), WHOLE)
-        group = np.cumsum(_changes(x["fp"])) - 1
-        several = (np.bincount(group, weights=new_class) > 1)[group] & new_class
-        keep = {k: x[k][several] for k in ("id", "tag", "pos", "n", "off")}
-        yield from dealt(keep | {"to": np.full(int(several.sum()), bucket, np.int32)}, id_buckets(keep["id"], n), EDGE)
+    def make():
+        out = Dealer()
+
+        def fn(bucket: int, have: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
+            x = joined(have[0])
+            order = np.argsort(x["fp"], kind="stable")
+            new = _changes(x["fp"][order])
+            size = np.diff(np.append(np.flatnonzero(new), len(order)))
+            x = {k: v[order[np.repeat(size, size) > 1]] for k, v in x.items()}
+            if not len(x["fp"]):
+                return
+            order = np.lexsort((x["pos"], x["tag"], x["id"], x["sw"], x["fp"]))
+            x = {k: v[order] for k, v in x.items()}
+            new_class = _changes(x["fp"], x["sw"])
+            new_row = _changes(x["fp"], x["sw"], x["id"], x["tag"], x["pos"])
+            own = np.zeros(len(order), bool)  # repeats of the representative's own row are the same place
+            own[new_class] = True
+            lead = np.maximum.accumulate(np.where(new_class, np.arange(len(order)), 0))
+            own |= (x["id"] == x["id"][lead]) & (x["tag"] == x["tag"][lead]) & (x["pos"] == x["pos"][lead])
+            again = ~own & new_row
+            yield from out.add({"id": x["id"][again], "tag": x["tag"][again], "pos": x["pos"][again], "end": x["pos"][again] + x["n"][again] + length - 1}, id_buckets(x["id"][again], n), WHOLE)
+            group = np.cumsum(_changes(x["fp"])) - 1
+            several = (np.bincount(group, weights=new_class) > 1)[group] & new_class
+            keep = {k: x[k][several] for k in ("id", "tag", "pos", "n", "off")}
+            yield from out.add(keep | {"to": np.full(int(several.sum()), bucket, np.int32)}, id_buckets(keep["id"], n), EDGE)
+
+        return fn, out.flush
 
-    return run
+    return make
 
 
 def shared(a: bytes, b: bytes, known: int) -> int:
@@ -264,27 +262,32 @@ def _repeats(group: list[tuple[bytes, bytes, int, int, int]], length: int, out:
 
 
 def _merged(length: int, n: int):
-    def run(_: int, have: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
-        blobs = have[0]
-        runs = [Run(b["lcp"], b["tails"], b["sizes"]) for b in blobs]
-        lefts = [np.concatenate([[0], np.cumsum(b["lsizes"], dtype=np.int64)]).tolist() for b in blobs]
-        places = [list(zip(b["id"].tolist(), b["tag"].tolist(), b["pos"].tolist(), strict=True)) for b in blobs]
-        out: list[tuple[int, int, int, int]] = []
-        group: list[tuple] = []
-        for r, i, suffix, lcp in merge(runs):
-            if lcp < GRAM:
-                if len(group) > 1:
-                    _repeats(group, length, out)
-                group = []
-            group.append((suffix, blobs[r]["left"][lefts[r][i] : lefts[r][i + 1]], *places[r][i]))
-        if len(group) > 1:
-            _repeats(group, length, out)
-        if out:
-            i, tag, pos, end = zip(*out, strict=True)
-            ids = np.array(i, np.int64)
-            yield from dealt({"id": ids, "tag": np.array(tag, np.uint16), "pos": np.array(pos, np.int64), "end": np.array(end, np.int64)}, id_buckets(ids, n), WHOLE)
+    def make():
+        dealer = Dealer()
+
+        def fn(_: int, have: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
+            blobs = have[0]
+            runs = [Run(b["lcp"], b["tails"], b["sizes"]) for b in blobs]
+            lefts = [np.concatenate([[0], np.cumsum(b["lsizes"], dtype=np.int64)]).tolist() for b in blobs]
+            places = [list(zip(b["id"].tolist(), b["tag"].tolist(), b["pos"].tolist(), strict=True)) for b in blobs]
+            out: list[tuple[int, int, int, int]] = []
+            group: list[tuple] = []
+            for r, i, suffix, lcp in merge(runs):
+                if lcp < GRAM:
+                    if len(group) > 1:
+                        _repeats(group, length, out)
+                    group = []
+                group.append((suffix, blobs[r]["left"][lefts[r][i] : lefts[r][i + 1]], *places[r][i]))
+            if len(group) > 1:
+                _repeats(group, length, out)
+            if out:
+                i, tag, pos, end = zip(*out, strict=True)
+                ids = np.array(i, np.int64)
+                yield from dealer.add({"id": ids, "tag": np.array(tag, np.uint16), "pos": np.array(pos, np.int64), "end": np.array(end, np.int64)}, id_buckets(ids, n), WHOLE)
+
+        return fn, dealer.flush
 
-    return run
+    return make
 
 
 KEPT = "id long, tag int, kept binary, n_bytes long, spans array<struct<start: long, end: long>>"

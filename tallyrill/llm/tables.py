@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 #: Stands for a null doc_id inside the operators; it sorts before every other id.
 NULL_ID = -(1 << 63)
-BUCKETS_A_PARTITION = 8
+#: A task makes a packed row for each bucket, so their number is that of tasks times that of buckets: for 100 TB, partitions should hold about 1 GB of text.
+BUCKETS_A_PARTITION = 4
 BLOB = "bucket int, kind int, blob binary"
 
 
@@ -102,24 +103,22 @@ def id_buckets(ids: np.ndarray, n: int) -> np.ndarray:
 
 def pack(arrays: dict[str, np.ndarray | bytes]) -> bytes:
     """Named arrays (or bytes) as one compressed value."""
-    zip_ = zstandard.ZstdCompressor(level=1)
-    out = [struct.pack("<B", len(arrays))]
+    heads, bodies = [struct.pack("<B", len(arrays))], []
     for name, a in arrays.items():
-        kind = b"S" if isinstance(a, bytes) else a.dtype.str[1:].encode()
-        body = zip_.compress(a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes())
-        out.append(struct.pack("<8s4sI", name.encode(), kind, len(body)) + body)
-    return b"".join(out)
+        bodies.append(a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes())
+        heads.append(struct.pack("<7s3sI", name.encode(), b"S" if isinstance(a, bytes) else a.dtype.str[1:].encode(), len(bodies[-1])))
+    return b"".join(heads) + zstandard.ZstdCompressor(level=1).compress(b"".join(bodies))
 
 
 def unpack(blob: bytes) -> dict[str, np.ndarray | bytes]:
-    unzip, at, out = zstandard.ZstdDecompressor(), 1, {}
-    for _ in range(blob[0]):
-        name, kind, size = struct.unpack_from("<8s4sI", blob, at)
-        at += 16
-        body = unzip.decompress(blob[at : at + size])
-        at += size
+    n = blob[0]
+    heads = [struct.unpack_from("<7s3sI", blob, 1 + 14 * i) for i in range(n)]
+    body, at, out = zstandard.ZstdDecompressor().decompress(blob[1 + 14 * n :]), 0, {}
+    for name, kind, size in heads:
         kind = kind.rstrip(b"\0").decode()
-        out[name.rstrip(b"\0").decode()] = body if kind == "S" else np.frombuffer(body, kind)
+        part = body[at : at + size]
+        out[name.rstrip(b"\0").decode()] = part if kind == "S" else np.frombuffer(part, kind)
+        at += size
     return out
 
 
@@ -148,11 +147,36 @@ def dealt(arrays: dict[str, np.ndarray], bucket: np.ndarray, kind: int = 0) -> I
         yield blob_batch(rows[i : i + 512])
 
 
-def by_bucket(blobs: DataFrame, fn: Callable[[int, dict[int, list[dict]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Applies fn(bucket, unpacked blobs by kind) to each bucket, whose blobs meet in one task."""
+class Dealer:
+    """Gathers a task's arrays by kind, to be dealt to buckets together: a task makes one row for each bucket and kind, not one for each call."""
+
+    def __init__(self, most: int = 800_000):
+        self.most, self.rows, self.have = most, 0, {}
+
+    def add(self, arrays: dict[str, np.ndarray], bucket: np.ndarray, kind: int = 0) -> Iterator[pa.RecordBatch]:
+        if len(bucket):
+            self.have.setdefault(kind, []).append(arrays | {"": np.asarray(bucket, np.int64)})
+            self.rows += len(bucket)
+        if self.rows > self.most:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        have, self.have, self.rows = self.have, {}, 0
+        for kind in sorted(have):
+            x = joined(have.pop(kind))
+            bucket = x.pop("")
+            yield from dealt(x, bucket, kind)
+
+
+def by_bucket(blobs: DataFrame, make: Callable[[], tuple], schema: str) -> DataFrame:
+    """The blobs of a bucket meet in one task.
+
+    In each task make() gives two functions: fn(bucket, unpacked blobs by kind), and one for what is left at the end, or None. Both yield batches.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, have = None, {}
+        fn, end = make()
         for batch in batches:
             for bucket, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket != now:
@@ -162,6 +186,8 @@ def by_bucket(blobs: DataFrame, fn: Callable[[int, dict[int, list[dict]]], Itera
                 have.setdefault(kind, []).append(unpack(blob))
         if have:
             yield from fn(now, have)
+        if end:
+            yield from end()
 
     n = partitions(blobs.sparkSession)
     return blobs.select("bucket", "kind", "blob").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
