@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import text as X
 from .suffixes import _changes
-from .tables import BLOB, BUCKETS_A_PARTITION, NULL_ID, Dealer, Lookup, attach, blob_batch, by_bucket, id_buckets, joined, keyed, pack, partitions, small_batches, written
+from .tables import BLOB, BUCKETS_A_PARTITION, Dealer, Lookup, attach, blob_batch, by_bucket, doc_id, id_buckets, joined, keyed, pack, partitions, small_batches, written
 
 GRAM = 16
 #: Ids that a task holds before it hands them on.
@@ -312,4 +312,4 @@ def encode_documents(docs: DataFrame, path: str, mean_chunk: int = 1024, decode:
     owned = attach(keyed(docs), found.where(F.col("kind") == OWN), n, _owned(path, n), BLOB)
     shared = written(by_bucket(found.where(F.col("kind") == PLACES).unionByName(owned), _delivered(n), BLOB))
     out = attach(keyed(docs), shared, n, _assembled(path, mean_chunk, decode), ENCODED)
-    return out.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "ids", "n_tokens", *(["decoded"] if decode else []))
+    return out.select(doc_id(), "ids", "n_tokens", *(["decoded"] if decode else []))

@@ -9,7 +9,6 @@ Null and empty texts have no words; an item without words has no window; items w
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -29,13 +28,18 @@ def normalised(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
+def line(words: list[bytes]) -> str:
+    """A space before, between and after the words; a character for each byte."""
+    return (b" " + b" ".join(words) + b" ").decode("latin-1")
+
+
 def windows(items: list[tuple[int | None, str | None]], size: int) -> dict[str, list[int]]:
     """Every window of the items, each space before, between and after its words, and the items that have it."""
     out: dict[str, set[int]] = {}
     for item, text in items:
         words = normalised(text or "")
         for i in range(max(1, len(words) - size + 1) if words else 0):
-            key = (b" " + b" ".join(words[i : i + size]) + b" ").decode("latin-1")
+            key = line(words[i : i + size])
             own = out.setdefault(key, set())
             if item is not None:
                 own.add(item)
@@ -62,10 +66,10 @@ def _scan(patterns: dict[str, list[int]]):
                 items: set[int] = set()
                 ranges: list[tuple[int, int]] = []
                 if automaton is not None and words:
-                    line = (b" " + b" ".join(words) + b" ").decode("latin-1")
-                    hits = list(automaton.iter(line))
+                    scanned = line(words)
+                    hits = list(automaton.iter(scanned))
                     if hits:
-                        spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
+                        spaces = np.flatnonzero(np.frombuffer(scanned.encode("latin-1"), np.uint8) == 32)
                         last = np.searchsorted(spaces, [end for end, _ in hits])
                         for stop, (_, (size, ids)) in zip(last.tolist(), hits, strict=True):
                             items.update(ids)
@@ -91,6 +95,14 @@ def _scan(patterns: dict[str, list[int]]):
     return run
 
 
+def _patterns(benchmark: DataFrame, size: int, most_bytes: int) -> dict[str, list[int]]:
+    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total > most_bytes:
+        raise ValueError(f"the benchmark has {total} bytes; at most {most_bytes} go into one automaton: pass it in parts, or raise most_bytes")
+    return windows([tuple(r) for r in items.collect()], size)
+
+
 def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, most_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, row_tag (hash of the text), n_words, n_hit, items, spans (characters of the original): one row for each row of ``docs``.
 
@@ -98,13 +110,20 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, most_bytes: int
     """
     spark = docs.sparkSession
     small_batches(spark)
-    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total > most_bytes:
-        raise ValueError(f"the benchmark has {total} bytes; at most {most_bytes} go into one automaton: pass it in parts, or raise most_bytes")
-    patterns = windows([tuple(r) for r in items.collect()], size)
+    patterns = _patterns(benchmark, size, most_bytes)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("row_tag"), docs["text"].cast("string").alias("text")).mapInArrow(_scan(patterns), FOUND)
 
 
-def sha256_of_items(items: list[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, most_bytes: int = 64 << 20) -> DataFrame:
+    """The rows of ``docs`` in which no window of the benchmark occurs, all columns as they are."""
+    small_batches(docs.sparkSession)
+    patterns = _patterns(benchmark, size, most_bytes)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(patterns) if patterns else None
+        for batch in batches:
+            ok = [automaton is None or next(automaton.iter(line(normalised(v.as_py() or ""))), None) is None for v in batch.column(at)]
+            yield batch.filter(pa.array(ok, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

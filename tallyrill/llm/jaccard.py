@@ -389,5 +389,5 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of ``docs``."""
-    null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
+    null = lambda c: F.when(F.col(c) > NULL_ID, F.col(c))
     return components(docs, k, num, den).select(null("id").alias("doc_id"), "n_shingles", null("component").alias("component_id"))

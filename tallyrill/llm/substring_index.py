@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import text as X
 from .suffixes import _changes
-from .tables import BLOB, BUCKETS_A_PARTITION, NULL_ID, Dealer, Lookup, attach, by_bucket, dealt, id_buckets, joined, keyed, partitions, small_batches, written
+from .tables import BLOB, BUCKETS_A_PARTITION, Dealer, Lookup, attach, by_bucket, dealt, doc_id, id_buckets, joined, keyed, partitions, small_batches, written
 
 GRAM = 8
 #: Kinds of packed rows: words that repeat for certain, entries to verify.
@@ -238,4 +238,4 @@ def remove_repeats(docs: DataFrame, window: int = 35, batches: int = 2) -> DataF
         found = part if found is None else found.unionByName(part)
     index.compact()
     out = attach(keyed(docs), found, index.n, lambda: (keep_words, None), KEPT)
-    return out.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "kept", "n_words", "n_removed", "spans")
+    return out.select(doc_id(), "kept", "n_words", "n_removed", "spans")

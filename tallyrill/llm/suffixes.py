@@ -23,12 +23,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import text as X
-from .tables import BLOB, BUCKETS_A_PARTITION, NULL_ID, Dealer, Lookup, attach, blob_batch, by_bucket, id_buckets, joined, keyed, pack, partitions, small_batches, written
+from .tables import BLOB, BUCKETS_A_PARTITION, Dealer, Lookup, attach, blob_batch, by_bucket, doc_id, id_buckets, joined, keyed, pack, partitions, small_batches, written
 
 GRAM = 32
 #: Most suffixes of one task's sorted runs.
@@ -290,7 +292,7 @@ def _merged(length: int, n: int):
     return make
 
 
-KEPT = "id long, tag int, kept binary, n_bytes long, spans array<struct<start: long, end: long>>"
+KEPT = "kept binary, n_bytes long, spans array<struct<start: long, end: long>>"
 
 
 def cut_out(batch: pa.RecordBatch, have: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +320,8 @@ def cut_out(batch: pa.RecordBatch, have: dict[int, list[dict]]) -> Iterator[pa.R
             pa.StructArray.from_arrays([pa.array(starts - at[doc]), pa.array(ends - at[doc])], ["start", "end"]),
         )
         binary = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(new.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(kept))])
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), binary, pa.array(np.diff(at)), spans], names=["id", "tag", "kept", "n_bytes", "spans"])
+        with_it = [n for n in part.schema.names if n not in ("tag", "text")]
+        yield pa.RecordBatch.from_arrays([binary, pa.array(np.diff(at)), spans, *(part.column(n) for n in with_it)], names=["kept", "n_bytes", "spans", *with_it])
 
 
 def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -334,11 +337,20 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     return found.where(F.col("kind") == WHOLE).unionByName(edges)
 
 
-def dedup_substrings(docs: DataFrame, length: int = 100) -> DataFrame:
-    """doc_id, kept (binary), n_bytes, spans: one row for each row of ``docs``."""
-    spark = docs.sparkSession
+def dedup_substrings(docs: DataFrame, length: int = 100, with_it: str | None = None) -> DataFrame:
+    """doc_id, kept (binary), n_bytes, spans: one row for each row of ``docs``. ``with_it``: a column of ``docs`` to return, too."""
     found = repeats(docs, length)
-    n = partitions(spark) * BUCKETS_A_PARTITION
-    out = attach(keyed(docs), found, n, lambda: (cut_out, None), KEPT)
+    n = partitions(docs.sparkSession) * BUCKETS_A_PARTITION
+    rows = keyed(docs, *([docs[with_it].alias("with_it")] if with_it else []))
+    schema = T.StructType([*T._parse_datatype_string(KEPT).fields, *(f for f in rows.schema.fields if f.name not in ("tag", "text"))])
+    return attach(rows, found, n, lambda: (cut_out, None), schema).select(doc_id(), "kept", "n_bytes", "spans", *([F.col("with_it").alias(with_it)] if with_it else []))
+
+
+def whole_characters(column: str) -> Column:
+    """UTF-8 bytes as text, without the bytes of characters that a cut has parted."""
+
+    @F.pandas_udf("string")
+    def decoded(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else bytes(v).decode("utf-8", "ignore"))
 
-    return out.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "kept", "n_bytes", "spans")
+    return decoded(column)

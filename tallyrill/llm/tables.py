@@ -13,9 +13,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Stands for a null doc_id inside the operators; it sorts before every other id.
-NULL_ID = -(1 << 63)
+#: Inside the operators a null doc_id is an id up to this one, told apart by the text's hash; it sorts before every other id.
+NULL_ID = -(1 << 62)
 #: A task makes a packed row for each bucket, so their number is that of tasks times that of buckets: for 100 TB, partitions should hold about 1 GB of text.
 BUCKETS_A_PARTITION = 4
 BLOB = "bucket int, kind int, blob binary"
@@ -70,13 +71,18 @@ def keyed(docs: DataFrame, *more: str | Column) -> DataFrame:
     Rows that repeat both doc_id and text are one document for the operators; rows that share a doc_id only are told apart by the tag.
     """
     return docs.select(
-        F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("id"),
+        F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID) - F.xxhash64(docs["text"]).bitwiseAND(F.lit((1 << 61) - 1))).alias("id"),
         F.xxhash64(docs["text"]).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("tag"),
         docs["text"].cast("string").alias("text"),
         *more,
     )
 
 
+def doc_id() -> Column:
+    """The doc_id of keyed rows, null where it was null."""
+    return F.when(F.col("id") > NULL_ID, F.col("id")).alias("doc_id")
+
+
 def id_bucket(n: int) -> Column:
     return F.pmod(F.hash("id"), F.lit(n))
 
@@ -193,15 +199,16 @@ def by_bucket(blobs: DataFrame, make: Callable[[], tuple], schema: str) -> DataF
     return blobs.select("bucket", "kind", "blob").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
-def attach(docs: DataFrame, blobs: DataFrame, n_buckets: int, make: Callable[[], tuple], schema: str) -> DataFrame:
-    """Brings packed findings to the documents they are about.
+def attach(docs: DataFrame, blobs: DataFrame, n_buckets: int, make: Callable[[], tuple], schema: str | T.StructType) -> DataFrame:
+    """Brings packed findings to the documents (as keyed() gives them) they are about. Further columns of documents go with them.
 
     In each task make() gives two functions: fn(documents, blobs of their bucket by kind), and one for what is left at the end, or None. Both yield batches.
 
     Each bucket's blobs come first and its documents after them, batch by batch, so a task holds the findings of one bucket and one batch of texts.
     """
-    docs = docs.select(id_bucket(n_buckets).cast("int").alias("bucket"), F.lit(1 << 20).alias("kind"), F.lit(None).cast("binary").alias("blob"), "id", "tag", "text")
-    blobs = blobs.select("bucket", "kind", "blob", F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("tag"), F.lit(None).cast("string").alias("text"))
+    columns = docs.schema.fields
+    docs = docs.select(id_bucket(n_buckets).cast("int").alias("bucket"), F.lit(1 << 20).alias("kind"), F.lit(None).cast("binary").alias("blob"), *docs.columns)
+    blobs = blobs.select("bucket", "kind", "blob", *(F.lit(None).cast(f.dataType).alias(f.name) for f in columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, have = None, {}
@@ -215,7 +222,7 @@ def attach(docs: DataFrame, blobs: DataFrame, n_buckets: int, make: Callable[[],
                 if kind[i] < 1 << 20:
                     have.setdefault(int(kind[i]), []).extend(unpack(b) for b in batch.column(2).slice(i, j - i).to_pylist())
                 else:
-                    yield from fn(batch.select(["id", "tag", "text"]).slice(i, j - i), have)
+                    yield from fn(batch.select(list(range(3, batch.num_columns))).slice(i, j - i), have)
         if end:
             yield from end()
 

@@ -185,3 +185,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out)], names=["doc_id", "score"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCORED)
+
+
+def below(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The rows of ``docs`` with a score below the threshold, all columns as they are."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in X.slices(batch, "text"):
+                ok = 1 / (1 + np.exp(-np.clip(model.logits(part.column(at)), -500, 500))) < threshold
+                yield part.filter(pa.array(ok))
+
+    return docs.mapInArrow(run, docs.schema)
