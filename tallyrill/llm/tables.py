@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 #: Inside the operators a null doc_id is an id up to this one, told apart by the text's hash; it sorts before every other id.
 NULL_ID = -(1 << 62)
 #: A task makes a packed row for each bucket, so their number is that of tasks times that of buckets: for 100 TB, partitions should hold about 1 GB of text.
-BUCKETS_A_PARTITION = 4
+BUCKETS_A_PARTITION = 2
 BLOB = "bucket int, kind int, blob binary"
 
 
@@ -196,7 +196,7 @@ def by_bucket(blobs: DataFrame, make: Callable[[], tuple], schema: str) -> DataF
             yield from end()
 
     n = partitions(blobs.sparkSession)
-    return blobs.select("bucket", "kind", "blob").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return blobs.select("bucket", "kind", "blob").repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
 def attach(docs: DataFrame, blobs: DataFrame, n_buckets: int, make: Callable[[], tuple], schema: str | T.StructType) -> DataFrame:
@@ -227,7 +227,7 @@ def attach(docs: DataFrame, blobs: DataFrame, n_buckets: int, make: Callable[[],
             yield from end()
 
     n = partitions(docs.sparkSession)
-    return docs.unionByName(blobs).repartition(n, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, schema)
+    return docs.unionByName(blobs).repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket", "kind").mapInArrow(run, schema)
 
 
 class Lookup:
