@@ -12,3 +12,9 @@ def checked(value: Column, fault: Column, node: str, on_missing: str, on_invalid
         if action == "error":
             value = F.when(fault == kind, F.raise_error(F.lit(f"{node}: a field is {kind}"))).otherwise(value)
     return value
+
+
+def kept(fault: Column, on_missing: str, on_invalid: str) -> Column:
+    """Records without a fault, and those whose policy is to fail: reading their value does."""
+    skipped = [kind for kind, action in (("missing", on_missing), ("invalid", on_invalid)) if action == "skip"]
+    return (fault.isNull() | ~fault.isin(skipped)) if skipped else F.lit(True)

@@ -6,16 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from .faults import checked
+from .faults import checked, kept
 
 
 def apply(df: DataFrame, value: str, name: str | None = None, on_missing: str = "skip", on_invalid: str = "skip", node: str = "map") -> DataFrame:
     result, fault = expr.compiled(expr.parse(value))
     new = checked(result, fault, node, on_missing, on_invalid)
-    # a fault under "error" is kept by the filter, so that the check in the value meets it
-    skipped = [kind for kind, action in (("missing", on_missing), ("invalid", on_invalid)) if action == "skip"]
-    out = df.withColumns({"_fault": fault, "_new": new})
-    out = out.where(F.col("_fault").isNull() | ~F.col("_fault").isin(skipped)) if skipped else out
+    out = df.withColumns({"_fault": fault, "_new": new}).where(kept(F.col("_fault"), on_missing, on_invalid))
     return out.withColumns({"value": F.col("_new")} | ({"name": F.lit(name)} if name is not None else {})).drop("_fault", "_new")
 
 

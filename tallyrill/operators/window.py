@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.record import SEQ, attr_map, fault, lookup, numeric
-from .faults import checked
+from .faults import checked, kept
 
 #: Ranges of SEQ for the running maximum; their maxima are one small table.
 RANGES = 256
@@ -92,6 +92,10 @@ def prepared(df: DataFrame, spec: Spec) -> DataFrame:
     return df.select("ts_nanos", "name", number.alias("_number"), wrong.alias("_fault"), *keys, *([SEQ] if SEQ in df.columns else []))
 
 
+def readable(spec: Spec) -> Column:
+    return kept(F.col("_fault"), spec.on_missing, spec.on_invalid)
+
+
 def emitted(groups: DataFrame, spec: Spec) -> DataFrame:
     """Records of groups (``_start``, keys, ``_value``, ``_name``): an event at the window's end."""
     keys = {k: F.col(c) for k, c in zip(spec.group_by, key_columns(spec), strict=True)}
@@ -128,7 +132,7 @@ def with_watermark(df: DataFrame, spec: Spec) -> DataFrame:
 
 def _live(df: DataFrame, spec: Spec) -> DataFrame:
     """Records with the windows that hadn't fired when they came."""
-    rows = with_watermark(prepared(df, spec), spec).where("_fault is null")
+    rows = with_watermark(prepared(df, spec), spec).where(readable(spec))
     return with_starts(rows, spec).where(F.col("_start") + F.lit(spec.size) > F.col("_before"))
 
 
@@ -147,7 +151,7 @@ def apply(df: DataFrame, spec: Spec, exact: bool | None = None) -> DataFrame:
         exact = SEQ in df.columns and spec.max_groups is not None
     if exact and SEQ not in df.columns:
         raise ValueError(f"{spec.node}: exact windows need the order of arrival in {SEQ}")
-    rows = _live(df, spec) if exact else with_starts(prepared(df, spec).where("_fault is null"), spec)
+    rows = _live(df, spec) if exact else with_starts(prepared(df, spec).where(readable(spec)), spec)
     return emitted(_groups(rows, spec, exact), spec)
 
 

@@ -100,6 +100,7 @@ class _Windows(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         w, out = self._loaded(), []
         for pdf in rows:
+            pdf.columns = ["ts_nanos", "name", "_number", "_fault", "_keys", "_node"]  # the optimizer may have renamed them
             for ts, k, name, number in zip(pdf["ts_nanos"], pdf["_keys"], pdf["name"], pdf["_number"].astype(object).where(pdf["_fault"].isna(), None), strict=True):
                 out += w.record(int(ts), k, name, None if number is None else float(number))
         self.state.update((w.dump(),))
@@ -141,6 +142,7 @@ class _Deltas(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
         for pdf in rows:
+            pdf.columns = ["value", "_monotonic", "_row", "_series"]
             out = []
             for v, monotonic in zip(pdf["value"], pdf["_monotonic"], strict=True):
                 out.append(None if last is None else v if monotonic and v < last else v - last)

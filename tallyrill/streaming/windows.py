@@ -15,7 +15,7 @@ from ..functions.record import ATTR, attr, attr_map, fault, numeric
 from ..operators import window
 from . import stateful
 
-#: Carries the watermark from node to node.
+#: Carries the watermark from node to node; the digits after it count the windows that the records have gone through.
 TIME = "_time"
 
 
@@ -29,47 +29,55 @@ def _interval(us: int) -> str:
     return f"{us} microseconds"
 
 
+def time_column(df: DataFrame) -> str | None:
+    return next((c for c in df.columns if c.startswith(TIME)), None)
+
+
 def with_time(df: DataFrame, lateness_us: int) -> DataFrame:
-    if TIME in df.columns:
+    if time_column(df):
         return df  # the output of a window has its time and watermark
-    # with_time is applied to records: nanoseconds within a microsecond never part a window
-    return df.withColumn(TIME, F.timestamp_micros(F.floor(F.col("ts_nanos") / 1000).cast("bigint"))).withWatermark(TIME, _interval(lateness_us))
+    # nanoseconds within a microsecond never part a window
+    return df.withColumn(f"{TIME}0", F.timestamp_micros(F.floor(F.col("ts_nanos") / 1000).cast("bigint"))).withWatermark(f"{TIME}0", _interval(lateness_us))
 
 
 def apply(df: DataFrame, spec: window.Spec, idle: int | None = None) -> DataFrame:
     if spec.max_groups is not None or idle is not None:
         return stateful.window(df, spec, idle)
     size, step = _micros(spec.size, "size"), _micros(spec.step, "slide")
-    chained = TIME in df.columns
     timed = with_time(df, _micros(spec.lateness, "allowed_lateness"))
+    time = time_column(timed)
+    shift = int(time.removeprefix(TIME))
     number, wrong = window.reading(spec)
     number = window.checked(number, wrong, spec.node, spec.on_missing, spec.on_invalid)
     keys = [window.lookup(k).alias(c) for k, c in zip(spec.group_by, window.key_columns(spec), strict=True)]
-    rows = timed.select(TIME, "name", number.alias("_number"), wrong.alias("_fault"), *keys).where("_fault is null")
-    # a window's time is the last microsecond before its end; shifted by one, its end falls where a record at that time would
-    bounds = F.window(TIME, _interval(size), _interval(step), _interval(step - 1)) if chained else F.window(TIME, _interval(size), _interval(step))
-    shift = 1 if chained else 0
+    rows = timed.select(time, "name", number.alias("_number"), wrong.alias("_fault"), *keys).where(window.readable(spec))
+    # a window's time is a microsecond before its end, and one more for each window before; shifted so, its end falls where a record at that time would
+    bounds = F.window(time, _interval(size), _interval(step), _interval((-shift) % step))
     names = [] if spec.name is not None else [F.first("name").alias("_name")]
     groups = rows.groupBy(bounds.alias("_w"), *window.key_columns(spec)).agg(window.result(spec).alias("_value"), *names)
     start = (F.unix_micros("_w.start") + shift) * 1000
-    groups = groups.withColumn("_start", start).where("_start >= 0").withColumn(TIME, F.window_time("_w"))
+    groups = groups.withColumn("_start", start).where("_start >= 0").withColumn(f"{TIME}{shift + 1}", F.window_time("_w"))
     keyed = {k: F.col(c) for k, c in zip(spec.group_by, window.key_columns(spec), strict=True)}
     return groups.select(
         (F.col("_start") + F.lit(spec.size)).alias("ts_nanos"), F.col("_start").alias("start_ts_nanos"), attr_map({}).alias("resource"), F.lit(None).cast("string").alias("scope"),
-        (F.lit(spec.name) if spec.name is not None else F.col("_name")).alias("name"), F.col("_value").alias("value"), attr_map(keyed).alias("attrs"), TIME,
+        (F.lit(spec.name) if spec.name is not None else F.col("_name")).alias("name"), F.col("_value").alias("value"), attr_map(keyed).alias("attrs"), f"{TIME}{shift + 1}",
     )
 
 
 def join(inputs: dict[str, DataFrame], group_by: list[str], value: str | None = None, name: str | None = None, node: str = "join") -> DataFrame:
     """Inner joins of windowed streams on bounds and labels, input by input."""
     out: DataFrame | None = None
+    times = {time_column(df) for df in inputs.values()}
+    if len(times) != 1 or None in times:
+        raise ValueError(f"{node}: its inputs are windows that have gone through equally many windows")
+    time = times.pop()
     keys = [f"_k{i}" for i in range(len(group_by))]
     for n, df in enumerate(inputs.values()):
-        part = df.select(TIME, "start_ts_nanos", "ts_nanos", F.col("value").alias(f"_v{n}"), *(F.col("attrs").getItem(k).alias(c) for k, c in zip(group_by, keys, strict=True)))
+        part = df.select(time, "start_ts_nanos", "ts_nanos", F.col("value").alias(f"_v{n}"), *(F.col("attrs").getItem(k).alias(c) for k, c in zip(group_by, keys, strict=True)))
         if out is None:
             out = part
             continue
-        on = (out[TIME] == part[TIME]) & (out["start_ts_nanos"] == part["start_ts_nanos"]) & (out["ts_nanos"] == part["ts_nanos"])
+        on = (out[time] == part[time]) & (out["start_ts_nanos"] == part["start_ts_nanos"]) & (out["ts_nanos"] == part["ts_nanos"])
         for k in keys:
             on = on & out[k].eqNullSafe(part[k])
         out = out.join(part, on).select(*(out[c] for c in out.columns), part[f"_v{n}"])
@@ -94,5 +102,5 @@ def join(inputs: dict[str, DataFrame], group_by: list[str], value: str | None =
         out = out.where(wrong.isNull())
     return out.select(
         "ts_nanos", "start_ts_nanos", F.create_map().cast(f"map<string,{ATTR}>").alias("resource"), F.lit(None).cast("string").alias("scope"),
-        F.lit(name if name is not None else node).alias("name"), result.alias("value"), attr_map(labels).alias("attrs"), TIME,
+        F.lit(name if name is not None else node).alias("name"), result.alias("value"), attr_map(labels).alias("attrs"), time,
     )
