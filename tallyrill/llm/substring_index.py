@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import text as X
 from .suffixes import _changes
-from .tables import BLOB, BUCKETS_A_PARTITION, Dealer, Lookup, attach, by_bucket, dealt, doc_id, id_buckets, joined, keyed, partitions, small_batches, written
+from .tables import BLOB, BUCKETS_A_PARTITION, Dealer, Lookup, attach, by_bucket, collect_garbage, dealt, doc_id, id_buckets, joined, keyed, partitions, small_batches, written
 
 GRAM = 8
 #: Kinds of packed rows: words that repeat for certain, entries to verify.
@@ -237,5 +237,6 @@ def remove_repeats(docs: DataFrame, window: int = 35, batches: int = 2) -> DataF
         part = index.add(docs.where(F.pmod(F.xxhash64(docs["doc_id"]), F.lit(batches)) == b))
         found = part if found is None else found.unionByName(part)
     index.compact()
+    collect_garbage(spark)
     out = attach(keyed(docs), found, index.n, lambda: (keep_words, None), KEPT)
     return out.select(doc_id(), "kept", "n_words", "n_removed", "spans")

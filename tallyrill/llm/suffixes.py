@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as X
-from .tables import BLOB, BUCKETS_A_PARTITION, Dealer, Lookup, attach, blob_batch, by_bucket, doc_id, id_buckets, joined, keyed, pack, partitions, small_batches, written
+from .tables import BLOB, BUCKETS_A_PARTITION, Dealer, Lookup, attach, blob_batch, by_bucket, collect_garbage, doc_id, id_buckets, joined, keyed, pack, partitions, small_batches, written
 
 GRAM = 32
 #: Most suffixes of one task's sorted runs.
@@ -340,6 +340,7 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
 def dedup_substrings(docs: DataFrame, length: int = 100, with_it: str | None = None) -> DataFrame:
     """doc_id, kept (binary), n_bytes, spans: one row for each row of ``docs``. ``with_it``: a column of ``docs`` to return, too."""
     found = repeats(docs, length)
+    collect_garbage(docs.sparkSession)
     n = partitions(docs.sparkSession) * BUCKETS_A_PARTITION
     rows = keyed(docs, *([docs[with_it].alias("with_it")] if with_it else []))
     schema = T.StructType([*T._parse_datatype_string(KEPT).fields, *(f for f in rows.schema.fields if f.name not in ("tag", "text"))])
