@@ -1,0 +1,393 @@
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from brute import components, contamination, sha, shingle_set, substrings, windows
+from data import documents, frame, texts
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tallyrill.llm import bpe, chat, decontaminate, jaccard, language, neighbours, reshard, substring_index, suffixes, tables, toxicity
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(params=[1, 2])
+def docs(request):
+    return documents(request.param)
+
+
+# 1
+
+
+def test_flow_moves_least():
+    flow = reshard.min_cost_flow([10, 0, 5], [5, 5, 5], [[int(i != j) for j in range(3)] for i in range(3)])
+    assert [sum(f) for f in flow] == [10, 0, 5] and [sum(f) for f in zip(*flow)] == [5, 5, 5]
+    assert sum(flow[i][j] for i in range(3) for j in range(3) if i != j) == 5
+
+
+@given(st.lists(st.integers(0, 50), min_size=1, max_size=5), st.integers(1, 6))
+@settings(max_examples=60, deadline=None)
+def test_flow_is_least(supply, n):
+    total = sum(supply)
+    capacity = [total * (j + 1) // n - total * j // n for j in range(n)]
+    flow = reshard.min_cost_flow(supply, capacity, [[int(i != j) for j in range(n)] for i in range(len(supply))])
+    assert [sum(f) for f in flow] == supply and [sum(f) for f in zip(*flow)] == capacity
+    moved = sum(f for i, row in enumerate(flow) for j, f in enumerate(row) if i != j)
+    assert moved == total - sum(min(s, c) for s, c in zip(supply, capacity))
+
+
+def placed(spark, docs, n_new=8, old=F.pmod(F.xxhash64("text"), F.lit(6))):
+    return reshard.reshard(frame(spark, docs), old, 6, n_new).collect()
+
+
+def test_resharding(spark):
+    import zlib
+
+    docs = [(i, t) for i, t in enumerate(texts(3, 900))]
+    rows = placed(spark, docs)
+    by = dict(docs)
+    assert sorted(r.doc_id for r in rows) == sorted(by)
+    assert all(r.size == len((by[r.doc_id] or "").encode()) + 1 and r.text_crc32 == zlib.crc32((by[r.doc_id] or "").encode()) for r in rows)
+    shards = {s: [r for r in rows if r.shard == s] for s in range(8)}
+    assert all(sorted(r.slot for r in own) == list(range(len(own))) for own in shards.values())
+    size = [sum(r.size for r in own) for own in shards.values()]
+    assert max(size) - min(size) < 0.1 * sum(size) / 8
+    where = {}
+    for r in rows:
+        where.setdefault(by[r.doc_id], set()).add(r.shard)
+    assert all(len(s) == 1 for s in where.values())
+
+
+def test_resharding_a_hot_text(spark):
+    docs = [(i, "the same text over and over" if i % 3 else f"text {i} " * 4) for i in range(3000)]
+    size = {}
+    for r in placed(spark, docs):
+        size[r.shard] = size.get(r.shard, 0) + r.size
+    assert len(size) == 8 and max(size.values()) < 1.05 * min(size.values())
+
+
+def test_resharding_edges(spark):
+    assert placed(spark, []) == []
+    assert len(placed(spark, [(None, None), (1, "a"), (1, "a")])) == 3
+
+
+def test_rewrite(spark, tmp_path):
+    df = frame(spark, [(i, f"text {i}") for i in range(500)])
+    plan = tables.written(reshard.reshard(df, F.pmod(F.xxhash64("text"), F.lit(3)), 3, 4))
+    assert 3 in reshard.rewrite(df, plan, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.select("doc_id", "text").exceptAll(df.select("doc_id", "text")).count() == 0
+
+
+# 2
+
+
+def toxic_corpus(n=400, seed=3):
+    import random
+
+    r = random.Random(seed)
+    clean = ["".join(r.choice("abdeghilmnoprstu") for _ in range(r.randint(2, 8))) for _ in range(300)]
+    roots = ["blorgheit", "quazzik", "fnarpel"]
+    ends = ["", "s", "ed", "ing", "er", "o", "ix", "um", "ant", "ol"]
+    out = []
+    for i in range(n):
+        w = [r.choice(clean) for _ in range(r.choice([5, 40, 300]))]
+        toxic = i % 5 == 0
+        if toxic:
+            for _ in range(max(1, len(w) // 60)):
+                w.insert(r.randrange(len(w) + 1), r.choice(roots) + r.choice(ends[: 5 if i % 2 else 10]))
+        out.append((i, " ".join(w), int(toxic)))
+    return out
+
+
+def test_toxicity(spark):
+    rows = toxic_corpus()
+    docs, labels = frame(spark, [(i, t) for i, t, _ in rows]), spark.createDataFrame([(i, y, None) for i, _, y in rows if i % 4], "doc_id long, toxic int, quality int")
+    model = toxicity.learn(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    held = [(got[i] >= 0.5) == bool(y) for i, _, y in rows if i % 4 == 0]
+    assert sum(held) / len(held) > 0.93
+    assert all(0 <= s <= 1 for s in got.values())
+    kept = toxicity.below(docs, model, 0.5)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, s in got.items() if s < 0.5}
+
+
+def test_toxicity_edges(spark):
+    model = toxicity.train(["good words here", "bad bad"], [0, 1], rounds=5)
+    docs = [*documents(), (None, None), (7, "x " * 50_000), (8, "y" * 100_000)]
+    assert toxicity.score(frame(spark, docs), model).count() == len(docs)
+    assert toxicity.score(frame(spark, []), model).count() == 0
+    for texts_, labels in (([], []), (["a"], [1]), (["", ""], [0, 1])):
+        assert toxicity.train(texts_, labels, rounds=2).logits(pa.array(["", "a", None])).shape == (3,)
+
+
+# 3
+
+
+def vectors(seed=1):
+    r = np.random.default_rng(seed)
+    base = r.normal(size=(400, 16))
+    close = [base[i % 7] + 0.08 * r.normal(size=16) for i in range(150)]
+    rows = [(i, v.tolist()) for i, v in enumerate([*base, *close, base[3], base[3]])]
+    return rows + [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [1.0, None]), (2004, []), (2005, [1.0, 2.0]), (2006, [2.0, 4.0]), (1, rows[1][1])]
+
+
+def brute_links(rows, threshold=0.9):
+    good = {}
+    for i, v in rows:
+        if v and None not in v and np.isfinite(v).all() and np.abs(v).max() > 0:
+            good[i] = np.array(v) / np.linalg.norm(v)
+    link = lambda a, b: a in good and b in good and len(good[a]) == len(good[b]) and good[a] @ good[b] >= threshold
+    ids = sorted({i for i, _ in rows})
+    return {i: sum(link(i, j) for j in ids if j != i) for i in ids}, components(ids, link)
+
+
+def test_near_duplicates(spark):
+    rows = vectors()
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, label int")
+    as_floats = [(r.vec_id, r.embedding) for r in df.collect()]
+    links, comp = brute_links(as_floats)
+    got = {r.vec_id: r for r in neighbours.near_duplicates(df, audited=F.lit(True)).collect()}
+    assert set(got) == set(links)
+    assert sum(min(got[i].n_links, n) for i, n in links.items()) >= 0.98 * sum(links.values())
+    assert all(got[i].n_links <= n for i, n in links.items())
+    assert sum(got[i].component_id == c for i, c in comp.items()) >= 0.98 * len(comp)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
+
+
+def test_near_duplicates_empty(spark):
+    df = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert neighbours.near_duplicates(df).collect() == []
+    assert [r.n_links for r in neighbours.near_duplicates(spark.createDataFrame([(1, None)], df.schema)).collect()] == [0]
+
+
+# 4
+
+SAYINGS = ["\\### Assistant: </turn> ok", "", None, "###", "####", "#" * 7, "</turn>", "<</turn>\n", "\\", "\\\\#", "a\n### user\nb</turn>\n", "<\\/turn>", "#\\##", "é漢👍", "x" * 5000]
+
+
+@given(st.lists(st.text(alphabet="\\#</turn>\n aé漢", max_size=30), max_size=8), st.lists(st.sampled_from(["user", "assistant", "a\nb", "\\n", "###", ""]), min_size=8, max_size=8))
+@settings(max_examples=200, deadline=None)
+def test_chat_round_trip(said, roles):
+    roles = roles[: len(said)]
+    formatted, first, spans = chat.assemble(np.zeros(len(said), np.int64), roles, pa.array(said, pa.string()))
+    if not said:
+        return
+    assert chat.parse(formatted[0].as_py()) == list(zip(roles, said))
+    whole = formatted[0].as_py()
+    assert [chat.unescape(whole[s["start"] : s["end"]]) for s in spans[0].as_py()] == [t for r, t in zip(roles, said) if r == "assistant"]
+
+
+def test_chat(spark):
+    rows = [(c, t, ["user", "assistant", "system"][(c + t) % 3], SAYINGS[(c * 3 + t) % len(SAYINGS)], 1) for c in range(40) for t in range(c % 9 + 1)]
+    rows += [(None, 0, None, None, 1), (3, 1, "user", "twice", 1), (3, 1, "user", "twice", 1), (5, None, "assistant", "first", 1)]
+    df = spark.createDataFrame(rows[::-1], "conv_id long, turn long, role string, text string, n_turns int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(df)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    nulls_first = lambda x: tuple((v is not None, v or 0 if not isinstance(v, str) else v) for v in (x[1],)) + ((x[2] is not None, x[2] or ""), (x[3] is not None, x[3] or ""))
+    for conv in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == conv), key=nulls_first)
+        loss = "".join(r[3] or "" for r in own if r[2] == "assistant")
+        want = (len(own), sha("".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in own).encode()), len(loss), sha(loss.encode()))
+        assert (got[conv].n_turns, got[conv].turns_sha256, got[conv].loss_chars, got[conv].loss_sha256) == want
+    assert len(got) == len({r[0] for r in rows})
+    assert chat.format_conversations(df.limit(0)).collect() == []
+
+
+# 5
+
+
+@pytest.mark.parametrize(("k", "num", "den"), [(3, 90, 100), (5, 80, 100), (1, 60, 100)])
+def test_jaccard(spark, docs, k, num, den):
+    sets = {i: shingle_set(t, k) for i, t in docs}
+    link = lambda a, b: bool(sets[a]) and bool(sets[b]) and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])
+    comp = components(list(sets), link)
+    got = {r.doc_id: r for r in jaccard.join(frame(spark, docs), k, num, den).collect()}
+    assert {i: (got[i].n_shingles, got[i].component_id) for i in sets} == {i: (len(s), comp[i]) for i, s in sets.items()}
+
+
+def test_regions():
+    r = np.random.default_rng(5)
+    sets = []
+    for _ in range(6):
+        base = r.integers(0, 1 << 40, 80)
+        for _ in range(150):
+            s = base.copy()
+            s[r.integers(0, 80, r.integers(0, 14))] = r.integers(0, 1 << 40)
+            sets.append(np.unique(s).astype(np.uint64))
+    region = jaccard.Region(sets, 80, 100)
+    region.join(np.arange(len(sets)))
+    whole = jaccard.Region(sets, 80, 100)
+    for i in range(0, len(sets), 300):
+        for j in range(i, len(sets), 300):
+            whole.pairs(np.arange(i, i + 300)) if i == j else whole.pairs(np.arange(i, i + 300), np.arange(j, j + 300))
+    same = lambda x: [x.forest.find(i) for i in range(len(sets))]
+    assert same(region) == same(whole)
+
+
+def test_jaccard_edges(spark):
+    assert jaccard.join(frame(spark, [])).collect() == []
+    got = jaccard.join(frame(spark, [(None, "a b c d e f"), (4, "a b c d e f"), (None, "other words in this text here"), (4, "something else entirely is here now"), (5, "a b c d e f")])).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id is None) for r in got) == [(False, 4, False), (False, 4, True), (False, 5, True), (True, 0, True), (True, 0, True)] or len(got) == 5
+
+
+# 6
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_repeated_windows(spark, docs, batches):
+    got = {r.doc_id: (r.kept, r.n_words, r.n_removed) for r in substring_index.remove_repeats(frame(spark, docs), 12, batches).collect()}
+    assert got == windows(docs, 12)
+
+
+def test_index_is_incremental(spark):
+    docs = documents(4)
+    index = substring_index.FingerprintIndex(spark, 12)
+    for part in (docs[:30], docs[30:50], docs[50:]):
+        index.add(frame(spark, part))
+    index.compact()
+    assert len(index.runs) == 1
+    late = index.add(frame(spark, [(999, docs[0][1] or "x")]))
+    assert late.count() > 0 and len(index.runs) == 2
+
+
+def test_repeated_rows_are_one_document(spark):
+    text = " ".join(map(str, range(60)))
+    got = substring_index.remove_repeats(frame(spark, [(1, text), (1, text), (2, "y"), (None, None)]), 12).collect()
+    assert sorted(r.n_removed for r in got) == [0, 0, 0, 0]
+    assert substring_index.remove_repeats(frame(spark, []), 12).collect() == []
+
+
+# 7
+
+
+def test_language(spark):
+    import random
+
+    r = random.Random(2)
+    words = {"en": "the and of with that from this which have been".split(), "de": "der und die mit das von nicht ist auch eine".split(), "fr": "les des une dans pour avec est que sur pas".split(), "es": "los las una para con del que por más está".split(), "xx": "zzu qqa wwi kko".split()}
+    rows = [(i, " ".join(r.choice(w) for _ in range(r.randint(4, 60))), lang) for i, (lang, w) in enumerate(list(words.items()) * 60)]
+    df = spark.createDataFrame([(t, lang, i, 5) for i, t, lang in rows], "text string, lang string, doc_id long, score int")
+    model = language.learn(df.where("doc_id % 5 < 3"))
+    got = {x.doc_id: x for x in language.identify(df, model).collect()}
+    assert sum(got[i].lang_pred == lang for i, _, lang in rows) / len(rows) > 0.97
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !"), (4, "漢字"), (None, "the"), (5, "the and " * 30_000)], "doc_id long, text string")
+    out = {x.doc_id: x for x in language.identify(odd, model).collect()}
+    assert [out[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and out[4].lang_pred in words and out[5].lang_pred == "en" and len(out) == 6
+    assert all(0 <= x.score <= 1 for x in out.values())
+    none = language.learn(df.where("lang is null"))
+    assert {x.lang_pred for x in language.identify(odd, none).collect()} == {"und"}
+    one = language.learn(df.where("lang = 'fr'"))
+    assert {x.lang_pred for x in language.identify(df.limit(3), one).collect()} == {"fr"}
+
+
+# 8
+
+
+def test_engines_agree():
+    fast, slow = bpe.tokenizer(PATH), bpe.Library(PATH)
+    assert isinstance(fast, bpe.Ranked)
+    lot = [f"{chr(c)}a{chr(c)}{chr(c)} {chr(c)}1{chr(c)}'s  {chr(c)} b" for c in [*range(1, 0x3400), *range(0xA000, 0xD800, 7), *range(0xE000, 0x11000, 3), *range(0x1D000, 0x1FC00, 5)]]
+    assert all((a == b).all() for a, b in zip(fast.encode(lot), slow.encode(lot), strict=True))
+    assert (fast.size == slow.size).all()
+
+
+@given(st.text(alphabet=st.sampled_from(list("ab \n'stl1é漢!") + ["<|endoftext|>", "  ", "\u3000", "\u2003", "\u00a0", "👍🏽", "hello", " world"]), max_size=120), st.lists(st.integers(1, 200), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_joins_are_repaired(text, at):
+    t = bpe.tokenizer(PATH)
+    cuts = sorted({min(a, len(text)) for a in at} - {0, len(text)})
+    parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+    starts = np.cumsum([0, *(len(p.encode()) for p in parts[:-1])]).tolist()
+    raw = np.frombuffer(text.encode(), np.uint8)
+    if not text:
+        return
+    got = bpe.join_chunks(raw, starts, t.encode(parts), t.size, t.encode)
+    assert got is not None and got.tolist() == t.encode([text])[0].tolist()
+
+
+def test_encoding(spark, docs):
+    slow = bpe.Library(PATH)
+    many = docs + [(1000 + i, (docs[3][1] or "a b ") * 40 + str(i)) for i in range(10)]
+    got = {r.doc_id: r for r in bpe.encode_documents(frame(spark, many), PATH, mean_chunk=64).collect()}
+    for i, text in many:
+        ids = slow.encode([text or ""])[0]
+        assert bytes(got[i].ids) == ids.astype("<u4").tobytes() and got[i].n_tokens == len(ids) and got[i].decoded == slow.decode([ids])[0]
+
+
+def test_encoding_edges(spark):
+    assert bpe.encode_documents(frame(spark, []), PATH).collect() == []
+    rows = bpe.encode_documents(frame(spark, [(None, "a b"), (None, None), (1, "x"), (1, "x"), (1, "y z")]), PATH, decode=False).collect()
+    assert sorted(r.n_tokens for r in rows) == [0, 1, 1, 2, 2]
+    word = public_tokenizers.path("word_bpe_49k.json")
+    assert isinstance(bpe.tokenizer(word), bpe.Library)
+
+
+# 9
+
+
+def test_contamination(spark, docs):
+    items = [(1, docs[5][1]), (2, "One two"), (3, None), (4, ""), (None, "x y"), (5, " ".join((docs[8][1] or "q").split(" ")[:14])), (5, "ab" * 300), (6, "A" * 700)]
+    bench = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, n_words int")
+    rows = decontaminate.find(frame(spark, docs), bench, 6).collect()
+    want = contamination(docs, items, 6)
+    assert {r.doc_id: (r.n_words, r.n_hit, r.items) for r in rows} == want
+    clean = decontaminate.clean(frame(spark, docs), bench, 6)
+    assert {r.doc_id for r in clean.collect()} == {i for i, w in want.items() if not w[1]}
+    by = dict(docs)
+    for r in rows:
+        for s in r.spans:
+            found = by[r.doc_id][s.start : s.end]
+            assert found and found == found.strip()
+    with pytest.raises(ValueError, match="most_bytes"):
+        decontaminate.find(frame(spark, docs), bench, 6, most_bytes=10)
+    assert decontaminate.find(frame(spark, docs), bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+# 10
+
+
+def test_substrings(spark, docs):
+    got = {r.doc_id: (bytes(r.kept), r.n_bytes - len(r.kept), len(r.spans)) for r in suffixes.dedup_substrings(frame(spark, docs), 64).collect()}
+    assert got == substrings(docs, 64)
+
+
+def test_substring_edges(spark):
+    assert suffixes.dedup_substrings(frame(spark, [])).collect() == []
+    text = "0123456789 abcdefghij " * 3 + "".join(map(chr, range(200, 400)))
+    rows = [(1, text), (1, text), (None, text), (2, text), (2, "other"), (None, None)]
+    got = sorted((r.doc_id if r.doc_id is not None else -1, len(r.kept)) for r in suffixes.dedup_substrings(frame(spark, rows), 64).collect())
+    kept = len(text.encode())
+    assert got[:2] == [(-1, 0), (-1, kept - 0)] or got[1][1] > 0
+    assert [n for i, n in got if i == 1] == [0, 0] and [n for i, n in got if i == 2] == [0, 5]
+
+
+@given(st.lists(st.binary(max_size=12).map(lambda b: b.replace(b"\xff", b"a")), max_size=40), st.integers(1, 5))
+@settings(max_examples=200, deadline=None)
+def test_merge(strings, n):
+    runs = []
+    for i in range(n):
+        own = sorted(strings[i::n])
+        prefix, tails, sizes = suffixes.front_code(own)
+        runs.append(suffixes.Run(prefix, tails, sizes))
+    out = list(suffixes.merge(runs))
+    assert [s for _, _, s, _ in out] == sorted(strings)
+    for (_, _, a, _), (_, _, b, lcp) in zip(out, out[1:]):
+        assert lcp == suffixes.shared(a, b, 0)
+
+
+# common
+
+
+def test_ids_and_buckets(spark):
+    ids = [0, 1, -1, 5, 1 << 40, -(1 << 62), 123456789012]
+    df = spark.createDataFrame([(i,) for i in ids], "id long").select("id", tables.id_bucket(7).alias("b"))
+    assert [r.b for r in df.collect()] == tables.id_buckets(np.array(ids), 7).tolist()
+    x = {"a": np.arange(5), "b": b"bytes", "c": np.array([1.5])}
+    back = tables.unpack(tables.pack(x))
+    assert back["b"] == b"bytes" and (back["a"] == x["a"]).all() and back["c"][0] == 1.5
