@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import text as X
 from .tables import small_batches
 
-MIN_GRAM, MAX_GRAM, SEGMENT = 3, 6, 24
+MIN_GRAM, MAX_GRAM, SEGMENT = 3, 6, 8
 POOL = 3.0
 #: Parts words: white space and the punctuation between words; signs used inside words stay.
 _WORD = X.NOT_SPACE.copy()
@@ -32,7 +32,7 @@ _WORD[[ord(c) for c in ".,;:!?\"()[]{}|"]] = False
 
 
 def word_grams(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram buckets of all words and the n + 1 offsets of each word's. Words are lower-cased; very long ones count with all their n-grams."""
+    """The n-gram buckets of all words, and the word of each. Words are lower-cased; very long ones count with all their n-grams."""
     n = len(starts)
     size = ends - starts + 2
     at = np.zeros(n + 1, np.int64)
@@ -40,9 +40,10 @@ def word_grams(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, buckets: i
     marked = np.full(at[-1], 1, np.uint8)
     source, which = X.ranges(starts, ends)
     marked[at[which] + 1 + source - starts[which]] = X.LOWER[raw[source]]
+    del source, which
     h = np.zeros(len(marked), np.uint32)
-    parts, owner = [], []
-    word_of = np.repeat(np.arange(n), size)
+    word_of = np.repeat(np.arange(n, dtype=np.int32), size)
+    grams, owner = [X.word_hashes(X.LOWER[raw], starts, ends).astype(np.uint32)], [np.arange(n, dtype=np.int32)]
     for k in range(1, MAX_GRAM + 1):
         m = len(marked) - k + 1
         if m <= 0:
@@ -50,17 +51,16 @@ def word_grams(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, buckets: i
         h = (h[:m] ^ marked[k - 1 :]) * np.uint32(0x01000193)
         h ^= h >> np.uint32(13)
         if k >= MIN_GRAM:
-            ok = np.flatnonzero(word_of[:m] == word_of[k - 1 :])
-            parts.append(h[ok] + np.uint32(k * 0x9E3779B1 & 0xFFFFFFFF))
-            owner.append(word_of[ok])
-    parts.append(X.word_hashes(X.LOWER[raw], starts, ends).astype(np.uint32))
-    owner.append(np.arange(n))
-    g, o = np.concatenate(parts), np.concatenate(owner)
+            ok = word_of[:m] == word_of[k - 1 :]
+            grams.append(h[ok] + np.uint32(k * 0x9E3779B1 & 0xFFFFFFFF))
+            owner.append(word_of[:m][ok])
+    g = np.concatenate(grams)
+    del grams
     g ^= g >> np.uint32(16)
-    g = g * np.uint32(0x85EBCA6B)
+    g *= np.uint32(0x85EBCA6B)
     g ^= g >> np.uint32(13)
-    order = np.argsort(o, kind="stable")
-    return (g[order] % np.uint32(buckets)).astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(o, minlength=n))])
+    g %= np.uint32(buckets)
+    return g.view(np.int32), np.concatenate(owner)
 
 
 def distinct_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +82,7 @@ def pooled(logit: np.ndarray, text_of: np.ndarray, n: int, empty: float) -> tupl
     """Each text's softmax-weighted mean of its segments' logits, and the weights."""
     top = np.full(n, -np.inf)
     np.maximum.at(top, text_of, logit)
-    w = np.exp(POOL * (logit - top[text_of]))
+    w = np.exp(np.maximum(POOL * (logit - top[text_of]), -50.0))  # no denormal numbers, which are slow
     w /= np.bincount(text_of, weights=w, minlength=n)[text_of]
     out = np.bincount(text_of, weights=w * logit, minlength=n)
     out[~np.isfinite(top)] = empty
@@ -102,17 +102,20 @@ class Model:
         if not len(starts):
             return np.full(len(at) - 1, self.bias)
         first, number = distinct_words(raw, starts, ends)
-        g, own = word_grams(raw, starts[first], ends[first], len(self.value))
-        sums = np.zeros(len(g) + 1)
-        np.cumsum(self.value[g], out=sums[1:])
-        word = ((sums[own[1:]] - sums[own[:-1]]) / np.diff(own))[number]
+        g, word_of = word_grams(raw, starts[first], ends[first], len(self.value))
+        word = (np.bincount(word_of, weights=self.value[g], minlength=len(first)) / np.bincount(word_of, minlength=len(first)))[number]
         segment, text_of = segments(word_at)
         logit = np.bincount(segment, weights=word) / np.bincount(segment) + self.bias
         return pooled(logit, text_of, len(at) - 1, self.bias)[0]
 
 
-def train(texts: list[str], labels: list[int], dims: int = 8, buckets: int = 1 << 15, rounds: int = 60, rate: float = 0.05, decay: float = 1e-5, seed: int = 1) -> Model:
-    """Fits embeddings and softmax together by Adam over all rows."""
+def train(texts: list[str], labels: list[int], dims: int = 8, buckets: int = 1 << 18, rounds: int = 60, rate: float = 0.05, decay: float = 1e-5, least_texts: int = 5, seed: int = 1) -> Model:
+    """Fits embeddings and softmax together by Adam over all rows, classes weighing alike.
+
+    N-grams of fewer than ``least_texts`` texts keep a zero vector: they would learn single texts by heart. Equal texts count once.
+    """
+    rows = dict(zip(texts, labels, strict=True))
+    texts, labels = list(rows), list(rows.values())
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.5
@@ -120,39 +123,47 @@ def train(texts: list[str], labels: list[int], dims: int = 8, buckets: int = 1 <
     raw, at = X.utf8(pa.array(texts, pa.large_string()))
     starts, ends, word_at = X.word_bounds(raw, at, _WORD)
     first, number = distinct_words(raw, starts, ends)
-    g, own = word_grams(raw, starts[first], ends[first], buckets)
-    size = np.diff(own)
-    word_of = np.repeat(np.arange(len(first)), size)
+    g, word_of = word_grams(raw, starts[first], ends[first], buckets)
+    n_words = len(first)
+    size = np.bincount(word_of, minlength=n_words)
+    doc_of = np.repeat(np.arange(len(y)), np.diff(word_at))
+    texts_of = np.bincount(np.unique(doc_of * n_words + number) % max(n_words, 1), minlength=n_words)
+    frequent = np.bincount(g, weights=texts_of[word_of], minlength=buckets) >= min(least_texts, len(y))
+    g, word_of = g[frequent[g]], word_of[frequent[g]]
+    known, g = np.unique(g, return_inverse=True)
+    g = g.astype(np.int32)
     segment, text_of = segments(word_at)
     length = np.bincount(segment).astype(np.float64)
     # words of a segment as pairs, each once with its count
-    pair, count = np.unique(segment * len(first) + number, return_counts=True)
-    seg, word = pair // len(first), pair % len(first)
+    pair, count = np.unique(segment * n_words + number, return_counts=True)
+    seg, word = (pair // max(n_words, 1)).astype(np.int32), (pair % max(n_words, 1)).astype(np.int32)
     share = count / length[seg]
+    del raw, starts, ends, number, doc_of, pair, count, segment
     rng = np.random.default_rng(seed)
-    emb = rng.normal(0, 0.1, (buckets, dims))
+    emb = rng.normal(0, 0.1, (len(known), dims))
     soft = rng.normal(0, 0.5, (2, dims))
-    bias = np.array([0.0, np.log(y.mean() / (1 - y.mean()))])
+    bias = np.array([0.0, -4.0])  # texts are taken for clean until an n-gram says otherwise
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (emb, soft, bias)]
     for step in range(1, rounds + 1):
         u = soft[1] - soft[0]
         # the average of a segment times u is the average of its words' projections; gradients pass by the same route
-        proj = emb @ u
-        word_logit = np.bincount(word_of, weights=proj[g], minlength=len(first)) / size
+        word_logit = np.bincount(word_of, weights=(emb @ u)[g], minlength=n_words) / size
         logit = np.bincount(seg, weights=share * word_logit[word], minlength=len(length)) + bias[1] - bias[0]
         out, w = pooled(logit, text_of, len(y), bias[1] - bias[0])
         err = (1 / (1 + np.exp(-out)) - y) * weight
         back = err[text_of] * w * (1 + POOL * (logit - out[text_of])) if len(text_of) else np.zeros(0)
-        to_word = np.bincount(word, weights=share * back[seg], minlength=len(first)) / size
-        to_gram = np.bincount(g, weights=to_word[word_of], minlength=buckets)
+        to_word = np.bincount(word, weights=share * back[seg], minlength=n_words) / size
+        to_gram = np.bincount(g, weights=to_word[word_of], minlength=len(known))
         grad_u = emb.T @ to_gram
         grads = (np.outer(to_gram, u) + decay * emb, np.stack([-grad_u, grad_u]), np.array([-err.sum(), err.sum()]))
         for p, d, (m, v) in zip((emb, soft, bias), grads, state, strict=True):
             m += 0.1 * (d - m)
             v += 0.01 * (d * d - v)
             p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    return Model(emb @ (soft[1] - soft[0]), float(bias[1] - bias[0]))
+    value = np.zeros(buckets)
+    value[known] = emb @ (soft[1] - soft[0])
+    return Model(value, float(bias[1] - bias[0]))
 
 
 def sample(docs: DataFrame, labels: DataFrame, most_rows: int) -> tuple[list[str], list[int]]:
@@ -167,7 +178,7 @@ def sample(docs: DataFrame, labels: DataFrame, most_rows: int) -> tuple[list[str
     return [r[0] for r in rows], [r[1] for r in rows]
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 4000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 3200) -> Model:
     return train(*sample(docs, labels, most_rows))
 
 

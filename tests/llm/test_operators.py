@@ -38,8 +38,8 @@ def test_flow_is_least(supply, n):
     assert moved == total - sum(min(s, c) for s, c in zip(supply, capacity))
 
 
-def placed(spark, docs, n_new=8, old=F.pmod(F.xxhash64("text"), F.lit(6))):
-    return reshard.reshard(frame(spark, docs), old, 6, n_new).collect()
+def placed(spark, docs, n_new=8):
+    return reshard.reshard(frame(spark, docs), F.pmod(F.xxhash64("text"), F.lit(6)), 6, n_new).collect()
 
 
 def test_resharding(spark):
@@ -103,7 +103,7 @@ def toxic_corpus(n=400, seed=3):
 
 
 def test_toxicity(spark):
-    rows = toxic_corpus()
+    rows = toxic_corpus(1600)
     docs, labels = frame(spark, [(i, t) for i, t, _ in rows]), spark.createDataFrame([(i, y, None) for i, _, y in rows if i % 4], "doc_id long, toxic int, quality int")
     model = toxicity.learn(docs, labels)
     got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}

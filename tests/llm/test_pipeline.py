@@ -15,7 +15,7 @@ def rows(spark, docs):
 
 
 def test_toxicity_stage(spark, tmp_path):
-    corpus = toxic_corpus(300)
+    corpus = toxic_corpus(1200)
     spark.createDataFrame([(i, 1, y) for i, _, y in corpus], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = rows(spark, [(i, t) for i, t, _ in corpus])
     kept = corpus_pipeline.toxicity_filter(spark, docs, str(tmp_path))
