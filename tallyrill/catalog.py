@@ -31,7 +31,7 @@ def _pipeline(*transforms: dict, sources: tuple[str, ...] = ("in",)) -> ir.Pipel
 
 def _run(spark: SparkSession, sf_dir: str, *transforms: dict, exact: bool | None = None, sources: tuple[str, ...] = ("in",)) -> DataFrame:
     p = _pipeline(*transforms, sources=sources)
-    compiled = compile_pipeline(spark, p, dict.fromkeys(sources, tables.events(spark, sf_dir)), exact=exact)
+    compiled = compile_pipeline(spark, p, dict.fromkeys(sources, lambda keys: tables.events(spark, sf_dir, keys)), exact=exact)
     return compiled.frames[p.sinks[0].input]
 
 

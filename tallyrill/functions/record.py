@@ -37,11 +37,15 @@ def attr_of(value: Any) -> Column:
 
 
 def attr_map(pairs: dict[str, Column]) -> Column:
-    """A map of typed values without the missing ones."""
+    """A map of typed values. A null one is a missing attribute: it isn't filtered out, so that reading a key reduces to its column, and unread columns aren't scanned."""
     if not pairs:
         return F.create_map().cast(f"map<string,{ATTR}>")
-    whole = F.create_map(*(x for k, v in pairs.items() for x in (F.lit(k), v)))
-    return F.map_filter(whole, lambda _, v: v.isNotNull())
+    return F.create_map(*(x for k, v in pairs.items() for x in (F.lit(k), v)))
+
+
+def entries(attrs: str) -> Column:
+    """The attributes that are there, in order of their keys."""
+    return F.sort_array(F.filter(F.map_entries(attrs), lambda p: p["value"].isNotNull()))
 
 
 def lookup(key: str) -> Column:

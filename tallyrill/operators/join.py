@@ -20,9 +20,10 @@ def _aligned(inputs: dict[str, DataFrame], group_by: list[str], max_groups: int
     parts = None
     for n, df in enumerate(inputs.values()):
         order = F.col(SEQ) if SEQ in df.columns else F.lit(0).cast("bigint")
-        part = df.select(F.col("start_ts_nanos").alias("_start"), F.col("ts_nanos").alias("_end"), *(F.col("attrs").getItem(k).alias(c) for k, c in zip(group_by, keys, strict=True)), F.lit(n).alias("_input"), F.struct(order, "value").alias("_v"))
+        part = df.select(F.col("start_ts_nanos").alias("_start"), F.col("ts_nanos").alias("_end"), *(F.col("attrs").getItem(k).alias(c) for k, c in zip(group_by, keys, strict=True)), F.lit(n).alias("_input"), order.alias("_order"), F.col("value").alias("_value"))
         parts = part if parts is None else parts.unionByName(part)
-    values = [F.max(F.when(F.col("_input") == n, F.col("_v")))["value"].alias(f"_v{n}") for n in range(len(inputs))]
+    own = lambda n, c: F.when(F.col("_input") == n, F.col(c))
+    values = [F.max_by(own(n, "_value"), own(n, "_order")).alias(f"_v{n}") for n in range(len(inputs))]
     groups = parts.groupBy("_start", "_end", *keys).agg(*values, F.min("_input").alias("_first"))
     if max_groups is not None:
         rank = F.row_number().over(W.partitionBy("_end").orderBy("_first", *keys))

@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.record import SEQ
+from ..functions.record import SEQ, entries
 
 
 def series() -> list[Column]:
     """What makes two samples of one series: name, scope and all attributes of resource and point, types included."""
-    return [F.col("name"), F.col("scope"), F.sort_array(F.map_entries("resource")), F.sort_array(F.map_entries("attrs"))]
+    return [F.col("name"), F.col("scope"), entries("resource"), entries("attrs")]
 
 
 def delta(value: Column, before: Column, monotonic: Column) -> Column:

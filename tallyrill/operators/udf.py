@@ -62,7 +62,7 @@ def loaded(kind: str, text: str) -> Callable[[dict], list[dict]]:
 
 
 def _record(row: dict) -> dict:
-    return {k: {n: to_python(a) for n, a in (row[k] or [])} if k in ("resource", "attrs") else row[k] for k in FIELDS}
+    return {k: {n: to_python(a) for n, a in (row[k] or []) if a is not None} if k in ("resource", "attrs") else row[k] for k in FIELDS}
 
 
 def _row(out: dict) -> dict:

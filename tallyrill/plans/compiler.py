@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import expr
 from ..functions.durations import memory_bytes, nanoseconds
 from ..operators import filter as filter_
 from ..operators import join, udf, window
@@ -47,16 +48,35 @@ def read(spark: SparkSession, s: ir.Source, path: str | None, streaming_: bool,
     return kind.stream(spark, path) if streaming_ else kind.batch(spark, path)
 
 
-def compile_pipeline(spark: SparkSession, p: ir.Pipeline, inputs: dict[str, DataFrame | str] | None = None, *, stream: bool = False, exact: bool | None = None, records: int = 100) -> Compiled:
+def read_keys(p: ir.Pipeline, source: str) -> set[str] | None:
+    """The attributes of a source's records that the pipeline reads, or None where it needs them all: a scan needs no others."""
+    keys: set[str] = set()
+    at = source
+    while True:
+        t = next((t for t in p.transforms if at in ir.inputs(t)), None)
+        if isinstance(t, ir.Filter):
+            keys.add(t.key)
+        elif isinstance(t, ir.Map):
+            keys |= expr.names(expr.parse(t.value)) - {"value"}
+        elif isinstance(t, ir.Window):
+            return keys | set(t.group_by) | ({t.aggregate.field} if t.aggregate.field else set())
+        else:
+            return None if t is not None or any(s.input == at for s in p.sinks) else keys
+        at = t.id
+
+
+def compile_pipeline(spark: SparkSession, p: ir.Pipeline, inputs: dict[str, DataFrame | str | Callable[[set[str] | None], DataFrame]] | None = None, *, stream: bool = False, exact: bool | None = None, records: int = 100) -> Compiled:
     """Frames of all nodes.
 
-    ``inputs``: for each source a frame of records, or the path of its lines (of OTLP requests, for otlp). A generator needs none and makes ``records`` records.
+    ``inputs``: for each source a frame of records, a function that gives one with the attributes that are read (all for None), or the path of its lines (of OTLP requests, for otlp). A generator needs none and makes ``records`` records.
     ``exact``: windows of bounded input take records in their order of arrival, with watermark, lateness and caps; by default those with max_groups do.
     """
     validate(p)
     out, inputs = Compiled(p), inputs or {}
     for s in p.sources:
         given = inputs.get(s.id)
+        if callable(given):
+            given = given(read_keys(p, s.id))
         out.frames[s.id] = given if isinstance(given, DataFrame) else read(spark, s, given, stream, records)
     by_id = {t.id: t for t in p.transforms}
     waiting = list(p.transforms)

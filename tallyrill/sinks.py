@@ -9,21 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .functions.record import BOOL, DOUBLE, INT, SEQ, STR, display
+from .functions.record import BOOL, DOUBLE, INT, SEQ, STR, display, entries
 
 SCOPE = "tallyrill"
 MOST_POINTS = 512
 
 
-def _pairs(attrs: str) -> Column:
-    return F.sort_array(F.map_entries(attrs))
-
-
 def text_line() -> Column:
     """``ts[ [start..end]] name=value {key=value, ...}`` with two decimals and keys in order; resources aren't shown."""
     bounds = F.when(F.col("start_ts_nanos").isNotNull(), F.concat(F.lit(" ["), F.col("start_ts_nanos"), F.lit(".."), F.col("ts_nanos"), F.lit("]"))).otherwise(F.lit(""))
     value = F.when(F.isnan("value"), F.lit("NaN")).when(F.abs("value") == float("inf"), F.when(F.col("value") > 0, F.lit("inf")).otherwise(F.lit("-inf"))).otherwise(F.format_string("%.2f", F.col("value")))
-    labels = F.array_join(F.transform(_pairs("attrs"), lambda p: F.concat(p["key"], F.lit("="), display(p["value"]))), ", ")
+    labels = F.array_join(F.transform(entries("attrs"), lambda p: F.concat(p["key"], F.lit("="), display(p["value"]))), ", ")
     return F.concat(F.col("ts_nanos"), bounds, F.lit(" "), F.col("name"), F.lit("="), value, F.lit(" {"), labels, F.lit("}"))
 
 
@@ -41,7 +37,7 @@ def _json_attr(a: Column) -> Column:
 
 
 def _json_map(m: str) -> Column:
-    return F.concat(F.lit("{"), F.array_join(F.transform(_pairs(m), lambda p: F.concat(_quoted(p["key"]), F.lit(":"), _json_attr(p["value"]))), ","), F.lit("}"))
+    return F.concat(F.lit("{"), F.array_join(F.transform(entries(m), lambda p: F.concat(_quoted(p["key"]), F.lit(":"), _json_attr(p["value"]))), ","), F.lit("}"))
 
 
 def json_line() -> Column:
@@ -66,7 +62,7 @@ def _otlp_attrs() -> Column:
             F.when(a["t"] == INT, a["i"].cast("string")).otherwise(none("string")).alias("intValue"), F.when(a["t"] == DOUBLE, a["d"]).otherwise(none("double")).alias("doubleValue"),
         )
 
-    return F.transform(_pairs("attrs"), lambda p: F.struct(p["key"].alias("key"), value(p["value"]).alias("value")))
+    return F.transform(entries("attrs"), lambda p: F.struct(p["key"].alias("key"), value(p["value"]).alias("value")))
 
 
 def otlp_requests(df: DataFrame, most: int = MOST_POINTS) -> DataFrame:

@@ -14,8 +14,8 @@ def nanos(column: str) -> Column:
     return F.unix_micros(F.col(column).cast("timestamp")) * 1000
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as records: named by type, with attributes event_type, user_id, bucket and k; they arrive slightly out of order, by a fixed rule."""
+def events(spark: SparkSession, sf_dir: str, keys: set[str] | None = None) -> DataFrame:
+    """``events`` as records: named by type, with attributes event_type, user_id, bucket and k; they arrive slightly out of order, by a fixed rule. ``keys``: the attributes that are needed."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     attrs = {
@@ -24,6 +24,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "bucket": attr(F.concat(F.lit("b"), F.pmod("user_id", F.lit(5))), STR),
         "k": attr(F.get_json_object("props", "$.k").try_cast("bigint"), INT),
     }
+    attrs = {k: v for k, v in attrs.items() if keys is None or k in keys}
     arrival = (F.col("event_id") + F.pmod(F.col("event_id") * 7919, F.lit(37))) * 100_000_000_000 + F.col("event_id")
     return record(e, ts_nanos=nanos("ts"), name=F.col("event_type"), value=F.col("value"), attrs=attrs, seq=arrival)
 

@@ -16,7 +16,7 @@ def frame(spark, rows):
 
 def plain(df):
     return [
-        {"ts": r["ts_nanos"], "start": r["start_ts_nanos"], "name": r["name"], "value": r["value"], "attrs": {k: to_python(v) for k, v in r["attrs"].items()}}
+        {"ts": r["ts_nanos"], "start": r["start_ts_nanos"], "name": r["name"], "value": r["value"], "attrs": {k: to_python(v) for k, v in r["attrs"].items() if v is not None}}
         for r in df.select("ts_nanos", "start_ts_nanos", "name", "value", "attrs").collect()
     ]
 
