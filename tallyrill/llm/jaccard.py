@@ -8,6 +8,9 @@ them. Of the sets with a key in common the one with the smallest doc_id is their
 set that shares a key with it; so a set near a boundary is replicated to the regions of all its pivots, and every pair
 that links meets in one region.
 
+Before sets are sent to regions, their profiles are: counts of shingles in 64 parts. Profiles differ by no more than the sets
+do, so members whose profiles are too far from all others' can't link and aren't sent.
+
 Regions are joined recursively and exactly: distances to a few pivots give links and, where these leave more than one
 component, Voronoi regions; a member goes to every region whose pivot is as near as its nearest one plus twice the
 radius (two members within the radius share a region, by the triangle inequality); small or unsplittable regions compare
@@ -33,11 +36,15 @@ from pyspark.sql import functions as F
 from . import text as X
 from .components import connected_components
 from .suffixes import _changes
-from .tables import BLOB, BUCKETS_A_PARTITION, NULL_ID, Dealer, Lookup, attach, blob_batch, by_bucket, id_buckets, joined, keyed, pack, partitions, small_batches, written
+from .tables import BLOB, BUCKETS_A_PARTITION, NULL_ID, Dealer, Lookup, attach, blob_batch, by_bucket, collect_garbage, id_buckets, joined, keyed, pack, partitions, small_batches, written
 
 RATIO = 1.2
 EDGES = "a long, b long"
 PIVOTS, ALL_PAIRS = 8, 384
+#: Parts of a profile, and the largest region whose members' profiles are compared.
+PARTS, MOST_PROFILES = 64, 4096
+#: Kinds of packed rows.
+MEMBER, PROFILE = 0, 1
 
 
 def _words(column: pa.Array):
@@ -122,6 +129,14 @@ def keys(s: np.ndarray, at: np.ndarray, classes: Classes) -> tuple[np.ndarray, n
     return np.concatenate(out_key), np.concatenate(out_doc)
 
 
+def profiles(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many of a set's shingles are in each of PARTS parts; two sets differ in as many shingles at least as their profiles do in all."""
+    n = len(at) - 1
+    part = (X.mix(s ^ X.U64(0x2545F4914F6CDD1D)) >> X.U64(58)).astype(np.int64)
+    flat = np.bincount(np.repeat(np.arange(n), np.diff(at)) * PARTS + part, minlength=n * PARTS)
+    return np.minimum(flat, 30_000).astype(np.int16).reshape(n, PARTS)
+
+
 def _keyed_sets(k: int, num: int, den: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, classes = Dealer(), Classes(num, den)
@@ -129,7 +144,7 @@ def _keyed_sets(k: int, num: int, den: int, n: int):
         for batch in batches:
             for part in X.slices(batch, "text"):
                 s, at = shingles(part.column(2), k)
-                c, ids, tags = set_hash(s, at), part.column(0).to_numpy(), part.column(1).to_numpy()
+                c, ids = set_hash(s, at), part.column(0).to_numpy()
                 size = np.diff(at)
                 # copies that this task has seen with a smaller doc_id add nothing
                 fresh = np.zeros(len(c), bool)
@@ -141,26 +156,34 @@ def _keyed_sets(k: int, num: int, den: int, n: int):
                     seen.clear()
                 chosen = np.flatnonzero(fresh)
                 take, _ = X.ranges(at[chosen], at[chosen + 1])
-                key, doc = keys(s[take], np.concatenate([[0], np.cumsum(size[chosen])]), classes)
+                bounds = np.concatenate([[0], np.cumsum(size[chosen])])
+                yield from out.add({"c": c[chosen], "id": ids[chosen], "n": size[chosen].astype(np.int32), "h": profiles(s[take], bounds)}, id_buckets(ids[chosen], n), PROFILE)
+                key, doc = keys(s[take], bounds, classes)
                 doc = chosen[doc]
-                yield from out.add({"key": key, "c": c[doc], "id": ids[doc], "tag": tags[doc].astype(np.uint16), "n": size[doc].astype(np.int32)}, key % X.U64(n))
+                yield from out.add({"key": key, "c": c[doc], "id": ids[doc]}, key % X.U64(n))
         yield from out.flush()
 
     return run
 
 
-def _regions(num: int, den: int, n: int):
+def _regions(n: int):
     """Of the sets that share a key: which pivots' regions each belongs to."""
 
     def make():
         out = Dealer()
 
-        def fn(_: int, have: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
-            x = joined(have[0])
+        def fn(bucket: int, have: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
+            if PROFILE in have:  # these go on to where the regions' members are dealt
+                p = joined(have[PROFILE])
+                p["h"] = p["h"].reshape(-1, PARTS)
+                yield from out.add(p, np.full(len(p["c"]), bucket), PROFILE)
+            if MEMBER not in have:
+                return
+            x = joined(have[MEMBER])
             order = np.argsort(x["key"], kind="stable")
             size = np.diff(np.append(np.flatnonzero(_changes(x["key"][order])), len(order)))
             x = {k: v[order[np.repeat(size, size) > 1]] for k, v in x.items()}
-            order = np.lexsort((x["tag"], x["id"], x["c"], x["key"]))
+            order = np.lexsort((x["id"], x["c"], x["key"]))
             once = order[_changes(x["key"][order], x["c"][order])]
             x = {k: v[once] for k, v in x.items()}  # a class once a key, by its smallest doc_id
             if not len(x["key"]):
@@ -174,7 +197,67 @@ def _regions(num: int, den: int, n: int):
             order = np.lexsort((x["pc"], x["c"]))
             once = order[_changes(x["c"][order], x["pc"][order])]
             ids = x["id"][once]
-            yield from out.add({"id": ids, "tag": x["tag"][once], "pc": x["pc"][once], "c": x["c"][once]}, id_buckets(ids, n))
+            yield from out.add({"id": ids, "pc": x["pc"][once], "c": x["c"][once]}, id_buckets(ids, n), MEMBER)
+
+        return fn, out.flush
+
+    return make
+
+
+def _profiled(n: int):
+    """Each member's profile, dealt by region."""
+
+    def make():
+        out = Dealer()
+
+        def fn(_: int, have: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
+            if MEMBER not in have:
+                return
+            p, x = joined(have[PROFILE]), joined(have[MEMBER])
+            h = p["h"].reshape(-1, PARTS)
+            order = np.lexsort((p["id"], p["c"]))
+            at = np.searchsorted(p["c"][order], x["c"])  # rows of a class have one profile
+            own = order[at]
+            once = np.lexsort((x["pc"], x["c"], x["id"]))
+            once = once[_changes(x["pc"][once], x["c"][once], x["id"][once])]
+            yield from out.add({"p": x["pc"][once], "c": x["c"][once], "id": x["id"][once], "n": p["n"][own[once]], "h": h[own[once]]}, x["pc"][once] % X.U64(n))
+
+        return fn, out.flush
+
+    return make
+
+
+def near(h: np.ndarray, size: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which sets can link with another one, as far as profiles tell."""
+    out = np.zeros(len(h), bool)
+    step = max(1, (1 << 17) // max(len(h), 1))
+    for i in range(0, len(h), step):
+        differ = np.abs(h[i : i + step, None, :] - h[None, :, :]).sum(2, dtype=np.int64)
+        total = size[i : i + step, None] + size[None, :]
+        both = (total - differ) // 2
+        ok = den * both >= num * (total - both)
+        ok[np.arange(ok.shape[0]), np.arange(i, i + ok.shape[0])] = False
+        out[i : i + step] |= ok.any(1)
+    return out
+
+
+def _pruned(num: int, den: int, n: int):
+    """The members of regions that can link with another member."""
+
+    def make():
+        out = Dealer()
+
+        def fn(_: int, have: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
+            x = joined(have[0])
+            h, size = x.pop("h").reshape(-1, PARTS), x["n"].astype(np.int64)
+            order = np.lexsort((x["id"], x["c"], x["p"]))
+            order = order[_changes(x["p"][order], x["c"][order])]
+            keep = []
+            for rows in np.split(order, np.flatnonzero(np.diff(x["p"][order])) + 1):
+                if len(rows) > 1:
+                    keep.append(rows if len(rows) > MOST_PROFILES else rows[near(h[rows], size[rows], num, den)])
+            rows = np.concatenate(keep) if keep else np.empty(0, np.int64)
+            yield from out.add({"id": x["id"][rows], "pc": x["p"][rows], "c": x["c"][rows]}, id_buckets(x["id"][rows], n), MEMBER)
 
         return fn, out.flush
 
@@ -208,8 +291,8 @@ def _replicated(k: int, n: int):
                 have["look"], have["done"] = Lookup(have[0]), set()
             look, done = have["look"], have["done"]
             for part in X.slices(batch, "text"):
-                ids, tags = part.column(0).to_numpy(), part.column(1).to_numpy()
-                lo, hi = look(ids, tags)
+                ids = part.column(0).to_numpy()
+                lo, hi = look(ids, np.zeros(len(ids), np.uint16))  # rows that share an id are told apart by their sets' hashes
                 some = np.flatnonzero(hi > lo)
                 if not len(some):
                     continue
@@ -224,7 +307,7 @@ def _replicated(k: int, n: int):
                     for p in np.unique(rows["pc"][lo[d] : hi[d]][rows["c"][lo[d] : hi[d]] == own[j]]).tolist():
                         todo.setdefault(p % n, []).append((p, own[j], int(ids[d]), one))
                         held[0] += len(one)
-                if held[0] > 3_000_000:
+                if held[0] > 2_000_000:
                     yield from flush()
 
         return fn, flush
@@ -335,8 +418,8 @@ class Region:
 def _joined(num: int, den: int):
     def make():
         def fn(_: int, have: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
-            x = joined(have[0])
-            start = np.cumsum(x["n"]) - x["n"]
+            x = joined(have[0], "p", "c", "id", "n")
+            sets = [s for b in have[0] for s in np.split(b["s"], np.cumsum(b["n"])[:-1])]  # views of the blobs
             order = np.lexsort((x["id"], x["c"], x["p"]))
             order = order[_changes(x["p"][order], x["c"][order])]
             a, b = [], []
@@ -344,7 +427,7 @@ def _joined(num: int, den: int):
                 if len(rows) < 2:
                     continue
                 rows = rows[np.argsort(x["id"][rows], kind="stable")]
-                region = Region([x["s"][start[i] : start[i] + x["n"][i]] for i in rows], num, den)
+                region = Region([sets[i] for i in rows], num, den)
                 region.join(np.arange(len(rows)))
                 for i, j in region.forest.edges:
                     a.append(x["id"][rows[i]])
@@ -376,9 +459,12 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
     spark = docs.sparkSession
     small_batches(spark)
     n = partitions(spark) * BUCKETS_A_PARTITION
-    members = written(by_bucket(keyed(docs).mapInArrow(_keyed_sets(k, num, den, n), BLOB), _regions(num, den, n), BLOB))
+    members = written(by_bucket(keyed(docs).mapInArrow(_keyed_sets(k, num, den, n), BLOB), _regions(n), BLOB))
+    members = written(by_bucket(by_bucket(members, _profiled(n), BLOB), _pruned(num, den, n), BLOB))
     edges = by_bucket(attach(keyed(docs), members, n, _replicated(k, n), BLOB), _joined(num, den), EDGES)
     found = connected_components(edges)
+    del edges
+    collect_garbage(spark)
     rows = written(keyed(docs).mapInArrow(_sets(k), "id long, tag int, class long, n_shingles long"))
     # all rows of a class have one component: that of its smallest id
     classes = rows.where("class is not null").groupBy("class", "n_shingles").agg(F.min("id").alias("node"))
