@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
-from .tables import small_batches
+from .tables import sampled, small_batches
 
 #: Families of the ISO 639-1 codes; a language that isn't here is a family of its own.
 FAMILIES = {
@@ -179,9 +179,9 @@ def predict(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample(docs: DataFrame, most_rows: int) -> tuple[list[str], list[str]]:
-    """At most ``most_rows`` labelled rows, those least by a hash of doc_id and text, so always the same ones."""
-    rows = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull()).select(docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("order"))
-    got = rows.orderBy("order").limit(most_rows).select("text", "lang").collect()
+    """At most ``most_rows`` labelled rows by a hash of doc_id and text, so always the same ones."""
+    rows = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull()).select(docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"), docs["doc_id"])
+    got = sampled(rows, most_rows, F.struct("doc_id", "text")).select("text", "lang").collect()
     return [r[0] for r in got], [r[1] for r in got]
 
 

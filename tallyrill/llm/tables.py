@@ -21,7 +21,7 @@ NULL_ID = -(1 << 62)
 BUCKETS_A_PARTITION = 2
 BLOB = "bucket int, kind int, blob binary"
 #: The kind of packed documents, which come after all findings about them, and how many bytes of them a task gathers.
-ROWS, ROWS_BYTES = 1 << 20, 32 << 20
+ROWS, ROWS_BYTES = 1 << 20, 12 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,12 +62,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds the rows of an Arrow batch, as texts can be long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def sampled(rows: DataFrame, most_rows: int, by: Column) -> DataFrame:
+    """At most ``most_rows`` rows, those whose hash of ``by`` is least, up to a bound that expects 5 % fewer; all, if there are no more.
+
+    Only a count reaches the driver before.
+    """
+    share = 0.95 * most_rows / max(rows.count(), 1)
+    if share < 0.95:
+        rows = rows.where(F.xxhash64(by) < F.lit(int((2 * share - 1) * (1 << 63))))
+    return rows.limit(most_rows)
+
+
 def keyed(docs: DataFrame, *more: str | Column) -> DataFrame:
     """Only id (never null), tag (16 bits of the text's hash) and text, whatever other columns there are.
 
@@ -159,7 +170,7 @@ def dealt(arrays: dict[str, np.ndarray], bucket: np.ndarray, kind: int = 0) -> I
 class Dealer:
     """Gathers a task's arrays by kind, to be dealt to buckets together: a task makes one row for each bucket and kind, not one for each call."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 300_000):
         self.most, self.rows, self.have = most, 0, {}
 
     def add(self, arrays: dict[str, np.ndarray], bucket: np.ndarray, kind: int = 0) -> Iterator[pa.RecordBatch]:
@@ -216,7 +227,7 @@ def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
             out = pa.BufferOutputStream()
             with pa.ipc.new_stream(out, whole.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))) as writer:
-                writer.write_table(whole.slice(i, j - i), max_chunksize=2000)
+                writer.write_table(whole.slice(i, j - i), max_chunksize=500)
             rows.append((int(bucket[i]), ROWS, out.getvalue().to_pybytes()))
         yield blob_batch(rows)
 

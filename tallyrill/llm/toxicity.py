@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
-from .tables import small_batches
+from .tables import sampled, small_batches
 
 MIN_GRAM, MAX_GRAM, SEGMENT = 3, 6, 8
 POOL = 3.0
@@ -167,11 +167,11 @@ def train(texts: list[str], labels: list[int], dims: int = 8, buckets: int = 1 <
 
 
 def sample(docs: DataFrame, labels: DataFrame, most_rows: int) -> tuple[list[str], list[int]]:
-    """At most ``most_rows`` labelled texts, half of either label at most, those least by a hash of doc_id."""
+    """At most ``most_rows`` labelled texts, half of either label at most, by a hash of doc_id."""
     known = labels.where(labels["toxic"].isin(0, 1)).select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
     own = None
     for y in (0, 1):
-        part = known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows // 2)
+        part = sampled(known.where(F.col("toxic") == y), most_rows // 2, F.col("doc_id"))
         own = part if own is None else own.unionByName(part)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     rows = texts.join(F.broadcast(own), "doc_id").where(F.col("text").isNotNull()).select("text", "toxic").limit(2 * most_rows).collect()

@@ -252,7 +252,7 @@ def test_index_is_incremental(spark):
         index.add(frame(spark, part))
     index.compact()
     assert len(index.runs) == 1
-    late = index.add(frame(spark, [(999, docs[0][1] or "x")]))
+    late = index.add(frame(spark, [(999, max((t or "" for _, t in docs), key=len))]))
     assert late.count() > 0 and len(index.runs) == 2
 
 
@@ -273,7 +273,7 @@ def test_language(spark):
     words = {"en": "the and of with that from this which have been".split(), "de": "der und die mit das von nicht ist auch eine".split(), "fr": "les des une dans pour avec est que sur pas".split(), "es": "los las una para con del que por más está".split(), "xx": "zzu qqa wwi kko".split()}
     rows = [(i, " ".join(r.choice(w) for _ in range(r.randint(4, 60))), lang) for i, (lang, w) in enumerate(list(words.items()) * 60)]
     df = spark.createDataFrame([(t, lang, i, 5) for i, t, lang in rows], "text string, lang string, doc_id long, score int")
-    model = language.learn(df.where("doc_id % 5 < 3"))
+    model = language.learn(df.where("doc_id % 25 < 15"))
     got = {x.doc_id: x for x in language.identify(df, model).collect()}
     assert sum(got[i].lang_pred == lang for i, _, lang in rows) / len(rows) > 0.97
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !"), (4, "漢字"), (None, "the"), (5, "the and " * 30_000)], "doc_id long, text string")
@@ -297,7 +297,7 @@ def test_engines_agree():
     assert (fast.size == slow.size).all()
 
 
-@given(st.text(alphabet=st.sampled_from(list("ab \n'stl1é漢!") + ["<|endoftext|>", "  ", "\u3000", "\u2003", "\u00a0", "👍🏽", "hello", " world"]), max_size=120), st.lists(st.integers(1, 200), max_size=6))
+@given(st.lists(st.sampled_from([*"ab \n'stl1é漢!", "<|endoftext|>", "  ", "\u3000", "\u2003", "\u00a0", "👍🏽", "hello", " world"]), max_size=120).map("".join), st.lists(st.integers(1, 200), max_size=6))
 @settings(max_examples=300, deadline=None)
 def test_joins_are_repaired(text, at):
     t = bpe.tokenizer(PATH)
