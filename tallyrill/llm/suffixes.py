@@ -36,12 +36,29 @@ GRAM = 32
 #: Most suffixes of one task's sorted runs.
 RUN_ROWS = 400_000
 #: Kinds of packed rows.
-WHOLE, EDGE = 0, 1
+WHOLE, EDGE, ANCHOR, WINDOW = 0, 1, 2, 3
+#: The largest group of suffixes that is searched at once.
+MOST_GROUP = 4096
 
 
 def _anchored(length: int, n: int):
+    """Anchors of all documents. Of equal contexts within a task's share only the earliest goes on; the others are repeats already, however many there are."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Dealer()
+        out, held, rows = Dealer(), [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            x = joined(held)
+            held.clear()
+            again = later_copies(x)
+            if len(again):
+                ids = x["id"][again]
+                yield from out.add({"id": ids, "tag": x["tag"][again], "pos": x["pos"][again], "end": x["pos"][again] + x["n"][again] + length - 1}, id_buckets(ids, n), WHOLE)
+                keep = np.ones(len(x["fp"]), bool)
+                keep[again] = False
+                x = {k: v[keep] for k, v in x.items()}
+            yield from out.add(x, x["fp"] % X.U64(n), ANCHOR)
+
         for batch in batches:
             for part in X.slices(batch, "text"):
                 raw, at = X.utf8(part.column(2))
@@ -51,15 +68,39 @@ def _anchored(length: int, n: int):
                 a, first, last = X.anchors(grams, at, length, GRAM)
                 context = X.Spans(X.mix(raw.astype(X.U64) + X.U64(77)))(first, last + length)
                 doc = np.searchsorted(at, a, "right") - 1
-                yield from out.add({
+                held.append({
                     "fp": grams[a], "sw": context, "id": part.column(0).to_numpy()[doc], "tag": part.column(1).to_numpy()[doc].astype(np.uint16),
                     "pos": (first - at[doc]).astype(np.int64), "n": (last - first + 1).astype(np.uint16), "off": (a - first).astype(np.uint16),
-                }, grams[a] % X.U64(n))
+                })
+                rows += len(a)
+                if rows > out.most:
+                    yield from flush()
+                    rows = 0
+        if held:
+            yield from flush()
         yield from out.flush()
 
     return run
 
 
+def copies(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The rows whose fp and sw others have, too, in order of these and of their places, and which of them are the first of theirs."""
+    key = X.mix(x["fp"]) ^ x["sw"]
+    order = np.argsort(key, kind="stable")
+    size = np.diff(np.append(np.flatnonzero(_changes(key[order])), len(order)))
+    some = order[np.repeat(size, size) > 1]
+    some = some[np.lexsort((x["pos"][some], x["tag"][some], x["id"][some], x["sw"][some], x["fp"][some]))]
+    return some, _changes(x["fp"][some], x["sw"][some])
+
+
+def later_copies(x: dict[str, np.ndarray]) -> np.ndarray:
+    """The rows with an earlier row of the same fp and sw at another place."""
+    some, new = copies(x)
+    lead = some[np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))] if len(some) else some
+    own = (x["id"][some] == x["id"][lead]) & (x["tag"][some] == x["tag"][lead]) & (x["pos"][some] == x["pos"][lead])
+    return some[~own]
+
+
 def _changes(*columns: np.ndarray) -> np.ndarray:
     new = np.zeros(len(columns[0]), bool)
     new[:1] = True
@@ -75,7 +116,11 @@ def _classed(length: int, n: int):
         out = Dealer()
 
         def fn(bucket: int, have: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
-            x = joined(have[0])
+            if WHOLE in have:  # already where their documents will be
+                yield from out.add(y := joined(have[WHOLE]), np.full(len(y["id"]), bucket), WHOLE)
+            if ANCHOR not in have:
+                return
+            x = joined(have[ANCHOR])
             order = np.argsort(x["fp"], kind="stable")
             new = _changes(x["fp"][order])
             size = np.diff(np.append(np.flatnonzero(new), len(order)))
@@ -264,9 +309,21 @@ def _repeats(group: list[tuple[bytes, bytes, int, int, int]], length: int, out:
 
 
 def _merged(length: int, n: int):
+    """Repeats among the merged suffixes. A group of more than MOST_GROUP is passed on window by window, so a task never holds more of one."""
+
     def make():
         dealer = Dealer()
 
+        def passed_on(group: list[tuple]) -> Iterator[pa.RecordBatch]:
+            texts = [left + right for right, left, *_ in group]
+            raw = np.frombuffer(b"".join(texts), np.uint8)
+            at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+            p, which = X.ranges(at[:-1], at[1:] - length + 1)
+            symbols = X.mix(raw.astype(X.U64) + X.U64(77))
+            w1 = X.Spans(symbols)(p, p + length)
+            ids, tags, pos = (np.array([g[k] for g in group]) for k in (2, 3, 4))
+            yield from dealer.add({"w1": w1, "w2": X.Spans(symbols, 12345)(p, p + length), "id": ids[which].astype(np.int64), "tag": tags[which].astype(np.uint16), "pos": pos[which] + p - at[which]}, w1 % X.U64(n), WINDOW)
+
         def fn(_: int, have: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
             blobs = have[0]
             runs = [Run(b["lcp"], b["tails"], b["sizes"]) for b in blobs]
@@ -274,13 +331,21 @@ def _merged(length: int, n: int):
             places = [list(zip(b["id"].tolist(), b["tag"].tolist(), b["pos"].tolist(), strict=True)) for b in blobs]
             out: list[tuple[int, int, int, int]] = []
             group: list[tuple] = []
+            large = False
             for r, i, suffix, lcp in merge(runs):
                 if lcp < GRAM:
-                    if len(group) > 1:
+                    if large:
+                        yield from passed_on(group)
+                    elif len(group) > 1:
                         _repeats(group, length, out)
-                    group = []
+                    group, large = [], False
+                elif len(group) == MOST_GROUP:
+                    yield from passed_on(group)
+                    group, large = [], True
                 group.append((suffix, blobs[r]["left"][lefts[r][i] : lefts[r][i + 1]], *places[r][i]))
-            if len(group) > 1:
+            if large:
+                yield from passed_on(group)
+            elif len(group) > 1:
                 _repeats(group, length, out)
             if out:
                 i, tag, pos, end = zip(*out, strict=True)
@@ -292,6 +357,23 @@ def _merged(length: int, n: int):
     return make
 
 
+def _earliest(length: int, n: int):
+    """Of equal windows that were passed on, all but the earliest."""
+
+    def make():
+        dealer = Dealer()
+
+        def fn(_: int, have: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
+            x = joined(have[WINDOW])
+            again = later_copies({"fp": x["w1"], "sw": x["w2"]} | {k: x[k] for k in ("id", "tag", "pos")})
+            ids, pos = x["id"][again], x["pos"][again]
+            yield from dealer.add({"id": ids, "tag": x["tag"][again], "pos": pos, "end": pos + length}, id_buckets(ids, n), WHOLE)
+
+        return fn, dealer.flush
+
+    return make
+
+
 KEPT = "kept binary, n_bytes long, spans array<struct<start: long, end: long>>"
 
 
@@ -334,7 +416,8 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     found = written(by_bucket(keyed(docs).mapInArrow(_anchored(length, n), BLOB), _classed(length, n), BLOB))
     runs = attach(keyed(docs), found.where(F.col("kind") == EDGE), n, _sorted_runs(length, n), BLOB)
     edges = written(by_bucket(runs, _merged(length, n), BLOB))
-    return found.where(F.col("kind") == WHOLE).unionByName(edges)
+    large = written(by_bucket(edges.where(F.col("kind") == WINDOW), _earliest(length, n), BLOB))
+    return found.unionByName(edges).unionByName(large).where(F.col("kind") == WHOLE)
 
 
 def dedup_substrings(docs: DataFrame, length: int = 100, with_it: str | None = None) -> DataFrame:
