@@ -391,3 +391,51 @@ def test_ids_and_buckets(spark):
     x = {"a": np.arange(5), "b": b"bytes", "c": np.array([1.5])}
     back = tables.unpack(tables.pack(x))
     assert back["b"] == b"bytes" and (back["a"] == x["a"]).all() and back["c"][0] == 1.5
+
+
+def test_later_copies():
+    r = np.random.default_rng(3)
+    x = {k: r.integers(0, m, 400).astype(t) for k, m, t in (("fp", 6, np.uint64), ("sw", 5, np.uint64), ("id", 4, np.int64), ("tag", 2, np.uint16), ("pos", 5, np.int64))}
+    place = list(zip(*(x[k].tolist() for k in ("id", "tag", "pos"))))
+    kind = list(zip(x["fp"].tolist(), x["sw"].tolist()))
+    first = {}
+    for k, p in zip(kind, place):
+        first[k] = min(p, first.get(k, p))
+    assert sorted(suffixes.later_copies(x).tolist()) == [i for i in range(400) if place[i] > first[kind[i]]]
+
+
+def test_large_groups_are_passed_on(monkeypatch):
+    """Contexts around one anchor, resolved in one go and window by window."""
+    import random
+
+    r = random.Random(4)
+    anchor, length = bytes(range(32)), 64
+    entries = []
+    for i in range(40):
+        left, right = bytes(r.choice(b"ab") for _ in range(3)) + b"l" * 12, b"r" * 20 + bytes(r.choice(b"ab") for _ in range(3))
+        entries.append((anchor + right, left, i // 2, 0, (i % 2) * 500))
+    entries.sort()
+    prefix, tails, sizes = suffixes.front_code([e[0] for e in entries])
+    blob = {"lcp": prefix, "tails": tails, "sizes": sizes, "left": b"".join(e[1] for e in entries), "lsizes": np.array([len(e[1]) for e in entries])}
+    blob |= {k: np.array([e[j] for e in entries], t) for j, k, t in ((2, "id", np.int64), (3, "tag", np.uint16), (4, "pos", np.int64))}
+
+    def unpacked(batches):
+        out = {}
+        for b in batches:
+            for kind, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                out.setdefault(kind, []).append(tables.unpack(data))
+        return out
+
+    def spans(blobs):
+        return {(i, p) for b in blobs for i, a, z in zip(b["id"].tolist(), b["pos"].tolist(), b["end"].tolist()) for p in range(a, z)}
+
+    def run(make, have):
+        fn, end = make()
+        return unpacked([*fn(0, have), *end()])
+
+    whole = run(suffixes._merged(length, 4), {0: [blob]})
+    assert suffixes.WINDOW not in whole and spans(whole[suffixes.WHOLE])
+    monkeypatch.setattr(suffixes, "MOST_GROUP", 3)
+    parts = run(suffixes._merged(length, 1), {0: [blob]})
+    later = run(suffixes._earliest(length, 4), {suffixes.WINDOW: parts[suffixes.WINDOW]})
+    assert spans(later[suffixes.WHOLE]) | spans(parts.get(suffixes.WHOLE, [])) == spans(whole[suffixes.WHOLE])
