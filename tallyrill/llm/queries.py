@@ -14,11 +14,11 @@ def fold(doc_id: Column) -> Column:
 
 
 def op1_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From 6 old shards by the hash of the text to 8 new ones of equal bytes."""
-    from .reshard import reshard
+    """From 6 old shards, each of whole blocks by the hash of the text, to 8 new ones of equal bytes."""
+    from .reshard import BLOCKS, reshard
 
     docs = table(spark, sf_dir, "documents")
-    placed = reshard(docs, F.pmod(F.xxhash64(docs["text"]), F.lit(6)), n_old=6, n_new=8)
+    placed = reshard(docs, F.pmod(F.pmod(F.xxhash64(docs["text"]), F.lit(BLOCKS)), F.lit(6)), n_old=6, n_new=8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
