@@ -33,8 +33,8 @@ from .tables import BLOB, BUCKETS_A_PARTITION, Dealer, Lookup, attach, blob_batc
 GRAM = 16
 #: Ids that a task holds before it hands them on.
 MOST_IDS = 8_000_000
-#: Kinds of packed rows: a chunk for its owner to encode; places of chunks; ids of chunks.
-OWN, PLACES, IDS = 0, 1, 2
+#: Kinds of packed rows: a chunk for its owner to encode; buckets of documents that want one; ids of chunks; places of chunks.
+OWN, WANT, IDS, CHUNK = 0, 1, 2, 3
 ENCODED = "id long, tag int, ids binary, n_tokens long, decoded string"
 
 #: Fixed value: the splitter of the byte-level pre-tokenizer.
@@ -143,36 +143,70 @@ def _chunks(part: pa.RecordBatch, column: int, mean: int):
 
 
 def _chunked(mean: int, n: int):
+    """The chunks of all documents: of equal ones within a task's share the earliest place, whether there are more, and the other buckets of documents that have it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Dealer()
+        out, held, rows = Dealer(), [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            x = joined(held)
+            held.clear()
+            order = np.lexsort((x["pos"], x["tag"], x["id"], x["c2"], x["c1"]))
+            x = {k: v[order] for k, v in x.items()}
+            once = _changes(x["c1"], x["c2"], x["id"], x["tag"], x["pos"])
+            x = {k: v[once] for k, v in x.items()}
+            new = _changes(x["c1"], x["c2"])
+            group = np.cumsum(new) - 1
+            bucket = id_buckets(x["id"], n)
+            first = {k: v[new] for k, v in x.items()} | {"many": (np.bincount(group) > 1).astype(np.uint8)}
+            yield from out.add(first, first["c1"] % X.U64(n), CHUNK)
+            other = np.flatnonzero(bucket != bucket[new][group])
+            _, i = np.unique(group[other] * n + bucket[other], return_index=True)
+            other = other[i]
+            yield from out.add({"c1": x["c1"][other], "c2": x["c2"][other], "b": bucket[other].astype(np.int32)}, x["c1"][other] % X.U64(n), WANT)
+
         for batch in batches:
             for part in X.slices(batch, "text"):
                 raw, at, starts, ends, _ = _chunks(part, 2, mean)
                 c1, c2 = _chunk_hashes(raw, starts, ends)
                 doc = np.searchsorted(at, starts, "right") - 1
-                yield from out.add({"c1": c1, "c2": c2, "id": part.column(0).to_numpy()[doc], "tag": part.column(1).to_numpy()[doc].astype(np.uint16), "pos": starts - at[doc], "end": ends - at[doc]}, c1 % X.U64(n))
+                held.append({"c1": c1, "c2": c2, "id": part.column(0).to_numpy()[doc], "tag": part.column(1).to_numpy()[doc].astype(np.uint16), "pos": starts - at[doc], "end": ends - at[doc]})
+                rows += len(starts)
+                if rows > out.most:
+                    yield from flush()
+                    rows = 0
+        if rows:
+            yield from flush()
         yield from out.flush()
 
     return run
 
 
 def _owners(n: int):
+    """Which places encode shared chunks, and which buckets of documents want them."""
+
     def make():
         out = Dealer()
 
         def fn(bucket: int, have: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
-            x = joined(have[0])
+            if CHUNK not in have:
+                return
+            x = joined(have[CHUNK])
             order = np.lexsort((x["pos"], x["tag"], x["id"], x["c2"], x["c1"]))
             x = {k: v[order] for k, v in x.items()}
-            once = _changes(x["c1"], x["c2"], x["id"], x["tag"], x["pos"])
-            x = {k: v[once] for k, v in x.items()}
             new = _changes(x["c1"], x["c2"])
+            place = _changes(x["c1"], x["c2"], x["id"], x["tag"], x["pos"])
             group = np.cumsum(new) - 1
-            several = (np.bincount(group) > 1)[group]
+            several = ((np.bincount(group, weights=place) > 1) | (np.bincount(group, weights=x["many"]) > 0))[group]
             own = new & several
             keep = {k: x[k][own] for k in ("id", "tag", "pos", "end", "c1", "c2")}
             yield from out.add(keep, id_buckets(keep["id"], n), OWN)
-            yield from out.add({k: x[k][several] for k in ("c1", "c2", "id", "tag", "pos")}, np.full(int(several.sum()), bucket), PLACES)
+            want = {"c1": x["c1"][several], "c2": x["c2"][several], "b": id_buckets(x["id"][several], n).astype(np.int32)}
+            if WANT in have:
+                want = joined([want, *have[WANT]])
+            order = np.lexsort((want["b"], want["c2"], want["c1"]))
+            order = order[_changes(want["c1"][order], want["c2"][order], want["b"][order])]
+            yield from out.add({k: v[order] for k, v in want.items()}, np.full(len(order), bucket), WANT)
 
         return fn, out.flush
 
@@ -221,7 +255,7 @@ def _owned(path: str, n: int):
 
 
 def _delivered(n: int):
-    """The ids of shared chunks for each bucket of documents, a chunk once for those in one bucket of chunks, with its places there."""
+    """The ids of shared chunks for each bucket of documents that wants them, each chunk once a bucket."""
 
     def make():
         done: dict[int, list[dict]] = {}
@@ -230,10 +264,6 @@ def _delivered(n: int):
         def flush() -> Iterator[pa.RecordBatch]:
             rows = []
             for bucket, parts in done.items():
-                base = 0
-                for p in parts:
-                    p["chunk"] = p["chunk"] + base
-                    base += len(p["n"])
                 rows.append((bucket, IDS, pack(joined(parts))))
                 if len(rows) == 256:
                     yield blob_batch(rows)
@@ -244,21 +274,16 @@ def _delivered(n: int):
             held[0] = 0
 
         def fn(_: int, have: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
-            if PLACES not in have or IDS not in have:
+            if WANT not in have or IDS not in have:
                 return
-            ids = joined(have[IDS])
+            ids, want = joined(have[IDS]), joined(have[WANT])
             start = np.cumsum(ids["n"]) - ids["n"]
-            chunk = {k: i for i, k in reversed(list(enumerate(zip(ids["c1"].tolist(), ids["c2"].tolist(), strict=True))))}
-            p = joined(have[PLACES])
-            which = np.array([chunk[k] for k in zip(p["c1"].tolist(), p["c2"].tolist(), strict=True)], np.int64)
-            bucket = id_buckets(p["id"], n)
-            order = np.lexsort((which, bucket))
-            for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                own, place = np.unique(which[part], return_inverse=True)
+            chunk = {k: i for i, k in enumerate(zip(ids["c1"].tolist(), ids["c2"].tolist(), strict=True))}
+            which = np.array([chunk.get(k, -1) for k in zip(want["c1"].tolist(), want["c2"].tolist(), strict=True)], np.int64)
+            for b in np.unique(want["b"]).tolist():
+                own = which[(want["b"] == b) & (which >= 0)]
                 where, _ = X.ranges(start[own], start[own] + ids["n"][own])
-                done.setdefault(int(bucket[part[0]]), []).append({
-                    "id": p["id"][part], "tag": p["tag"][part], "pos": p["pos"][part], "chunk": place.astype(np.int64), "n": ids["n"][own], "ids": ids["ids"][where].astype(np.uint32),
-                })
+                done.setdefault(b, []).append({"c1": ids["c1"][own], "c2": ids["c2"][own], "n": ids["n"][own], "ids": ids["ids"][where].astype(np.uint32)})
                 held[0] += len(where)
             if held[0] > MOST_IDS:
                 yield from flush()
@@ -310,25 +335,19 @@ def _assembled(path: str, mean: int, decode: bool):
     def make():
         def fn(batch: pa.RecordBatch, have: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
             t = tokenizer(path)
-            if "look" not in have:
-                blobs = have.get(IDS, [])
-                base, shared = 0, []
-                for b in blobs:
-                    shared.append({k: b[k] for k in ("id", "tag", "pos")} | {"chunk": b["chunk"] + base})
-                    base += len(b["n"])
-                count = np.concatenate([b["n"] for b in blobs]) if blobs else np.empty(0, np.int64)
-                have |= {"look": Lookup(shared), "to": np.cumsum(count), "n": count, "all": np.concatenate([b["ids"] for b in blobs]) if blobs else np.empty(0, np.uint32)}
-            look, to, count, every = have["look"], have["to"], have["n"], have["all"]
+            if "to" not in have:
+                got = joined(have[IDS]) if IDS in have else {"c1": np.empty(0, X.U64), "c2": np.empty(0, X.U64), "n": np.empty(0, np.int64), "ids": np.empty(0, np.uint32)}
+                order = np.argsort(got["c1"], kind="stable")
+                have |= {"c1": got["c1"][order], "c2": got["c2"][order], "to": np.cumsum(got["n"])[order], "n": got["n"][order], "all": got["ids"]}
+            known1, known2, to, count, every = have["c1"], have["c2"], have["to"], have["n"], have["all"]
             for part in X.slices(batch, "text"):
                 raw, at, starts, ends, chunk_at = _chunks(part, 2, mean)
-                lo, hi = look(part.column(0).to_numpy(), part.column(1).to_numpy())
                 ids: list = [None] * len(starts)
-                k, doc = X.ranges(lo, hi)
-                if len(k):
-                    where = look.rows["pos"][k] + at[doc]
-                    i = np.minimum(np.searchsorted(starts, where), len(starts) - 1)
-                    for i_, c in zip(i[starts[i] == where].tolist(), look.rows["chunk"][k][starts[i] == where].tolist(), strict=True):
-                        ids[i_] = every[to[c] - count[c] : to[c]]
+                if len(known1):
+                    c1, c2 = _chunk_hashes(raw, starts, ends)
+                    i = np.minimum(np.searchsorted(known1, c1), len(known1) - 1)
+                    for j in np.flatnonzero((known1[i] == c1) & (known2[i] == c2)).tolist():
+                        ids[j] = every[to[i[j]] - count[i[j]] : to[i[j]]]
                 todo = [i for i, x in enumerate(ids) if x is None]
                 for i, x in zip(todo, t.encode([raw[starts[i] : ends[i]].tobytes().decode() for i in todo]), strict=True):
                     ids[i] = x
@@ -362,7 +381,7 @@ def encode_documents(docs: DataFrame, path: str, mean_chunk: int = 1024, decode:
     n = partitions(spark) * BUCKETS_A_PARTITION
     found = written(by_bucket(keyed(docs).mapInArrow(_chunked(mean_chunk, n), BLOB), _owners(n), BLOB))
     owned = attach(keyed(docs), found.where(F.col("kind") == OWN), n, _owned(path, n), BLOB)
-    shared = written(by_bucket(found.where(F.col("kind") == PLACES).unionByName(owned), _delivered(n), BLOB))
+    shared = written(by_bucket(found.where(F.col("kind") == WANT).unionByName(owned), _delivered(n), BLOB))
     del owned
     collect_garbage(spark)
     out = attach(keyed(docs), shared, n, _assembled(path, mean_chunk, decode), ENCODED)
