@@ -20,7 +20,8 @@ throughout. Links are decided in integers; shingles are told apart by 64-bit has
 A document of fewer words than a shingle has its whole sequence as one shingle; one without words (or text) links with
 nothing. Rows that share a doc_id are one node. A null doc_id sorts first and shows as null.
 
-One task holds one region: the sets that share a key with one pivot, copies counted once.
+A task holds the profiles (128 bytes each) of all that share a key with one pivot, copies counted once, but the sets of
+MOST_MEMBERS at most: larger regions are split into one for each pair of their blocks.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ from .tables import BLOB, BUCKETS_A_PARTITION, NULL_ID, Dealer, Lookup, attach,
 RATIO = 1.2
 EDGES = "a long, b long"
 PIVOTS, ALL_PAIRS = 8, 384
-#: Parts of a profile, and the largest region whose members' profiles are compared.
-PARTS, MOST_PROFILES = 64, 4096
+#: Parts of a profile, and the most sets of one region that meet in a task.
+PARTS, MOST_MEMBERS = 64, 4096
 #: Kinds of packed rows.
 MEMBER, PROFILE = 0, 1
 
@@ -241,6 +242,19 @@ def near(h: np.ndarray, size: np.ndarray, num: int, den: int) -> np.ndarray:
     return out
 
 
+def split(rows: np.ndarray, region: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The members of a large region in a region for each pair of blocks, so that any two still meet and no task holds the sets of all."""
+    n = -(-2 * len(rows) // MOST_MEMBERS)
+    block = np.arange(len(rows)) % n
+    some, name = [], []
+    for i in range(n):
+        for j in range(i if n == 1 else i + 1, n):
+            own = np.flatnonzero((block == i) | (block == j))
+            some.append(rows[own])
+            name.append(X.mix(region[own] ^ X.mix(np.full(len(own), i * n + j + 1, X.U64))))
+    return np.concatenate(some), np.concatenate(name)
+
+
 def _pruned(num: int, den: int, n: int):
     """The members of regions that can link with another member."""
 
@@ -252,12 +266,16 @@ def _pruned(num: int, den: int, n: int):
             h, size = x.pop("h").reshape(-1, PARTS), x["n"].astype(np.int64)
             order = np.lexsort((x["id"], x["c"], x["p"]))
             order = order[_changes(x["p"][order], x["c"][order])]
-            keep = []
             for rows in np.split(order, np.flatnonzero(np.diff(x["p"][order])) + 1):
-                if len(rows) > 1:
-                    keep.append(rows if len(rows) > MOST_PROFILES else rows[near(h[rows], size[rows], num, den)])
-            rows = np.concatenate(keep) if keep else np.empty(0, np.int64)
-            yield from out.add({"id": x["id"][rows], "pc": x["p"][rows], "c": x["c"][rows]}, id_buckets(x["id"][rows], n), MEMBER)
+                if len(rows) < 2:
+                    continue
+                region = x["p"][rows]
+                if len(rows) > MOST_MEMBERS:
+                    rows, region = split(rows, region)
+                else:
+                    ok = near(h[rows], size[rows], num, den)
+                    rows, region = rows[ok], region[ok]
+                yield from out.add({"id": x["id"][rows], "pc": region, "c": x["c"][rows]}, id_buckets(x["id"][rows], n), MEMBER)
 
         return fn, out.flush
 

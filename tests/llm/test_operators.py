@@ -230,6 +230,17 @@ def test_regions():
     assert same(region) == same(whole)
 
 
+@pytest.mark.parametrize("n", [5, 6, 11, 40])
+def test_large_regions_are_split(monkeypatch, n):
+    monkeypatch.setattr(jaccard, "MOST_MEMBERS", 5)
+    rows, region = jaccard.split(np.arange(n), np.full(n, 7, np.uint64))
+    by = {}
+    for i, p in zip(rows.tolist(), region.tolist()):
+        by.setdefault(p, set()).add(i)
+    assert all(any({i, j} <= own for own in by.values()) for i in range(n) for j in range(i))
+    assert max(map(len, by.values())) <= 6
+
+
 def test_jaccard_edges(spark):
     assert jaccard.join(frame(spark, [])).collect() == []
     got = jaccard.join(frame(spark, [(None, "a b c d e f"), (4, "a b c d e f"), (None, "other words in this text here"), (4, "something else entirely is here now"), (5, "a b c d e f")])).collect()
