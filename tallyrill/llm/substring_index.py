@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as X
-from .suffixes import _changes
-from .tables import BLOB, BUCKETS_A_PARTITION, Dealer, Lookup, attach, by_bucket, collect_garbage, dealt, doc_id, id_buckets, joined, keyed, partitions, small_batches, written
+from .suffixes import _changes, copies
+from .tables import BLOB, Dealer, Lookup, attach, by_bucket, collect_garbage, dealt, doc_id, id_buckets, joined, keyed, partitions, small_batches, written
 
 GRAM = 8
-#: Kinds of packed rows: words that repeat for certain, entries to verify.
-HIT, VERIFY = 0, 1
+#: Kinds of packed rows: words that repeat for certain; what a merge-join met, either that (n is 0) or entries to verify; all entries.
+HIT, MET, ENTRY = 0, 1, 2
 
 
 def _words(column: pa.Array):
@@ -39,8 +39,27 @@ def _words(column: pa.Array):
 
 
 def _fingerprints(window: int, n: int):
+    """Entries of all documents. Of equal entries within a task's share two places go on, enough to tell that they repeat; the words of all are reported at once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Dealer()
+        out, held, rows = Dealer(), [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            x = joined(held)
+            held.clear()
+            some, new = copies(x)
+            place = _changes(x["fp"][some], x["sw"][some], x["id"][some], x["tag"][some], x["pos"][some])
+            group = np.cumsum(new) - 1
+            places = np.cumsum(place)
+            nth = places - places[np.flatnonzero(new)][group] if len(some) else places  # of its group's places, from 0
+            many = (np.bincount(group, weights=place) > 2)[group] if len(some) else np.zeros(0, bool)
+            hit = some[many]
+            yield from out.add({k: x[k][hit] for k in ("id", "tag", "pos")} | {"end": x["pos"][hit] + x["n"][hit] + window - 1}, id_buckets(x["id"][hit], n), HIT)
+            keep = np.ones(len(x["fp"]), bool)
+            keep[some[many & (nth > 1)]] = False
+            x = {k: v[keep] for k, v in x.items()}
+            yield from out.add(x, x["fp"] % X.U64(n), ENTRY)
+
         for batch in batches:
             for part in X.slices(batch, "text"):
                 raw, starts, ends, at = _words(part.column(2))
@@ -51,10 +70,16 @@ def _fingerprints(window: int, n: int):
                 grams = spans(i, i + GRAM)
                 a, first, last = X.anchors(grams, at, window, GRAM)
                 doc = np.searchsorted(at, a, "right") - 1
-                yield from out.add({
+                held.append({
                     "fp": grams[a], "sw": spans(first, last + window), "id": part.column(0).to_numpy()[doc], "tag": part.column(1).to_numpy()[doc].astype(np.uint16),
                     "pos": (first - at[doc]).astype(np.int64), "n": (last - first + 1).astype(np.uint16),
-                }, grams[a] % X.U64(n))
+                })
+                rows += len(a)
+                if rows > out.most:
+                    yield from flush()
+                    rows = 0
+        if held:
+            yield from flush()
         yield from out.flush()
 
     return run
@@ -67,10 +92,14 @@ def _in_order(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 def _sorted_run(bucket: int, have: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
     """One bucket of a run, or of several to be merged: entries in order, each place once."""
-    x = _in_order(joined([b for blobs in have.values() for b in blobs]))
+    if HIT in have:  # already where their documents will be
+        yield from dealt(y := joined(have[HIT]), np.full(len(y["id"]), bucket), HIT)
+    if ENTRY not in have:
+        return
+    x = _in_order(joined(have[ENTRY]))
     new = _changes(x["fp"], x["sw"], x["id"], x["tag"], x["pos"])
     x = {k: v[new] for k, v in x.items()}
-    yield from dealt(x, np.full(len(x["fp"]), bucket))
+    yield from dealt(x, np.full(len(x["fp"]), bucket), ENTRY)
 
 
 def _merge_join(newest: int, window: int, n: int):
@@ -96,9 +125,11 @@ def _merge_join(newest: int, window: int, n: int):
             new_group, new_class = _changes(x["fp"]), _changes(x["fp"], x["sw"])
             group, class_ = np.cumsum(new_group) - 1, np.cumsum(new_class) - 1
             hit = (np.bincount(class_) > 1)[class_] & (np.bincount(class_, weights=x["age"]) > 0)[class_]
-            yield from out.add({k: x[k][hit] for k in ("id", "tag", "pos")} | {"end": x["pos"][hit] + x["n"][hit] + window - 1}, id_buckets(x["id"][hit], n), HIT)
             check = new_class & (np.bincount(group, weights=new_class) > 1)[group]
-            yield from out.add({k: x[k][check] for k in ("id", "tag", "pos", "n")}, id_buckets(x["id"][check], n), VERIFY)
+            rows = np.concatenate([np.flatnonzero(hit), np.flatnonzero(check)])
+            met = {k: x[k][rows] for k in ("id", "tag", "pos", "n")} | {"end": x["pos"][rows] + x["n"][rows] + window - 1}
+            met["n"][: int(hit.sum())] = 0
+            yield from out.add(met, id_buckets(met["id"], n), MET)
 
         return fn, out.flush
 
@@ -112,7 +143,7 @@ def _windows(window: int, n: int):
         out = Dealer()
 
         def fn(batch: pa.RecordBatch, have: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
-            look = have.get("look") or have.setdefault("look", Lookup(have.get(VERIFY, [])))
+            look = have.get("look") or have.setdefault("look", Lookup([{k: v[b["n"] > 0] for k, v in b.items()} for b in have.get(MET, [])]))
             for part in X.slices(batch, "text"):
                 lo, hi = look(part.column(0).to_numpy(), part.column(1).to_numpy())
                 if not (hi > lo).any():
@@ -166,7 +197,7 @@ class FingerprintIndex:
         if window <= GRAM:
             raise ValueError(f"window: more than {GRAM} words")
         small_batches(spark)
-        self.spark, self.window, self.n = spark, window, partitions(spark) * BUCKETS_A_PARTITION
+        self.spark, self.window, self.n = spark, window, partitions(spark)
         self.runs: list[DataFrame] = []
         self.documents: DataFrame | None = None
 
@@ -175,16 +206,18 @@ class FingerprintIndex:
         batch = keyed(docs)
         self.documents = batch if self.documents is None else self.documents.unionByName(batch)
         entries = batch.mapInArrow(_fingerprints(self.window, self.n), BLOB)
-        self.runs.append(written(by_bucket(entries, lambda: (_sorted_run, None), BLOB)))
+        run = written(by_bucket(entries, lambda: (_sorted_run, None), BLOB))
+        hits = run.where(F.col("kind") == HIT)
+        self.runs.append(run.where(F.col("kind") == ENTRY))
         newest = len(self.runs) - 1
         all_runs = None
         for age, run in enumerate(self.runs):
             run = run.withColumn("kind", F.lit(age))
             all_runs = run if all_runs is None else all_runs.unionByName(run)
         met = written(by_bucket(all_runs, _merge_join(newest, self.window, self.n), BLOB))
-        windows = attach(self.documents, met.where(F.col("kind") == VERIFY), self.n, _windows(self.window, self.n), BLOB)
+        windows = attach(self.documents, met, self.n, _windows(self.window, self.n), BLOB)
         verified = written(by_bucket(windows, _verified(self.window, self.n), BLOB))
-        return met.where(F.col("kind") == HIT).unionByName(verified)
+        return met.unionByName(verified).unionByName(hits)
 
     def compact(self) -> None:
         """Merges all runs into one."""
@@ -200,7 +233,10 @@ KEPT = "id long, tag int, kept string, n_words long, n_removed long, spans array
 
 def keep_words(batch: pa.RecordBatch, have: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
     """Each document's words outside the found ranges, joined by one space; spans: the maximal ranges of removed words."""
-    look = have.get("look") or have.setdefault("look", Lookup(have.get(HIT, [])))
+    if "look" not in have:
+        certain = [{k: b[k][b["n"] == 0] for k in ("id", "tag", "pos", "end")} for b in have.get(MET, [])]
+        have["look"] = Lookup([*have.get(HIT, []), *certain])
+    look = have["look"]
     for part in X.slices(batch, "text"):
         raw, starts, ends, at = _words(part.column(2))
         n_docs = part.num_rows
