@@ -163,6 +163,33 @@ def test_near_duplicates_empty(spark):
     assert [r.n_links for r in neighbours.near_duplicates(spark.createDataFrame([(1, None)], df.schema)).collect()] == [0]
 
 
+@pytest.mark.parametrize("copies", [False, True])
+def test_near_duplicates_beside_a_large_group(spark, copies):
+    r = np.random.default_rng(5)
+    unit = lambda m: m / np.linalg.norm(m, axis=-1, keepdims=True)
+    one, off = unit(r.normal(size=(900, 64))), r.normal(size=(900, 64))
+    off = unit(off - (off * one).sum(1, keepdims=True) * one)
+    group = np.repeat(unit(one[:1] + 0.02 * r.normal(size=(4, 64))), 400, axis=0) if copies else unit(one[:1] + 0.02 * r.normal(size=(600, 64)))
+    pairs = np.stack([one, 0.905 * one + np.sqrt(1 - 0.905**2) * off], 1)[1:].reshape(-1, 64)
+    rows = [(i, v.tolist()) for i, v in enumerate([*pairs, *group])]
+    got = {x.vec_id: x for x in neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tables=1, audited=F.lit(True)).collect()}
+    assert all(got[i].n_links == len(group) - 1 for i in range(len(pairs), len(rows)))
+    assert sum(got[i].n_links == 1 for i in range(len(pairs))) >= 0.97 * len(pairs)
+
+
+def test_no_group_carries_the_recall(spark):
+    truth = spark.createDataFrame([*((i, 99) for i in range(100)), (100, 1), (101, 1), (102, 2)], "node long, true long")
+    found = spark.createDataFrame([*((i, 99, True) for i in range(100)), (100, 0, False), (101, 1, False), (102, 2, False)], "node long, others long, whole boolean")
+    assert neighbours._recalls(truth, found) == {"compared whole": 1, "one neighbour": 0.5, "several neighbours": 1}
+
+
+@pytest.mark.parametrize("bits", [0, 1, 8, 22])
+def test_tables_follow_from_bits(bits):
+    n = neighbours.tables_for(bits, 0.9, 0.97)
+    same = (1 - np.arccos(0.9) / np.pi) ** bits
+    assert 1 - (1 - same) ** n >= 0.97 > (1 - (1 - same) ** (n - 1) if n > 1 else 0)
+
+
 # 4
 
 SAYINGS = ["\\### Assistant: </turn> ok", "", None, "###", "####", "#" * 7, "</turn>", "<</turn>\n", "\\", "\\\\#", "a\n### user\nb</turn>\n", "<\\/turn>", "#\\##", "é漢👍", "x" * 5000]
