@@ -13,6 +13,7 @@ from ..operators import filter as filter_
 from ..operators import join, udf, window
 from ..operators import map as map_
 from ..sources import generator, jsonl, otlp
+from ..streaming import stateful
 from ..streaming import windows as streaming
 from . import ir
 from .validate import validate
@@ -44,8 +45,9 @@ def read(spark: SparkSession, s: ir.Source, path: str | None, streaming_: bool,
         return generator.stream(spark, **own) if streaming_ else generator.batch(spark, records, **own)
     if path is None:
         raise ValueError(f"source {s.id}: a path is needed")
-    kind = jsonl if isinstance(s, ir.Stdin) else otlp
-    return kind.stream(spark, path) if streaming_ else kind.batch(spark, path)
+    if isinstance(s, ir.Stdin):
+        return jsonl.stream(spark, path) if streaming_ else jsonl.batch(spark, path)
+    return stateful.deltas(otlp.stream(spark, path)) if streaming_ else otlp.batch(spark, path)
 
 
 def read_keys(p: ir.Pipeline, source: str) -> set[str] | None:
@@ -106,5 +108,7 @@ def _node(t: ir.Transform, sources: list[DataFrame], by_id: dict[str, ir.Transfo
     own = dict(zip(t.inputs, sources, strict=True))
     group_by = by_id[t.inputs[0]].group_by
     if live:
+        if t.max_groups is not None:
+            raise ValueError(f"{t.id}: a join in a stream can't have max_groups")
         return streaming.join(own, group_by, t.value, t.name, t.id), dict
     return join.apply(own, group_by, t.value, t.name, t.max_groups, t.id), lambda: join.dropped(own, group_by, t.value, t.max_groups)

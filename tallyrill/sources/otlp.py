@@ -16,6 +16,8 @@ REQUEST = (
     f"metrics:array<struct<name:string,gauge:struct<dataPoints:array<{_POINT}>>,"
     f"sum:struct<dataPoints:array<{_POINT}>,aggregationTemporality:string,isMonotonic:boolean>>>>>>>>"
 )
+#: Orders the files of a micro-batch, which several tasks read.
+ARRIVAL = "_arrival"
 _CUMULATIVE = ("2", "AGGREGATION_TEMPORALITY_CUMULATIVE")
 
 
@@ -36,10 +38,11 @@ def decoded(df: DataFrame, line: str = "value") -> DataFrame:
 
     Exploding keeps the order of a request's points.
     """
-    rows = df.select(F.explode(F.from_json(line, REQUEST)["resourceMetrics"]).alias("rm"))
-    rows = rows.select(F.col("rm.resource.attributes").alias("resource"), F.explode("rm.scopeMetrics").alias("sm"))
-    rows = rows.select("resource", F.col("sm.scope.name").alias("scope"), F.explode("sm.metrics").alias("m"))
-    rows = rows.select("resource", "scope", "m", F.explode(F.coalesce("m.gauge.dataPoints", "m.sum.dataPoints")).alias("p"))
+    own = [c for c in df.columns if c == ARRIVAL]
+    rows = df.select(*own, F.explode(F.from_json(line, REQUEST)["resourceMetrics"]).alias("rm"))
+    rows = rows.select(*own, F.col("rm.resource.attributes").alias("resource"), F.explode("rm.scopeMetrics").alias("sm"))
+    rows = rows.select(*own, "resource", F.col("sm.scope.name").alias("scope"), F.explode("sm.metrics").alias("m"))
+    rows = rows.select(*own, "resource", "scope", "m", F.explode(F.coalesce("m.gauge.dataPoints", "m.sum.dataPoints")).alias("p"))
     p, total = F.col("p"), F.col("m.sum")
     start = p["startTimeUnixNano"].try_cast("bigint")
     cumulative = F.col("m.gauge").isNull() & F.coalesce(total["aggregationTemporality"].isin(*_CUMULATIVE), F.lit(False))
@@ -53,6 +56,7 @@ def decoded(df: DataFrame, line: str = "value") -> DataFrame:
         _attrs(p["attributes"]).alias("attrs"),
         cumulative.alias("_cumulative"),
         F.coalesce(total["isMonotonic"], F.lit(False)).alias("_monotonic"),
+        *own,
     ).where("value is not null")
 
 
@@ -66,4 +70,6 @@ def stream(spark: SparkSession, path: str, max_files: int | None = None) -> Data
     reader = spark.readStream.format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return decoded(reader.load(path))
+    m = "_metadata.file_"
+    arrival = F.format_string("%020d %s %020d", F.unix_micros(f"{m}modification_time"), F.col(f"{m}path"), F.col(f"{m}block_start"))
+    return decoded(reader.load(path).select("value", arrival.alias(ARRIVAL)))

@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions.record import ATTR, attr_map, schema
 from ..operators import normalize
 from ..operators import window as batch
+from ..sources.otlp import ARRIVAL
 
 _FOLDED = "_start bigint, _value double, _samples bigint, _name string, _keys string"
 
@@ -141,15 +142,15 @@ class _Deltas(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
-        for pdf in rows:
-            pdf.columns = ["value", "_monotonic", "_row", "_series"]
-            out = []
-            for v, monotonic in zip(pdf["value"], pdf["_monotonic"], strict=True):
-                out.append(None if last is None else v if monotonic and v < last else v - last)
-                last = v
-            pdf = pdf.assign(value=out)
-            yield pdf[pdf["value"].notna()][["_row", "value"]]
+        pdf = pd.concat(list(rows))
+        pdf.columns = ["value", "_monotonic", "_arrival", "_row", "_series"]
+        pdf = pdf.sort_values("_arrival", kind="stable")  # a shuffle brings the rows of several files in any order
+        out, first = [], last is None
+        for v, monotonic in zip(pdf["value"], pdf["_monotonic"], strict=True):
+            out.append(None if last is None else v if monotonic and v < last else v - last)
+            last = v
         self.last.update((last,))
+        yield pdf.assign(value=out)[["_row", "value"]].iloc[int(first) :]
 
     def close(self) -> None:
         pass
@@ -159,7 +160,8 @@ def deltas(df: DataFrame) -> DataFrame:
     """Cumulative samples (flags ``_cumulative`` and ``_monotonic``, from sources.otlp) to deltas, each series a key. Other records pass."""
     kind = schema()
     columns = [f.name for f in kind.fields]
-    sums = df.where("_cumulative").select("value", "_monotonic", F.to_json(F.struct(*columns)).alias("_row"), F.to_json(F.struct(*(c.alias(f"s{i}") for i, c in enumerate(normalize.series())))).alias("_series"))
+    arrival = F.col(ARRIVAL) if ARRIVAL in df.columns else F.lit("")
+    sums = df.where("_cumulative").select("value", "_monotonic", arrival.alias("_arrival"), F.to_json(F.struct(*columns)).alias("_row"), F.to_json(F.struct(*(c.alias(f"s{i}") for i, c in enumerate(normalize.series())))).alias("_series"))
     out = sums.groupBy("_series").transformWithStateInPandas(_Deltas(), "_row string, value double", "Append", "None")
     made = out.select(F.from_json("_row", kind).alias("r"), F.col("value").alias("_delta")).select("r.*", "_delta").withColumn("value", F.col("_delta")).drop("_delta")
     return df.where("not _cumulative").select(*columns).unionByName(made)

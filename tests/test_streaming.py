@@ -106,6 +106,32 @@ def test_counters(spark, tmp_path):
     assert sorted((r["name"], r["value"]) for r in plain(drained(df, tmp_path, "deltas"))) == [("g", 1), ("g", 1), ("g", 1), ("m", 20), ("m", 75)]
 
 
+def test_counters_in_a_pipeline(spark, tmp_path):
+    folder = tmp_path / "a"
+    folder.mkdir()
+
+    def point(t, v, s):
+        return {"dataPoints": [{"timeUnixNano": str(t * S), "asDouble": v, "attributes": [{"key": "s", "value": {"stringValue": s}}]}]}
+
+    for n, (t, v) in enumerate([(1, 100), (2, 175), (3, 20), (4, 50)]):
+        lines = [{"name": "m", "sum": point(t, v, "x") | {"aggregationTemporality": 2, "isMonotonic": True}}, {"name": "g", "gauge": point(90 if n == 3 else t, 1, "y")}]
+        file = folder / f"{9 - n}.txt"  # the last to arrive has the least name
+        file.write_text("\n".join(json.dumps({"resourceMetrics": [{"scopeMetrics": [{"metrics": [x]}]}]}) for x in lines))
+        os.utime(file, (1_000_000 + n, 1_000_000 + n))
+    p = ir.from_dict({"sources": [{"type": "otlp", "id": "a"}], "transforms": [win()], "sinks": [{"type": "stdout", "id": "o", "input": "w"}]})
+    df = compile_pipeline(spark, p, {"a": str(folder)}, stream=True).frames["w"]
+    got = plain(drained(df, tmp_path, "counted"))
+    assert sorted((r["start"] // S, r["attrs"]["s"], r["value"]) for r in got) == [(0, "x", 75 + 20 + 30), (0, "y", 3)]
+
+
+def test_a_cap_of_a_join_is_refused(spark, tmp_path):
+    for k in "ab":
+        write(tmp_path / k, 0, [(1, 1, "x")])
+    p = pipeline(win("hi", "a"), win("lo", "b"), {"type": "join", "id": "j", "inputs": ["hi", "lo"], "value": "hi - lo", "max_groups": 1}, sources=("a", "b"))
+    with pytest.raises(ValueError, match="max_groups"):
+        compile_pipeline(spark, p, {k: str(tmp_path / k) for k in "ab"}, stream=True)
+
+
 def test_sub_microsecond_windows_are_refused(spark, tmp_path):
     (tmp_path / "a").mkdir()
     with pytest.raises(ValueError, match="microseconds"):
