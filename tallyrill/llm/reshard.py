@@ -5,8 +5,9 @@ carried out in blocks: rows are hashed by text into BLOCKS blocks, whose sizes (
 each old shard's blocks are given to new shards until its flows are filled, largest first. Only shards that gain or lose
 a block are rewritten.
 
-Rows with equal texts stay in one shard. A text whose copies hold over half a shard's capacity is an exception: no near
-equal law can hold with it in one shard, so its rows are dealt into blocks by doc_id. Null texts count one byte and are
+Rows with equal texts stay in one shard. A text whose copies hold more than a shard's capacity is an exception: no near
+equal law can hold with it in one shard, so its rows are dealt into blocks by doc_id. Of texts over half a capacity, two
+don't fit in one shard: the largest, one for each new shard, are blocks of their own, and others are dealt out, too. Null texts count one byte and are
 a group of their own; rows that repeat doc_id and text are rows of their own; an empty table gives no rows.
 """
 
@@ -90,7 +91,7 @@ def block_transfers(sizes: dict[tuple[int, int], int], n_old: int, n_new: int) -
     free = capacity[:]
     for (old, block), size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
         to = max(range(n_new), key=lambda j: (min(room[old][j], free[j]) >= size, min(room[old][j], free[j]), j == old, -j))
-        if min(room[old][to], free[to]) < size // 2:
+        if min(room[old][to], free[to]) < size // 2 or free[to] < size:
             to = max(range(n_new), key=lambda j: (free[j], j == old, -j))
         out[old, block] = to
         room[old][to] -= size
@@ -113,14 +114,17 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int = 8) -> D
         old_shard.cast("int").alias("old_shard"),
     )
     total = rows.agg(F.sum("size")).first()[0] or 0
-    heavy = rows.groupBy("group").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > F.lit(total / n_new / 2)).select("group", F.lit(True).alias("heavy"))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(BLOCKS * PARTS))
     # under 2 * n_new groups can each hold over half a capacity
+    large = rows.groupBy("group").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > F.lit(total / n_new / 2)).orderBy(F.desc("bytes"), "group").collect()
+    whole = [r["group"] for r in large if r["bytes"] <= total // n_new][:n_new]
+    own_block = {g: 2 * BLOCKS + i for i, g in enumerate(whole)}
+    heavy = spark.createDataFrame([(r["group"], own_block.get(r["group"], -1)) for r in large], "group long, own int")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(BLOCKS * PARTS))
     rows = rows.join(F.broadcast(heavy), "group", "left").select(
         "doc_id", "size", "text_crc32", "old_shard", (part % PARTS).cast("int").alias("part"),
-        F.when(F.col("heavy"), F.lit(BLOCKS) + F.floor(part / PARTS)).otherwise(F.pmod("group", F.lit(BLOCKS))).cast("int").alias("block"),
+        F.when(F.col("own") >= 0, F.col("own")).when(F.col("own") < 0, F.lit(BLOCKS) + F.floor(part / PARTS)).otherwise(F.pmod("group", F.lit(BLOCKS))).cast("int").alias("block"),
     )
-    stats = rows.groupBy("old_shard", "block", "part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).toPandas()  # 2 * BLOCKS * PARTS rows for each old shard at most
+    stats = rows.groupBy("old_shard", "block", "part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).toPandas()  # (2 * BLOCKS + n_new) * PARTS rows for each old shard at most
     sizes: dict[tuple[int, int], int] = defaultdict(int)
     for old, block, size in zip(stats["old_shard"], stats["block"], stats["bytes"], strict=True):
         sizes[int(old), int(block)] += int(size)

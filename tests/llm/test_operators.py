@@ -68,6 +68,16 @@ def test_resharding_a_hot_text(spark):
     assert len(size) == 8 and max(size.values()) < 1.05 * min(size.values())
 
 
+def test_texts_over_half_a_shard_stay_whole(spark):
+    docs = [(i, f"large text {i % 10} " if i % 10 < 6 else f"text {i:07} x ") for i in range(4000)]
+    where, size = {}, {}
+    for r in placed(spark, docs):
+        where.setdefault(dict(docs)[r.doc_id], set()).add(r.shard)
+        size[r.shard] = size.get(r.shard, 0) + r.size
+    assert all(len(s) == 1 for s in where.values())
+    assert len(size) == 8 and max(size.values()) < 1.05 * min(size.values())
+
+
 def test_resharding_edges(spark):
     assert placed(spark, []) == []
     assert len(placed(spark, [(None, None), (1, "a"), (1, "a")])) == 3
