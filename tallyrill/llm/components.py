@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import discard, with_facts, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -15,18 +15,19 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """node, component (the smallest node reachable): one row for each node of the edges (a, b). The driver sees counts only.
 
-    Raises if ``most_rounds`` didn't suffice; rounds grow with the logarithm of the longest shortest path.
+    Nodes are of any type that has an order. Raises if ``most_rounds`` didn't suffice; rounds grow with the logarithm of the longest shortest path.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = written(e)
     state = _state(e)
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("rows"))
+        large = with_facts(both, least, ["u"], 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+        before, e = e, written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+        discard(before)
         now = _state(e)
         if now == state:
             return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -9,7 +9,9 @@ set that shares a key with it; so a set near a boundary is replicated to the reg
 that links meets in one region.
 
 Before sets are sent to regions, their profiles are: counts of shingles in 64 parts. Profiles differ by no more than the sets
-do, so members whose profiles are too far from all others' can't link and aren't sent.
+do, so a region of many members is cut into Voronoi cells of pivots by its profiles' distances, again and again: a member goes
+to its nearest pivot's cell and to each whose pivot is farther by twice its radius at most, the most that it can differ from a
+set that it links with. Members whose profiles are too far from all others' can't link and aren't sent.
 
 Regions are joined recursively and exactly: distances to a few pivots give links and, where these leave more than one
 component, Voronoi regions; a member goes to every region whose pivot is as near as its nearest one plus twice the
@@ -18,10 +20,11 @@ all pairs. What leaves a region is a spanning forest of its links, not its pairs
 throughout. Links are decided in integers; shingles are told apart by 64-bit hashes.
 
 A document of fewer words than a shingle has its whole sequence as one shingle; one without words (or text) links with
-nothing. Rows that share a doc_id are one node. A null doc_id sorts first and shows as null.
+nothing. Rows are told apart by doc_id and 16 bits of their text's hash. In join() rows that share a doc_id are one node, so
+all their links are its own; representatives() takes them for documents of their own. A null doc_id sorts first and shows as null.
 
 A task holds the profiles (128 bytes each) of all that share a key with one pivot, copies counted once, but the sets of
-MOST_MEMBERS at most: larger regions are split into one for each pair of their blocks.
+MOST_MEMBERS at most: cells that no pivots can cut further are split into one region for each pair of their blocks.
 """
 
 from __future__ import annotations
@@ -37,10 +40,10 @@ from pyspark.sql import functions as F
 from . import text as X
 from .components import connected_components
 from .suffixes import _changes
-from .tables import BLOB, BUCKETS_A_PARTITION, NULL_ID, Dealer, Lookup, attach, blob_batch, by_bucket, collect_garbage, id_buckets, joined, keyed, pack, partitions, small_batches, written
+from .tables import BLOB, BUCKETS_A_PARTITION, NULL_ID, Dealer, Lookup, attach, blob_batch, by_bucket, discard, id_buckets, joined, keyed, pack, partitions, small_batches, with_facts, written
 
 RATIO = 1.2
-EDGES = "a long, b long"
+EDGES = "a struct<id:long,tag:int>, b struct<id:long,tag:int>"
 PIVOTS, ALL_PAIRS = 8, 384
 #: Parts of a profile, and the most sets of one region that meet in a task.
 PARTS, MOST_MEMBERS = 64, 4096
@@ -141,27 +144,27 @@ def profiles(s: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _keyed_sets(k: int, num: int, den: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, classes = Dealer(), Classes(num, den)
-        seen: dict[int, int] = {}
+        seen: dict[int, tuple[int, int]] = {}
         for batch in batches:
             for part in X.slices(batch, "text"):
                 s, at = shingles(part.column(2), k)
-                c, ids = set_hash(s, at), part.column(0).to_numpy()
+                c, ids, tags = set_hash(s, at), part.column(0).to_numpy(), part.column(1).to_numpy().astype(np.uint16)
                 size = np.diff(at)
-                # copies that this task has seen with a smaller doc_id add nothing
+                # copies that this task has seen at a smaller place add nothing
                 fresh = np.zeros(len(c), bool)
-                for i in np.flatnonzero(size > 0):
-                    if seen.get(int(c[i]), 1 << 63) > int(ids[i]):
-                        seen[int(c[i])] = int(ids[i])
+                for i, one, *place in zip(range(len(c)), c.tolist(), ids.tolist(), tags.tolist(), strict=True):
+                    if size[i] and seen.get(one, (1 << 63, 0)) > (place := tuple(place)):
+                        seen[one] = place
                         fresh[i] = True
                 if len(seen) > 2_000_000:
                     seen.clear()
                 chosen = np.flatnonzero(fresh)
                 take, _ = X.ranges(at[chosen], at[chosen + 1])
                 bounds = np.concatenate([[0], np.cumsum(size[chosen])])
-                yield from out.add({"c": c[chosen], "id": ids[chosen], "n": size[chosen].astype(np.int32), "h": profiles(s[take], bounds)}, id_buckets(ids[chosen], n), PROFILE)
+                yield from out.add({"c": c[chosen], "id": ids[chosen], "tag": tags[chosen], "n": size[chosen].astype(np.int32), "h": profiles(s[take], bounds)}, id_buckets(ids[chosen], n), PROFILE)
                 key, doc = keys(s[take], bounds, classes)
                 doc = chosen[doc]
-                yield from out.add({"key": key, "c": c[doc], "id": ids[doc]}, key % X.U64(n))
+                yield from out.add({"key": key, "c": c[doc], "id": ids[doc], "tag": tags[doc]}, key % X.U64(n))
         yield from out.flush()
 
     return run
@@ -184,13 +187,13 @@ def _regions(n: int):
             order = np.argsort(x["key"], kind="stable")
             size = np.diff(np.append(np.flatnonzero(_changes(x["key"][order])), len(order)))
             x = {k: v[order[np.repeat(size, size) > 1]] for k, v in x.items()}
-            order = np.lexsort((x["id"], x["c"], x["key"]))
+            order = np.lexsort((x["tag"], x["id"], x["c"], x["key"]))
             once = order[_changes(x["key"][order], x["c"][order])]
-            x = {k: v[once] for k, v in x.items()}  # a class once a key, by its smallest doc_id
+            x = {k: v[once] for k, v in x.items()}  # a class once a key, by its smallest row
             if not len(x["key"]):
                 return
             group = np.cumsum(_changes(x["key"])) - 1
-            first = np.lexsort((x["id"], group))
+            first = np.lexsort((x["tag"], x["id"], group))
             first = first[np.searchsorted(group[first], np.arange(group[-1] + 1))]
             keep = (np.bincount(group) > 1)[group]
             pivot, pivot_class = x["id"][first][group], x["c"][first][group]
@@ -198,7 +201,7 @@ def _regions(n: int):
             order = np.lexsort((x["pc"], x["c"]))
             once = order[_changes(x["c"][order], x["pc"][order])]
             ids = x["id"][once]
-            yield from out.add({"id": ids, "pc": x["pc"][once], "c": x["c"][once]}, id_buckets(ids, n), MEMBER)
+            yield from out.add({"id": ids, "tag": x["tag"][once], "pc": x["pc"][once], "c": x["c"][once]}, id_buckets(ids, n), MEMBER)
 
         return fn, out.flush
 
@@ -216,12 +219,12 @@ def _profiled(n: int):
                 return
             p, x = joined(have[PROFILE]), joined(have[MEMBER])
             h = p["h"].reshape(-1, PARTS)
-            order = np.lexsort((p["id"], p["c"]))
+            order = np.argsort(p["c"], kind="stable")
             at = np.searchsorted(p["c"][order], x["c"])  # rows of a class have one profile
             own = order[at]
-            once = np.lexsort((x["pc"], x["c"], x["id"]))
-            once = once[_changes(x["pc"][once], x["c"][once], x["id"][once])]
-            yield from out.add({"p": x["pc"][once], "c": x["c"][once], "id": x["id"][once], "n": p["n"][own[once]], "h": h[own[once]]}, x["pc"][once] % X.U64(n))
+            once = np.lexsort((x["pc"], x["c"], x["tag"], x["id"]))
+            once = once[_changes(x["pc"][once], x["c"][once], x["tag"][once], x["id"][once])]
+            yield from out.add({"p": x["pc"][once], "c": x["c"][once], "id": x["id"][once], "tag": x["tag"][once], "n": p["n"][own[once]], "h": h[own[once]]}, x["pc"][once] % X.U64(n))
 
         return fn, out.flush
 
@@ -255,6 +258,30 @@ def split(rows: np.ndarray, region: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(some), np.concatenate(name)
 
 
+def cells(rows: np.ndarray, h: np.ndarray, size: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, bool]]:
+    """Voronoi cells of the rows by profiles, with the members near their borders, such that two rows that link share a cell; and whether it has MOST_MEMBERS at most.
+
+    ``h``, ``size``: of all rows. A set of n shingles differs from one that it links with by n * (den - num) / num at most.
+    """
+    if len(rows) <= MOST_MEMBERS:
+        yield rows, True
+        return
+    own = h[rows]
+    pivot, distance = 0, []
+    for _ in range(PIVOTS):
+        distance.append(np.abs(own - own[pivot]).sum(1, dtype=np.int64))
+        pivot = int(np.min(distance, axis=0).argmax())  # the farthest from all pivots so far
+    d = np.array(distance)
+    reach = d.min(0) + 2 * (size[rows] * (den - num) // num)
+    parts = [rows[x <= reach] for x in d]
+    if max(map(len, parts)) > 0.8 * len(rows):
+        yield rows, False
+        return
+    for part in parts:
+        if len(part) > 1:
+            yield from cells(part, h, size, num, den)
+
+
 def _pruned(num: int, den: int, n: int):
     """The members of regions that can link with another member."""
 
@@ -269,13 +296,14 @@ def _pruned(num: int, den: int, n: int):
             for rows in np.split(order, np.flatnonzero(np.diff(x["p"][order])) + 1):
                 if len(rows) < 2:
                     continue
-                region = x["p"][rows]
-                if len(rows) > MOST_MEMBERS:
-                    rows, region = split(rows, region)
-                else:
-                    ok = near(h[rows], size[rows], num, den)
-                    rows, region = rows[ok], region[ok]
-                yield from out.add({"id": x["id"][rows], "pc": region, "c": x["c"][rows]}, id_buckets(x["id"][rows], n), MEMBER)
+                for i, (cell, small) in enumerate(cells(rows, h, size, num, den)):
+                    region = X.mix(x["p"][cell] ^ X.mix(np.full(len(cell), i, X.U64)))
+                    if small:
+                        ok = near(h[cell], size[cell], num, den)
+                        cell, region = cell[ok], region[ok]
+                    else:
+                        cell, region = split(cell, region)
+                    yield from out.add({"id": x["id"][cell], "tag": x["tag"][cell], "pc": region, "c": x["c"][cell]}, id_buckets(x["id"][cell], n), MEMBER)
 
         return fn, out.flush
 
@@ -292,8 +320,8 @@ def _replicated(k: int, n: int):
         def flush() -> Iterator[pa.RecordBatch]:
             rows = []
             for bucket, own in todo.items():
-                p, c, ids, sets = zip(*own, strict=True)
-                rows.append((bucket, 0, pack({"p": np.array(p, X.U64), "c": np.array(c, X.U64), "id": np.array(ids, np.int64), "n": np.array([len(s) for s in sets], np.int64), "s": np.concatenate(sets)})))
+                p, c, ids, tags, sets = zip(*own, strict=True)
+                rows.append((bucket, 0, pack({"p": np.array(p, X.U64), "c": np.array(c, X.U64), "id": np.array(ids, np.int64), "tag": np.array(tags, np.uint16), "n": np.array([len(s) for s in sets], np.int64), "s": np.concatenate(sets)})))
                 if len(rows) == 256:
                     yield blob_batch(rows)
                     rows = []
@@ -309,21 +337,21 @@ def _replicated(k: int, n: int):
                 have["look"], have["done"] = Lookup(have[0]), set()
             look, done = have["look"], have["done"]
             for part in X.slices(batch, "text"):
-                ids = part.column(0).to_numpy()
-                lo, hi = look(ids, np.zeros(len(ids), np.uint16))  # rows that share an id are told apart by their sets' hashes
+                ids, tags = part.column(0).to_numpy(), part.column(1).to_numpy().astype(np.uint16)
+                lo, hi = look(ids, tags)
                 some = np.flatnonzero(hi > lo)
                 if not len(some):
                     continue
                 s, at = shingles(part.column(2).take(pa.array(some)), k)
                 own = set_hash(s, at)
                 for j, d in enumerate(some.tolist()):
-                    if own[j] in done:
+                    regions = look.rows["pc"][lo[d] : hi[d]][look.rows["c"][lo[d] : hi[d]] == own[j]]
+                    if own[j] in done or not len(regions):
                         continue
                     done.add(own[j])
                     one = s[at[j] : at[j + 1]]
-                    rows = look.rows
-                    for p in np.unique(rows["pc"][lo[d] : hi[d]][rows["c"][lo[d] : hi[d]] == own[j]]).tolist():
-                        todo.setdefault(p % n, []).append((p, own[j], int(ids[d]), one))
+                    for p in np.unique(regions).tolist():
+                        todo.setdefault(p % n, []).append((p, own[j], int(ids[d]), int(tags[d]), one))
                         held[0] += len(one)
                 if held[0] > 2_000_000:
                     yield from flush()
@@ -436,22 +464,23 @@ class Region:
 def _joined(num: int, den: int):
     def make():
         def fn(_: int, have: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
-            x = joined(have[0], "p", "c", "id", "n")
+            x = joined(have[0], "p", "c", "id", "tag", "n")
             sets = [s for b in have[0] for s in np.split(b["s"], np.cumsum(b["n"])[:-1])]  # views of the blobs
-            order = np.lexsort((x["id"], x["c"], x["p"]))
+            order = np.lexsort((x["tag"], x["id"], x["c"], x["p"]))
             order = order[_changes(x["p"][order], x["c"][order])]
-            a, b = [], []
+            ends: list[np.ndarray] = []
             for rows in np.split(order, np.flatnonzero(np.diff(x["p"][order])) + 1):
                 if len(rows) < 2:
                     continue
-                rows = rows[np.argsort(x["id"][rows], kind="stable")]
+                rows = rows[np.lexsort((x["tag"][rows], x["id"][rows]))]
                 region = Region([sets[i] for i in rows], num, den)
                 region.join(np.arange(len(rows)))
-                for i, j in region.forest.edges:
-                    a.append(x["id"][rows[i]])
-                    b.append(x["id"][rows[j]])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                if region.forest.edges:
+                    ends.append(rows[np.array(region.forest.edges)])
+            if ends:
+                rows = np.concatenate(ends)
+                places = [pa.StructArray.from_arrays([pa.array(x["id"][own]), pa.array(x["tag"][own].astype(np.int32))], ["id", "tag"]) for own in rows.T]
+                yield pa.RecordBatch.from_arrays(places, names=["a", "b"])
 
         return fn, None
 
@@ -464,34 +493,91 @@ def _sets(k: int):
             for part in X.slices(batch, "text"):
                 s, at = shingles(part.column(2), k)
                 size = np.diff(at)
-                c = pa.array(set_hash(s, at).view(np.int64), mask=size == 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), c, pa.array(size)], names=["id", "tag", "class", "n_shingles"])
+                none = size == 0
+                c = [pa.array(set_hash(own, at).view(np.int64), mask=none) for own in (s, X.mix(s ^ X.U64(0x94D049BB133111EB)))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *c, pa.array(size)], names=["id", "tag", "class", "class2", "n_shingles"])
 
     return run
 
 
-def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """id, tag, n_shingles, component: one row for each row of ``docs``; sets link if den * |intersection| >= num * |union|."""
+def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, unite: bool = True) -> DataFrame:
+    """id, tag, n_shingles, component (id and tag): one row for each row of ``docs``; sets link if den * |intersection| >= num * |union|.
+
+    Component: the smallest row reachable. ``unite``: rows that share an id are one node.
+    """
     if not 0 < num < den:
         raise ValueError("num: between 0 and den")
     spark = docs.sparkSession
     small_batches(spark)
     n = partitions(spark) * BUCKETS_A_PARTITION
-    members = written(by_bucket(keyed(docs).mapInArrow(_keyed_sets(k, num, den, n), BLOB), _regions(n), BLOB))
-    members = written(by_bucket(by_bucket(members, _profiled(n), BLOB), _pruned(num, den, n), BLOB))
-    edges = by_bucket(attach(keyed(docs), members, n, _replicated(k, n), BLOB), _joined(num, den), EDGES)
+    seeds = written(by_bucket(keyed(docs).mapInArrow(_keyed_sets(k, num, den, n), BLOB), _regions(n), BLOB))
+    members = written(by_bucket(by_bucket(seeds, _profiled(n), BLOB), _pruned(num, den, n), BLOB))
+    discard(seeds)
+    edges = written(by_bucket(attach(keyed(docs), members, n, _replicated(k, n), BLOB), _joined(num, den), EDGES))
+    discard(members)
+    rows = written(keyed(docs).mapInArrow(_sets(k), "id long, tag int, class long, class2 long, n_shingles long"))
+    sets, place = rows.where("class is not null"), F.struct("id", "tag")
+    classes = sets.groupBy("class", "class2").agg(F.min(place).alias("node"), F.count(F.lit(1)).alias("rows"))
+    if unite:
+        twice = sets.groupBy("id").agg(F.min(F.struct("class", "class2")).alias("a"), F.max(F.struct("class", "class2")).alias("b")).where("a <> b").select("id")
+        nodes = sets.join(twice, "id").select("id", "class", "class2").distinct().join(classes, ["class", "class2"]).select("id", "node")
+        edges = edges.unionByName(nodes.join(nodes.groupBy("id").agg(F.min("node").alias("least")), "id").select(F.col("node").alias("a"), F.col("least").alias("b")))
     found = connected_components(edges)
-    del edges
-    collect_garbage(spark)
-    rows = written(keyed(docs).mapInArrow(_sets(k), "id long, tag int, class long, n_shingles long"))
-    # all rows of a class have one component: that of its smallest id
-    classes = rows.where("class is not null").groupBy("class", "n_shingles").agg(F.min("id").alias("node"))
-    classes = classes.join(found, "node", "left").select("class", "n_shingles", F.coalesce("component", "node").alias("component"))
-    with_class = rows.where("class is not null").join(classes, ["class", "n_shingles"]).select("id", "tag", "n_shingles", "component")
-    return with_class.unionByName(rows.where("class is null").select("id", "tag", "n_shingles", F.col("id").alias("component")))
+    classes = classes.join(found, "node", "left").select("class", "class2", "rows", F.coalesce("component", "node").alias("component"))
+    with_class = with_facts(sets, written(classes), ["class", "class2"], sets.count()).select("id", "tag", "n_shingles", "component")
+    empty = rows.where("class is null").select("id", "tag", "n_shingles", place.alias("component"))
+    if unite:
+        other = with_class.join(empty.select("id").distinct(), "id").groupBy("id").agg(F.min("component").alias("other"))
+        first = rows.where("class is null").groupBy("id").agg(F.min(place).alias("first"))
+        empty = empty.join(first.join(other, "id", "left"), "id").select("id", "tag", "n_shingles", F.coalesce("other", "first").alias("component"))
+    return with_class.unionByName(empty)
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of ``docs``."""
     null = lambda c: F.when(F.col(c) > NULL_ID, F.col(c))
-    return components(docs, k, num, den).select(null("id").alias("doc_id"), "n_shingles", null("component").alias("component_id"))
+    return components(docs, k, num, den).select(null("id").alias("doc_id"), "n_shingles", null("component.id").alias("component_id"))
+
+
+def _losing(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Dealer()
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            yield from out.add({"id": ids, "tag": batch.column(1).to_numpy().astype(np.uint16)}, id_buckets(ids, n))
+        yield from out.flush()
+
+    return run
+
+
+def _staying(columns: list[str]):
+    def make():
+        def fn(batch: pa.RecordBatch, have: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
+            look = have.get("look") or have.setdefault("look", Lookup(have.get(0, [])))
+            seen = have.setdefault("seen", set())
+            ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.uint16)
+            lo, hi = look(ids, tags)
+            stay = []
+            for i in np.flatnonzero(hi == lo).tolist():
+                place = (int(ids[i]), int(tags[i]))
+                if place not in seen:
+                    seen.add(place)
+                    stay.append(i)
+            row = batch.column(batch.num_columns - 1).take(pa.array(stay, pa.int64()))
+            yield pa.RecordBatch.from_arrays(row.flatten() if columns else [], names=columns)
+
+        return fn, None
+
+    return make
+
+
+def representatives(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` that stay when of each component only the smallest does, whole: of rows that repeat doc_id and text one; rows without words stay.
+
+    The rows that leave are listed (doc_id and tag) and brought to the rows, so texts move once.
+    """
+    found = components(docs, k, num, den, unite=False)
+    n = partitions(docs.sparkSession) * BUCKETS_A_PARTITION
+    losing = written(found.where(F.struct("id", "tag") != F.col("component")).select("id", "tag").mapInArrow(_losing(n), BLOB))
+    rows = keyed(docs, F.struct(*(docs[c] for c in docs.columns)).alias("row")).select("id", "tag", "row")
+    return attach(rows, losing, n, _staying(docs.columns), docs.schema)

@@ -2,7 +2,8 @@
 
 Features are the frequencies of hashed byte n-grams (1 to MOST_GRAM bytes) of the lower-cased text, letters only: anything
 else counts as one space. All machines are linear, so a text's decision values are means over its n-grams, and whole texts
-of any length are scored in one pass. Models are fitted in numpy on a bounded sample of labelled rows (``most_rows``).
+of any length are scored in one pass. Models are fitted in numpy on a bounded sample of labelled rows (``most_rows``),
+as many of each language. A text's features are its own, whatever other texts are in the batch.
 
 A text that is null or has no letter is ``und`` with score 0; so is every text where nothing was learned.
 """
@@ -17,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import text as X
-from .tables import sampled, small_batches
+from .tables import small_batches
 
 #: Families of the ISO 639-1 codes; a language that isn't here is a family of its own.
 FAMILIES = {
@@ -39,23 +41,34 @@ def family(lang: str) -> str:
     return next((f for f, own in FAMILIES.items() if lang in own), lang)
 
 
-def grams(raw: np.ndarray, at: np.ndarray, dims: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length the features of the n-grams and the offsets of each text's; repeated spaces aren't counted."""
-    low = _LETTERS[raw]
+def grams(raw: np.ndarray, at: np.ndarray, dims: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length the features of the n-grams, the offsets of each text's, and how many each text has.
+
+    A text begins and ends with one space, and repeated spaces are one. The last places of a text, where an n-gram would go on
+    into the next one, hold the feature ``dims``, which has no weight, so a text's features are its own wherever it stands.
+    """
+    n = len(at) - 1
+    if not n:
+        return
+    low = np.insert(_LETTERS[raw], np.repeat(at, 2)[1:-1], 32)
+    at = at + 2 * np.arange(n + 1)
     keep = np.ones(len(low), bool)
     keep[1:] = (low[1:] != 32) | (low[:-1] != 32)
-    at = np.concatenate([[0], np.cumsum(keep)])[at]
+    keep[at[:-1]] = True
     low = low[keep]
+    at = np.concatenate([[0], np.cumsum(keep)])[at]
+    size = np.diff(at)
     h = np.zeros(len(low), np.uint32)
     for k in range(1, MOST_GRAM + 1):
-        if len(low) < k:
-            return
-        h = (h[: len(low) - k + 1] ^ low[k - 1 :]) * np.uint32(0x01000193)
+        have = max(len(low) - k + 1, 0)
+        h[:have] = (h[:have] ^ low[k - 1 :]) * np.uint32(0x01000193)
         h ^= h >> np.uint32(15)
         m = h * np.uint32(0x9E3779B1)
         m ^= m >> np.uint32(16)
-        # those that begin in a text but end beyond it count for it, too few to matter, but not beyond the last text
-        yield (m % np.uint32(dims)).astype(np.int32), np.minimum(at, len(m))
+        m = (m % np.uint32(dims)).astype(np.int32)
+        for j in range(1, min(k, len(low) + 1)):
+            m[(at[1:] - j)[size >= j]] = dims
+        yield m, at, np.maximum(size - k + 1, 0)
 
 
 def frequencies(texts: list[str], dims: int) -> np.ndarray:
@@ -63,9 +76,9 @@ def frequencies(texts: list[str], dims: int) -> np.ndarray:
     for i, t in enumerate(texts):
         raw = np.frombuffer(t.encode(), np.uint8)
         n = 0
-        for h, _ in grams(raw, np.array([0, len(raw)]), dims):
-            out[i] += np.bincount(h, minlength=dims)
-            n += len(h)
+        for h, _, count in grams(raw, np.array([0, len(raw)]), dims):
+            out[i] += np.bincount(h, minlength=dims + 1)[:dims]
+            n += int(count[0])
         out[i] /= max(n, 1)
     return out
 
@@ -166,23 +179,34 @@ def predict(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not model.langs:
         return np.full(n, "und", object), np.zeros(n)
     total, count = np.zeros((n, model.weights.shape[1])), np.zeros(n)
-    for h, own in grams(raw, at, model.dims):
-        count += np.diff(own)
+    weights = np.append(model.weights, np.zeros((1, model.weights.shape[1]), np.float32), 0).T.astype(np.float64, order="C")
+    for h, own, many in grams(raw, at, model.dims):
+        count += many
         for c in range(total.shape[1]):
-            sums = np.zeros(len(h) + 1)
-            np.cumsum(model.weights[h, c], out=sums[1:])
-            total[:, c] += sums[own[1:]] - sums[own[:-1]]
+            total[:, c] += np.add.reduceat(weights[c][h], own[:-1])
     lang, score = model.decide(total / np.maximum(count, 1)[:, None] + model.bias)
     none = ~has_letter(texts)
     lang[none], score[none] = "und", 0.0
     return lang, score
 
 
-def sample(docs: DataFrame, most_rows: int) -> tuple[list[str], list[str]]:
-    """At most ``most_rows`` labelled rows by a hash of doc_id and text, so always the same ones."""
+def sample(docs: DataFrame, most_rows: int, most_langs: int = 500) -> tuple[list[str], list[str]]:
+    """Labelled rows for training, least by a hash of doc_id and text: as many of each language, ``most_rows`` in all, but 20 of each at least.
+
+    Rare languages so have their rows, however large the corpus. Of more than ``most_langs`` distinct labels the most frequent are learned.
+    """
     rows = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull()).select(docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"), docs["doc_id"])
-    got = sampled(rows, most_rows, F.struct("doc_id", "text")).select("text", "lang").collect()
-    return [r[0] for r in got], [r[1] for r in got]
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
+    if not counts:
+        return [], []
+    each = max(20, most_rows // len(counts))
+    # a threshold that lets through somewhat more than is wanted of each language, in one pass; what is over goes by the same hash
+    limit = [(lang, min(int((2 * (each + 6 * each**0.5) / n - 1) * (1 << 63)), (1 << 63) - 1)) for lang, n in counts.items()]
+    h = F.xxhash64("doc_id", "text").alias("h")
+    some = rows.select("text", "lang", h).join(F.broadcast(docs.sparkSession.createDataFrame(limit, "lang string, most long")), "lang").where("h <= most")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    got = sorted((r["lang"], r["h"], r["text"]) for r in some.withColumn("nth", nth).where(F.col("nth") <= each).collect())
+    return [t for _, _, t in got], [lang for lang, _, _ in got]
 
 
 PREDICTED = "doc_id long, lang_pred string, score double"

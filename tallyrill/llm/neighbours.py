@@ -8,14 +8,16 @@
    differ by twice the link's angle at most, so only edges up to that angle are kept and followed.
 3. A list that is full of links is saturated and is enlarged, twice as long each round; where it is still full at MOST, its
    node's whole component is compared pairwise in blocks, so no link is lost to a list's length.
-4. Recall is audited: the links of audited nodes are held against brute force over all vectors. It is the mean over nodes of
-   the part of their distinct neighbours that was found, taken apart for nodes of components compared whole, for other nodes
-   with one neighbour and for other nodes with several. More tables are added until each reaches ``recall`` (or as many
-   as at first were added three times; then it raises).
+4. Recall is audited: the links of all vectors whose id is divisible by 20, in blocks, are held against brute force over all
+   vectors. It is the mean over nodes of the part of their distinct neighbours that was found (whatever is found is a link, so
+   counts tell), taken apart for nodes of components compared whole, for other nodes with one neighbour and for other nodes
+   with several. Where none of them has a link, nodes that have one by what was found are audited. More tables are added
+   until each figure reaches ``recall`` (or as many as at first were added three times; then it raises).
 
 Cosines decide links in double precision. Vectors that are null, zero, or hold a null or non-finite component link with
-nothing; so do those of another length with the rest. Equal vectors are one node with a count, and rows that repeat vec_id
-and vector are one row. An empty table gives no rows.
+nothing; so do those of another length with the rest. Equal vectors are one node with a count. Rows that repeat vec_id and
+direction are one row (as are those of one vec_id without any); other vectors that share a vec_id are vectors of their own. A null vec_id is one, too, which has no component_id
+of its own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,9 +33,11 @@ from pyspark.sql.window import Window
 
 from . import text as X
 from .components import connected_components
-from .tables import BLOB, BUCKETS_A_PARTITION, Dealer, by_bucket, joined, partitions, small_batches, written
+from .tables import BLOB, BUCKETS_A_PARTITION, Dealer, by_bucket, discard, joined, partitions, small_batches, with_facts, written
 
 LEAF, BLOCK, WHOLE, MOST = 256, 512, 2048, 64
+#: Vectors of an audit's block, and blocks of one pass over all vectors.
+ASKED, AT_ONCE = 4096, 4
 NODES = "node long, vec binary"
 EDGE = "v long, u long, sim double"
 
@@ -198,26 +202,33 @@ def _completed(nodes: DataFrame, members: DataFrame, threshold: float) -> DataFr
     return pairs.mapInArrow(_grouped(_block_pairs(threshold), "pair"), "node long, links long, others long").groupBy("node").agg(F.sum("links").alias("links"), F.sum("others").alias("others"))
 
 
-def _audit(nodes: DataFrame, audited: Column, threshold: float, n: int, most: int) -> DataFrame:
-    """node, true (distinct nodes that link) of audited nodes by brute force. At most ``most`` of them, those least by a hash, go to all tasks."""
-    rows = nodes.where(audited).orderBy(F.xxhash64("node"), "node").limit(most).collect()
-    by_size: dict[int, list] = {}
-    for r in rows:
-        by_size.setdefault(len(r["vec"]), []).append((r["node"], bytes(r["vec"])))
-    asked = {s: (np.array([x[0] for x in own], np.int64), _matrix([x[1] for x in own])) for s, own in by_size.items()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, blobs = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            size = np.array([len(b) for b in blobs])
-            for s, (q, m) in asked.items():
-                own = np.flatnonzero(size == s)
-                if not len(own):
-                    continue
-                hit = (m @ _matrix([blobs[i] for i in own]).T >= threshold) & (q[:, None] != node[own][None, :])
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(hit.sum(1).astype(np.int64))], names=["node", "true"])
-
-    return nodes.select("node", "vec").mapInArrow(run, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
+def _true_links(nodes: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
+    """node, true (distinct nodes that link) of the nodes asked for, by brute force. A block of them at a time goes to all tasks."""
+    blocks = -(-asked.count() // ASKED)
+    out = None
+    for b in range(blocks):
+        by_size: dict[int, list] = {}
+        for r in asked.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == b).collect():
+            by_size.setdefault(len(r["vec"]), []).append((r["node"], bytes(r["vec"])))
+        block = {s: (np.array([x[0] for x in own], np.int64), _matrix([x[1] for x in own])) for s, own in by_size.items()}
+
+        def run(batches: Iterator[pa.RecordBatch], block: dict = block) -> Iterator[pa.RecordBatch]:
+            total = {s: np.zeros(len(q), np.int64) for s, (q, _) in block.items()}
+            for batch in batches:
+                node, blobs = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+                size = np.array([len(b) for b in blobs])
+                for s, (q, m) in block.items():
+                    own = np.flatnonzero(size == s)
+                    if len(own):
+                        total[s] += ((m @ _matrix([blobs[i] for i in own]).T >= threshold) & (q[:, None] != node[own][None, :])).sum(1)
+            for s, (q, _) in block.items():
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(total[s])], names=["node", "true"])
+
+        found = nodes.select("node", "vec").mapInArrow(run, "node long, true long")
+        out = found if out is None else out.unionByName(found)
+        if (b + 1) % AT_ONCE == 0:
+            out = written(out.groupBy("node").agg(F.sum("true").alias("true")))
+    return None if out is None else out.groupBy("node").agg(F.sum("true").alias("true"))
 
 
 def _recalls(truth: DataFrame, found: DataFrame) -> dict[str, float]:
@@ -227,14 +238,31 @@ def _recalls(truth: DataFrame, found: DataFrame) -> dict[str, float]:
     return {r["kind"]: r["recall"] for r in rows.collect()}
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, k: int = 16, tables: int = 10, rounds: int = 4, recall: float = 0.97, audited: Column | None = None, most_audited: int = 4000) -> DataFrame:
-    """vec_id, n_links, component_id: one row for each distinct row of ``embeddings``. ``tables`` is the least number of tables and the most at once."""
+def audit(nodes: DataFrame, found: DataFrame, threshold: float) -> dict[str, float]:
+    """Recall by kind of node; empty only where nothing was found and no audited node has a link."""
+    truth = _true_links(nodes, nodes.where("asked"), threshold)
+    reached = _recalls(truth, found) if truth is not None else {}
+    if not reached:
+        some = nodes.join(found.where("others > 0").orderBy(F.xxhash64("node"), "node").limit(ASKED).select("node"), "node", "left_semi")
+        truth = _true_links(nodes, some, threshold)
+        reached = _recalls(truth, found) if truth is not None else {}
+    return reached
+
+
+def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, k: int = 16, tables: int = 10, rounds: int = 4, recall: float = 0.97, audited: Column | None = None, report: dict[str, float] | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept: one row for each distinct row of ``embeddings``.
+
+    ``tables`` is the least number of tables and the most at once; ``audited`` a condition on vec_id. ``report`` is given the recall that was measured.
+    """
     spark = embeddings.sparkSession
     small_batches(spark)
     n = partitions(spark) * BUCKETS_A_PARTITION
     e = embeddings
     rows = written(e.select(e["vec_id"].cast("long").alias("vec_id"), e["embedding"].cast("array<double>").alias("embedding")).mapInArrow(_unit, "vec_id long, vec binary").distinct())
-    nodes = written(rows.where("vec is not null and vec_id is not null").groupBy("vec").agg(F.min("vec_id").alias("node"), F.count_distinct("vec_id").alias("n")).select("node", "vec", "n"))
+    asked = F.coalesce(audited if audited is not None else F.pmod("vec_id", F.lit(20)) == 0, F.lit(False))
+    # nodes are numbered anew: vectors that share a vec_id are different ones
+    equal = rows.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"), F.max(asked).alias("asked"))
+    nodes = written(equal.select(F.monotonically_increasing_id().alias("node"), "vec", "n", "least", "asked"))
     total = nodes.count()
     bits = max(0, math.ceil(math.log2(max(total, 1) / LEAF)))
     least = 2 * threshold * threshold - 1 if threshold > 0 else -1.0  # the cosine of twice the angle
@@ -273,16 +301,18 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, k: int = 16,
         listed = listed.join(whole.select("node"), "node", "left_anti")
         counted = counted.withColumn("whole", F.lit(True))
         found = written(nodes.select("node", "n").join(parts, "node", "left").join(counted.unionByName(listed), "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("whole", F.lit(False)).alias("whole")))
-        truth = _audit(nodes, audited if audited is not None else F.pmod("node", F.lit(20)) == 0, threshold, n, most_audited)
-        reached = _recalls(truth, found)
+        reached = audit(nodes, found, threshold)
+        if report is not None:
+            report.clear()
+            report |= reached
         if all(r >= recall for r in reached.values()):
             break
     else:
         raise RuntimeError(f"recall is {', '.join(f'{r:.3f} ({kind})' for kind, r in sorted(reached.items()))} after {done} tables")
     # a component of one node can have several rows: equal vectors link
-    per_vector = nodes.join(found.drop("n", "others", "whole"), "node").select("vec", (F.col("links") + F.col("n") - 1).alias("n_links"), "component")
-    return (
-        rows.join(per_vector, "vec", "left")
-        .select("vec_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-        .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
-    )
+    least = nodes.select("node", "least").join(found.select("node", "component"), "node").groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    per_node = written(with_facts(found.select("node", "component", "links"), least, ["component"], total).select("node", "links", "component_id"))
+    per_vector = nodes.join(per_node, "node").select("vec", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id", F.col("n").alias("rows"))
+    linked = with_facts(rows.where("vec is not null"), per_vector, ["vec"], rows.count())
+    alone = rows.where("vec is null").select("vec", "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

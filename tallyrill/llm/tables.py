@@ -7,6 +7,7 @@ import struct
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all executors share; a temporary one only where it is unset."""
+    """The folder in ``spark.checkpoint.dir``, which all executors share. Where it is unset, a temporary one if all run on this machine; otherwise it raises."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='tallyrill-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -40,22 +43,61 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """The same rows, read back from Parquet in the shared folder: the lineage ends there, and losing an executor loses nothing.
 
-    Shuffle files of the steps before it are then garbage, which the driver is asked to collect.
+    Shuffle files of the steps before it are then garbage, which the driver is asked to collect. discard() deletes the table.
     """
     spark = df.sparkSession
     collect_garbage(spark)  # what the caller of the step before still held then
-    path = f"{shared_dir(spark)}/tallyrill/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tallyrill/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     schema = df.schema
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     del df, writer
     collect_garbage(spark)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_to = path
+    for kept in _SCOPES:
+        kept.append((spark, path))
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and nothing will read again."""
+    for t in tables:
+        delete(t.sparkSession, t.written_to)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_SCOPES: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what written() wrote within it, but for the table that is passed to the function it gives."""
+    own: list[tuple[SparkSession, str]] = []
+    last: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        last.append(df.written_to)
+        return df
+
+    _SCOPES.append(own)
+    try:
+        yield keep
+    finally:
+        _SCOPES.remove(own)
+        for spark, path in own:
+            if path not in last:
+                delete(spark, path)
 
 
 def collect_garbage(spark: SparkSession) -> None:
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if hasattr(spark, "_jvm"):
+        spark._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:
@@ -69,14 +111,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def sampled(rows: DataFrame, most_rows: int, by: Column) -> DataFrame:
-    """At most ``most_rows`` rows, those whose hash of ``by`` is least, up to a bound that expects 5 % fewer; all, if there are no more.
+    """At most ``most_rows`` rows, those whose hash of ``by`` is least, up to a bound that expects 5 % fewer; all, if there are no more. Always the same ones.
 
     Only a count reaches the driver before.
     """
     share = 0.95 * most_rows / max(rows.count(), 1)
     if share < 0.95:
         rows = rows.where(F.xxhash64(by) < F.lit(int((2 * share - 1) * (1 << 63))))
-    return rows.limit(most_rows)
+    return rows.orderBy(F.xxhash64(by), by).limit(most_rows)
 
 
 def keyed(docs: DataFrame, *more: str | Column) -> DataFrame:
@@ -97,6 +139,18 @@ def doc_id() -> Column:
     return F.when(F.col("id") > NULL_ID, F.col("id")).alias("doc_id")
 
 
+def with_facts(rows: DataFrame, facts: DataFrame, key: list[str], total: int) -> DataFrame:
+    """Inner join of ``total`` rows with one fact for each key. ``facts`` tells by its column ``rows`` how many rows each key has.
+
+    Keys of very many rows, of which there are under 100,000 whatever the total, are broadcast, so that no task gathers one's rows.
+    """
+    many = max(10_000, total // 100_000)
+    if total <= many:  # no key has more
+        return rows.join(facts.drop("rows"), key)
+    heavy, light = facts.where(F.col("rows") > many).drop("rows"), facts.where(F.col("rows") <= many).drop("rows")
+    return rows.join(F.broadcast(heavy), key).unionByName(rows.join(F.broadcast(heavy.select(*key)), key, "left_anti").join(light, key))
+
+
 def id_bucket(n: int) -> Column:
     return F.pmod(F.hash("id"), F.lit(n))
 

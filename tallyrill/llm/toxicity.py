@@ -112,9 +112,12 @@ class Model:
 def train(texts: list[str], labels: list[int], dims: int = 8, buckets: int = 1 << 18, rounds: int = 60, rate: float = 0.05, decay: float = 1e-5, least_texts: int = 5, seed: int = 1) -> Model:
     """Fits embeddings and softmax together by Adam over all rows, classes weighing alike.
 
-    N-grams of fewer than ``least_texts`` texts keep a zero vector: they would learn single texts by heart. Equal texts count once.
+    N-grams of fewer than ``least_texts`` texts keep a zero vector: they would learn single texts by heart. Equal texts count once,
+    and are toxic if any of their labels says so. The order of rows has no influence.
     """
-    rows = dict(zip(texts, labels, strict=True))
+    rows: dict[str, int] = {}
+    for t, label in sorted(zip(texts, labels, strict=True)):
+        rows[t] = label  # of equal texts the last, which is the greatest
     texts, labels = list(rows), list(rows.values())
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
@@ -167,14 +170,14 @@ def train(texts: list[str], labels: list[int], dims: int = 8, buckets: int = 1 <
 
 
 def sample(docs: DataFrame, labels: DataFrame, most_rows: int) -> tuple[list[str], list[int]]:
-    """At most ``most_rows`` labelled texts, half of either label at most, by a hash of doc_id."""
+    """At most ``most_rows`` labels, half of either kind at most, by a hash of doc_id, and their texts (twice as many at most, where doc_ids repeat)."""
     known = labels.where(labels["toxic"].isin(0, 1)).select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
     own = None
     for y in (0, 1):
         part = sampled(known.where(F.col("toxic") == y), most_rows // 2, F.col("doc_id"))
         own = part if own is None else own.unionByName(part)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    rows = texts.join(F.broadcast(own), "doc_id").where(F.col("text").isNotNull()).select("text", "toxic").limit(2 * most_rows).collect()
+    rows = texts.join(F.broadcast(own), "doc_id").where(F.col("text").isNotNull()).select("text", "toxic").orderBy(F.xxhash64("doc_id", "text"), "text", "toxic").limit(2 * most_rows).collect()
     return [r[0] for r in rows], [r[1] for r in rows]
 
 

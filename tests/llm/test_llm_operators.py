@@ -133,6 +133,30 @@ def test_toxicity_edges(spark):
         assert toxicity.train(texts_, labels, rounds=2).logits(pa.array(["", "a", None])).shape == (3,)
 
 
+def test_label_ties_do_not_depend_on_order():
+    rows = [("a quazzik b", 0), ("a quazzik b", 1), *((f"word{i} clean text", 0) for i in range(8)), *((f"quazzik {i}", 1) for i in range(4))]
+    models = [toxicity.train(*map(list, zip(*own)), rounds=8, least_texts=2) for own in (rows, rows[::-1])]
+    assert (models[0].value == models[1].value).all() and models[0].bias == models[1].bias
+
+
+def test_toxicity_by_hand():
+    """The score of a text from its words' n-gram vectors, one word at a time."""
+    rows = toxic_corpus(300)
+    model = toxicity.train([t for _, t, _ in rows], [y for *_, y in rows], rounds=10)
+
+    def word(w):
+        raw = np.frombuffer(w.encode(), np.uint8)
+        return model.value[toxicity.word_grams(raw, np.array([0]), np.array([len(raw)]), len(model.value))[0]].mean()
+
+    for _, t, _ in rows[:40]:
+        words = t.split()
+        parts = -(-len(words) // toxicity.SEGMENT)
+        own = [[w for k, w in enumerate(words) if k * parts // len(words) == p] for p in range(parts)]
+        logit = np.array([np.mean([word(w) for w in ws]) + model.bias for ws in own])
+        weight = np.exp(toxicity.POOL * (logit - logit.max()))
+        assert model.logits(pa.array([t]))[0] == pytest.approx((weight * logit).sum() / weight.sum(), abs=1e-9)
+
+
 # 3
 
 
@@ -187,6 +211,38 @@ def test_near_duplicates_beside_a_large_group(spark, copies):
     assert sum(got[i].n_links == 1 for i in range(len(pairs))) >= 0.97 * len(pairs)
 
 
+def test_vectors_that_share_an_id(spark):
+    """Different vectors of one vec_id, null ids, repeated rows and clashing columns."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (3, [0.01, 1.0]), (None, [1.0, 0.0]), (4, [-1.0, 0.0]), (5, None), (5, [0.0, 0.0])]
+    df = spark.createDataFrame([(*r, 0, 0, b"", 1.0) for r in rows], "vec_id long, embedding array<double>, node long, n int, vec binary, sim double")
+    report = {}
+    got = neighbours.near_duplicates(df, audited=F.lit(True), report=report).collect()
+    want = [(1, 2, 1, True), (1, 1, 1, True), (2, 2, 1, False), (3, 1, 1, False), (None, 2, 1, False), (4, 0, 4, True), (5, 0, 5, True)]
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert report and all(x == 1 for x in report.values())
+
+
+def test_recall_is_measured_where_no_audited_vector_links(spark):
+    r = np.random.default_rng(2)
+    base = r.normal(size=(30, 16))
+    rows = [(i * 20, v.tolist()) for i, v in enumerate(base)] + [(7, [1.0] * 16), (9, [1.0] * 15 + [1.01])]
+    report = {}
+    got = {x.vec_id: x.n_links for x in neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), report=report).collect()}
+    assert got[7] == got[9] == 1 and report
+
+
+@pytest.mark.parametrize("size", [3, 1000])
+def test_audit_in_blocks(spark, monkeypatch, size):
+    monkeypatch.setattr(neighbours, "ASKED", size)
+    r = np.random.default_rng(2)
+    m = r.normal(size=(40, 4))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, v.tobytes(), i % 2 == 0) for i, v in enumerate(m)], "node long, vec binary, asked boolean")
+    got = {x["node"]: x["true"] for x in neighbours._true_links(nodes, nodes.where("asked"), 0.5).collect()}
+    assert got == {i: int((m[i] @ m.T >= 0.5).sum()) - 1 for i in range(0, 40, 2)}
+
+
 def test_no_group_carries_the_recall(spark):
     truth = spark.createDataFrame([*((i, 99) for i in range(100)), (100, 1), (101, 1), (102, 2)], "node long, true long")
     found = spark.createDataFrame([*((i, 99, True) for i in range(100)), (100, 0, False), (101, 1, False), (102, 2, False)], "node long, others long, whole boolean")
@@ -280,8 +336,53 @@ def test_large_regions_are_split(monkeypatch, n):
 
 def test_jaccard_edges(spark):
     assert jaccard.join(frame(spark, [])).collect() == []
-    got = jaccard.join(frame(spark, [(None, "a b c d e f"), (4, "a b c d e f"), (None, "other words in this text here"), (4, "something else entirely is here now"), (5, "a b c d e f")])).collect()
-    assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id is None) for r in got) == [(False, 4, False), (False, 4, True), (False, 5, True), (True, 0, True), (True, 0, True)] or len(got) == 5
+    got = jaccard.join(frame(spark, [(None, "a b c d e f"), (4, "a b c d e f"), (None, "other words in this text here"), (4, "something else entirely is here now"), (5, "a b c d e f"), (5, ""), (6, None)])).collect()
+    # null with the first text sorts before 4, whose other text is of the same node, as is the empty text of 5
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in got if r.doc_id != 6) == sorted([(0, 2, None), (4, 2, None), (0, 2, None), (4, 2, None), (5, 2, None), (5, 0, None)], key=lambda x: x[:2])
+    assert [(r.n_shingles, r.component_id) for r in got if r.doc_id == 6] == [(0, 6)]
+
+
+def test_jaccard_probe_of_repeated_ids(spark):
+    x = " ".join(f"x{i}" for i in range(40))
+    y = " ".join(f"y{i}" for i in range(40))
+    rows = [(23, x), (23, y), (5, x), (6, x + " more"), (390, y + " more")]
+    got = jaccard.join(frame(spark, rows), 3, 90, 100).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, 5) for i in (5, 6, 23, 390)} and len(got) == 5
+
+
+def test_jaccard_with_repeated_ids(spark):
+    """Ids drawn anew for the same texts: links of a node are those of all its rows."""
+    r = np.random.default_rng(8)
+    for seed in (1, 2, 3):
+        docs = [(int(r.integers(0, 60)), t) for _, t in documents(seed)]
+        sets = [(i, shingle_set(t, 3)) for i, t in docs]
+        ids = sorted({i for i, _ in docs})
+        pairs = {(a, b) for a, s in sets for b, t in sets if a < b and s and t and 100 * len(s & t) >= 90 * len(s | t)}
+        comp = components(ids, lambda a, b: (a, b) in pairs)
+        got = jaccard.join(frame(spark, docs), 3, 90, 100).collect()
+        assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted((i, len(s), comp[i]) for i, s in sets)
+
+
+def test_cells_keep_links(monkeypatch):
+    monkeypatch.setattr(jaccard, "MOST_MEMBERS", 20)
+    r = np.random.default_rng(6)
+    sets = []
+    for _ in range(12):
+        base = r.integers(0, 1 << 40, 100)
+        for _ in range(25):
+            s = base.copy()
+            s[: r.integers(0, 12)] = r.integers(0, 1 << 40)
+            sets.append(np.unique(s).astype(np.uint64))
+    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    h, size = jaccard.profiles(np.concatenate(sets), at), np.diff(at)
+    parts = list(jaccard.cells(np.arange(len(sets)), h, size, 90, 100))
+    assert len(parts) > 5 and any(small for _, small in parts)
+    of = [set(p.tolist()) for p, _ in parts]
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 90 * (size[i] + size[j] - both):
+                assert any({i, j} <= p for p in of)
 
 
 # 6
@@ -334,6 +435,39 @@ def test_language(spark):
     assert {x.lang_pred for x in language.identify(df.limit(3), one).collect()} == {"fr"}
 
 
+def test_predictions_do_not_depend_on_the_batch():
+    r = np.random.default_rng(4)
+    words = {"en": "the and of with that".split(), "de": "der und die mit das".split(), "fr": "les des une dans pour".split(), "it": "che non per una sono".split()}
+    some = lambda lang, k: " ".join(r.choice(words[lang], k))
+    rows = [(some(lang, r.integers(5, 30)), lang) for lang in [*words] * 30]
+    model = language.fit(*map(list, zip(*rows)), dims=512)
+    odd = [some(lang, k) for lang in words for k in range(1, 12)] + ["", None, "a", "é", "1 2", "x" * 3000]
+    alone = [language.predict(model, pa.array([t], pa.string())) for t in odd]
+    for order in (np.arange(len(odd)), r.permutation(len(odd))):
+        lang, score = language.predict(model, pa.array([odd[i] for i in order], pa.string()))
+        assert [(x, y) for x, y in zip(lang, score)] == [(alone[i][0][0], alone[i][1][0]) for i in order]
+
+
+def test_decisions_by_hand():
+    """The decision of a text is the mean weight of its n-grams, family first, then votes of pairs."""
+    model = language.fit(["the and of"] * 5 + ["der und die"] * 5 + ["les des une"] * 5 + ["che non per"] * 5, ["en"] * 5 + ["de"] * 5 + ["fr"] * 5 + ["it"] * 5, dims=256)
+    for t in ("the", "und die", "une Les!", "non per che"):
+        f = language.frequencies([t], 256)[0].astype(float)
+        value = f @ model.weights + model.bias
+        at = {c: i for i, c in enumerate(model.columns)}
+        best = max(model.langs, key=lambda x: value[at["family", x]])
+        i, j = model.langs[best]
+        want = i if value[at["pair", i, j]] >= 0 else j
+        assert language.predict(model, pa.array([t]))[0][0] == want
+
+
+def test_rare_languages_are_sampled(spark):
+    rows = [(i, f"common words {i}", "en") for i in range(3000)] + [(9000 + i, f"rara avis {i}", "la") for i in range(5)]
+    texts_, langs = language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 200)
+    assert langs.count("la") == 5 and langs.count("en") == 100
+    assert (texts_, langs) == language.sample(spark.createDataFrame(rows[::-1], "doc_id long, text string, lang string"), 200)
+
+
 # 8
 
 

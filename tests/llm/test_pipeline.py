@@ -1,8 +1,7 @@
 import public_tokenizers
 from brute import contamination, shingle_set, substrings
 from data import documents
-from pyspark.sql import functions as F
-from test_operators import toxic_corpus
+from test_llm_operators import toxic_corpus
 
 import corpus_pipeline
 from tallyrill.llm import bpe, queries
@@ -38,6 +37,12 @@ def test_near_duplicate_stage(spark):
     assert out.where("doc_id is null").count() == 2
 
 
+def test_rows_of_one_doc_id_are_documents_of_their_own(spark):
+    x, y = " ".join(f"x{i}" for i in range(40)), " ".join(f"y{i}" for i in range(40))
+    out = corpus_pipeline.one_of_near_duplicates(spark, rows(spark, [(7, x), (7, y), (8, x + " more"), (9, x), (7, x), (5, ""), (5, ""), (6, None)]), "")
+    assert sorted((r.doc_id, r.text or "-") for r in out.collect()) == sorted([(7, x), (7, y), (5, "-"), (6, "-")])
+
+
 def test_substring_stage(spark):
     docs = documents(7)
     df = rows(spark, docs)
@@ -70,4 +75,3 @@ def test_empty_tables(spark, tmp_path):
 
 def test_queries_are_registered(spark):
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
-    assert F is not None
