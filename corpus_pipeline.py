@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyrill.llm import bpe, decontaminate, jaccard, suffixes, tables, toxicity
 
@@ -22,12 +21,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents whose sets of five-word shingles are connected by similarities of 0.8 or more, the one with the smallest doc_id stays; of rows that share that doc_id, one."""
-    found = jaccard.components(docs, k=5, num=80, den=100)
-    stay = found.where(F.col("id") == F.col("component")).groupBy("id").agg(F.min("tag").alias("tag"))
-    rows = tables.keyed(docs, F.struct(*docs.columns).alias("row")).drop("text").join(stay, ["id", "tag"])
-    first = F.row_number().over(Window.partitionBy("id", "tag").orderBy("id"))
-    return rows.withColumn("first", first).where("first = 1").select("row.*")
+    """Of the documents whose sets of five-word shingles are connected by similarities of 0.8 or more, the one with the smallest doc_id stays; of rows that repeat doc_id and text, one."""
+    return jaccard.representatives(docs, k=5, num=80, den=100)
 
 
 def without_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,5 +64,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = tables.written(stage(spark, docs, sf_dir))
+        with tables.scratch() as keep:  # what a stage wrote for itself goes when its result is written
+            docs = keep(tables.written(stage(spark, docs, sf_dir)))
     return STAGES[-1][1](spark, docs, sf_dir)
