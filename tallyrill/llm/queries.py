@@ -14,12 +14,20 @@ def fold(doc_id: Column) -> Column:
 
 
 def op1_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From 6 old shards, each of whole blocks by the hash of the text, to 8 new ones of equal bytes."""
-    from .reshard import BLOCKS, reshard
+    """From 6 old shards by the text's CRC-32 to 8 new ones of equal bytes; read back from the files of the shards that were rewritten, others as they are."""
+    from .reshard import reshard, rewrite, shards
+    from .tables import new_folder
 
     docs = table(spark, sf_dir, "documents")
-    placed = reshard(docs, F.pmod(F.pmod(F.xxhash64(docs["text"]), F.lit(BLOCKS)), F.lit(6)), n_old=6, n_new=8)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    utf8 = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
+    plan = reshard(docs, F.pmod(F.crc32(F.encode(F.coalesce(docs["text"], F.lit("")), "UTF-8")), F.lit(6)), n_old=6, n_new=8)
+    path = new_folder(spark)
+    affected = rewrite(plan, path)
+    back = shards(spark, path, docs.schema).select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(utf8) + 1).cast("long").alias("size"), F.crc32(utf8).alias("text_crc32"), "shard", "slot")
+    if len(affected) < 8:
+        others = plan.rows.where(~F.col("shard").isin(affected))
+        back = back.unionByName(others.select(F.col("row.doc_id").cast("long").alias("doc_id"), "size", "text_crc32", "shard", "slot"))
+    return back.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +87,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find
 
     found = find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
-    items = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    items = F.array_join(F.array_sort("items"), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.encode(items, "UTF-8"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 

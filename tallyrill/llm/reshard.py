@@ -1,29 +1,39 @@
 """Resharding by minimum-cost flow.
 
 From the sizes of the old shards and the capacities of the new ones a flow is solved that moves the fewest bytes. It is
-carried out in blocks: rows are hashed by text into BLOCKS blocks, whose sizes (not rows) are all the driver sees, and
-each old shard's blocks are given to new shards until its flows are filled, largest first. Only shards that gain or lose
-a block are rewritten.
+carried out in blocks: rows are hashed by text into blocks, whose sizes (not rows) are all the driver sees, and each old
+shard's blocks are given to new shards until its flows are filled, largest first. Then rewrite() writes the shards that
+gain or lose a block, and no others: the plan carries the rows themselves, so they are moved once and joined with nothing.
 
 Rows with equal texts stay in one shard. A text whose copies hold more than a shard's capacity is an exception: no near
 equal law can hold with it in one shard, so its rows are dealt into blocks by doc_id. Of texts over half a capacity, two
-don't fit in one shard: the largest, one for each new shard, are blocks of their own, and others are dealt out, too. Null texts count one byte and are
-a group of their own; rows that repeat doc_id and text are rows of their own; an empty table gives no rows.
+don't fit in one shard: the largest, one for each new shard, are blocks of their own, and others are dealt out, too. Null
+texts count one byte and are a group of their own; null doc_ids are ids like others; rows that repeat doc_id and text are
+rows of their own; columns of ``docs`` named shard and slot give way to the new ones; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections import defaultdict
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Blocks by text, and as many for the rows of texts too large for one shard; each is counted in PARTS parts by doc_id.
-BLOCKS, PARTS = 2048, 8
+from .tables import delete
+
+#: Each block is counted in PARTS parts by doc_id, so that no task orders all rows of a block.
+PARTS = 8
+
+
+def blocks_for(n_old: int, n_new: int) -> int:
+    """Blocks of each old shard: some 256 to 512 for each new shard, which bounds what a shard exceeds its capacity by. As many again hold the rows of texts too large for one shard."""
+    return max(16, 1 << (256 * n_new // max(n_old, 1)).bit_length())
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -99,56 +109,88 @@ def block_transfers(sizes: dict[tuple[int, int], int], n_old: int, n_new: int) -
     return out
 
 
-def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int = 8) -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, block, shard, slot (gapless in a shard): one row for each row of ``docs``.
+@dataclass
+class Plan:
+    """``rows``: row (the row of ``docs``), size, text_crc32, old_shard, block, shard and slot (gapless in a shard), one for each row of ``docs``.
 
-    ``old_shard`` (0 .. n_old - 1) must be the same for rows of equal texts if these are to stay together.
+    ``affected``: the shards, old or new, that gain or lose rows. ``moved``: the bytes that change shards.
     """
-    spark = docs.sparkSession
+
+    rows: DataFrame
+    affected: list[int]
+    moved: int
+
+
+def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int = 8) -> Plan:
+    """``old_shard`` (0 .. n_old - 1) must be the same for rows of equal texts if these are to stay together."""
+    spark, blocks = docs.sparkSession, blocks_for(n_old, n_new)
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    id_ = docs["doc_id"].cast("long")
     rows = docs.select(
-        docs["doc_id"].cast("long").alias("doc_id"),
+        F.struct(*(docs[c] for c in docs.columns)).alias("row"),
+        id_.alias("id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.xxhash64(docs["text"]).alias("group"),
+        F.xxhash64(docs["text"].cast("string")).alias("group"),
         old_shard.cast("int").alias("old_shard"),
+        # rows without an id are dealt by their texts
+        F.pmod(F.xxhash64(F.coalesce(id_, F.xxhash64(text))), F.lit(blocks * PARTS)).alias("deal"),
     )
     total = rows.agg(F.sum("size")).first()[0] or 0
     # under 2 * n_new groups can each hold over half a capacity
     large = rows.groupBy("group").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > F.lit(total / n_new / 2)).orderBy(F.desc("bytes"), "group").collect()
     whole = [r["group"] for r in large if r["bytes"] <= total // n_new][:n_new]
-    own_block = {g: 2 * BLOCKS + i for i, g in enumerate(whole)}
+    own_block = {g: 2 * blocks + i for i, g in enumerate(whole)}
     heavy = spark.createDataFrame([(r["group"], own_block.get(r["group"], -1)) for r in large], "group long, own int")
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(BLOCKS * PARTS))
-    rows = rows.join(F.broadcast(heavy), "group", "left").select(
-        "doc_id", "size", "text_crc32", "old_shard", (part % PARTS).cast("int").alias("part"),
-        F.when(F.col("own") >= 0, F.col("own")).when(F.col("own") < 0, F.lit(BLOCKS) + F.floor(part / PARTS)).otherwise(F.pmod("group", F.lit(BLOCKS))).cast("int").alias("block"),
-    )
-    stats = rows.groupBy("old_shard", "block", "part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).toPandas()  # (2 * BLOCKS + n_new) * PARTS rows for each old shard at most
+    block = F.when(F.col("own") >= 0, F.col("own")).when(F.col("own") < 0, F.lit(blocks) + F.floor(F.col("deal") / PARTS)).otherwise(F.pmod("group", F.lit(blocks)))
+    rows = rows.join(F.broadcast(heavy), "group", "left").select("row", "id", "size", "text_crc32", "old_shard", (F.col("deal") % PARTS).cast("int").alias("part"), block.cast("int").alias("block"))
+    stats = rows.groupBy("old_shard", "block", "part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).toPandas()  # (2 * blocks + n_new) * PARTS rows for each old shard at most
     sizes: dict[tuple[int, int], int] = defaultdict(int)
-    for old, block, size in zip(stats["old_shard"], stats["block"], stats["bytes"], strict=True):
-        sizes[int(old), int(block)] += int(size)
+    for old, b, size in zip(stats["old_shard"], stats["block"], stats["bytes"], strict=True):
+        sizes[int(old), int(b)] += int(size)
     to = block_transfers(dict(sizes), n_old, n_new) if sizes else {}
     stats["shard"] = [to[int(o), int(b)] for o, b in zip(stats["old_shard"], stats["block"], strict=True)]
     stats = stats.sort_values(["shard", "old_shard", "block", "part"])
     stats["first"] = stats.groupby("shard")["n"].cumsum() - stats["n"]
     schema = T.StructType([T.StructField(c, T.IntegerType() if c != "first" else T.LongType()) for c in ("old_shard", "block", "part", "shard", "first")])
     plan = spark.createDataFrame(pd.DataFrame({f.name: stats[f.name].astype("int64" if f.name == "first" else "int32") for f in schema}), schema)
-    own = Window.partitionBy("old_shard", "block", "part").orderBy("doc_id", "text_crc32", "size")
-    return (
-        rows.withColumn("place", F.row_number().over(own) - 1)
-        .join(F.broadcast(plan), ["old_shard", "block", "part"])
-        .select("doc_id", "size", "text_crc32", "old_shard", "block", "shard", (F.col("first") + F.col("place")).cast("long").alias("slot"))
+    own = Window.partitionBy("old_shard", "block", "part").orderBy("id", "text_crc32", "size")
+    placed = rows.withColumn("place", F.row_number().over(own) - 1).join(F.broadcast(plan), ["old_shard", "block", "part"])
+    changed = {key: j for key, j in to.items() if key[0] != j}
+    return Plan(
+        placed.select("row", "size", "text_crc32", "old_shard", "block", "shard", (F.col("first") + F.col("place")).cast("long").alias("slot")),
+        sorted({old for old, _ in changed} | set(changed.values())),
+        sum(sizes[key] for key in changed),
     )
 
 
-def rewrite(docs: DataFrame, assigned: DataFrame, path: str) -> list[int]:
-    """Writes the shards that gained or lost a block to path/shard=K and returns their numbers; other shards' files stay as they are.
+def rewrite(plan: Plan, path: str) -> list[int]:
+    """Writes the affected shards to path/shard=K, rows whole with their slot, and returns their numbers; other shards' files stay as they are.
 
-    ``assigned``: reshard()'s result for ``docs``, whose doc_id must tell its rows apart.
+    New files are complete in a folder beside the shards before any old shard is deleted, so the rows may come from ``path`` itself, and a
+    job that is broken off has lost nothing. Shards that have become empty go.
     """
-    moved = assigned.where(F.col("old_shard") != F.col("shard"))
-    affected = sorted({r[0] for r in moved.select(F.explode(F.array("old_shard", "shard"))).distinct().collect()})  # as many as shards at most
-    new = docs.join(assigned.select("doc_id", "shard", "slot").where(F.col("shard").isin(affected)), "doc_id")
-    new.repartition("shard", F.floor(F.col("slot") / 1_000_000)).sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    return affected
+    spark = plan.rows.sparkSession
+    new, fs = f"{path}/_new-{uuid.uuid4().hex}", _files(spark, path)
+    keep = [c for c in plan.rows.schema["row"].dataType.names if c not in ("shard", "slot")]
+    plan.rows.where(F.col("shard").isin(plan.affected)).select(*(F.col("row").getField(c).alias(c) for c in keep), "slot", "shard").write.option("compression", "zstd").partitionBy("shard").parquet(new)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    for k in plan.affected:
+        delete(spark, f"{path}/shard={k}")
+        if fs.exists(at(f"{new}/shard={k}")) and not fs.rename(at(f"{new}/shard={k}"), at(f"{path}/shard={k}")):
+            raise OSError(f"{new}/shard={k} can't be moved to {path}")
+    delete(spark, new)
+    return plan.affected
+
+
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    return fs
+
+
+def shards(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows that rewrite() wrote of documents of that schema, with slot and shard."""
+    own = [f for f in schema if f.name not in ("shard", "slot")]
+    return spark.read.schema(T.StructType([*own, T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])).parquet(path)

@@ -1,14 +1,20 @@
 """A log-structured fingerprint index for incremental removal of repeated word windows.
 
 ``FingerprintIndex.add(batch)`` fingerprints the windows of a batch of documents, sorts them into a new immutable run,
-merge-joins that run with all earlier ones and verifies what met; ``compact()`` merges the runs into one.
+merge-joins that run with all earlier ones and verifies what met. ``compact()`` merges the runs into one; a batch that finds
+more than ``most_runs`` of them does so first and is joined with the compacted run.
 
 The windows of one document that choose the same content anchor (see text.anchors) share one entry: ``fp``, a hash of
-the anchor's GRAM words, and ``sw``, a hash of all words that its windows cover. Equal windows always meet by ``fp``:
+the anchor's GRAM words, and ``sw`` and ``sx``, two independent 64-bit hashes of all words that its windows cover. Equal
+windows always meet by ``fp``:
 
-* entries whose ``fp`` and ``sw`` both agree cover equal windows throughout;
-* where ``fp`` agrees and ``sw`` doesn't, one entry for each ``sw`` is verified: the word sequences of its windows are
-  read from the texts again and compared by two independent 64-bit hashes, window by window.
+* entries whose ``fp``, ``sw`` and ``sx`` agree cover equal windows throughout: their whole word sequences have been verified
+  by 128 bits;
+* where ``fp`` agrees and the others don't, one entry for each word sequence is verified: those of its windows are read from
+  the texts again and compared by two independent 64-bit hashes, window by window. Only documents with such entries are
+  read into the verification (up to MOST_IDS of them; beyond, telling them apart would cost more than it saves).
+
+Runs are in order of ``fp``, so they are merged, not sorted again; what is ordered further are entries that share one.
 
 Nothing is sampled: every window belongs to one entry. A null text has no words; rows that repeat doc_id and text count
 as one document; other rows with the same text are other documents, whose windows repeat each other.
@@ -25,9 +31,11 @@ from pyspark.sql import functions as F
 
 from . import text as X
 from .suffixes import _changes, copies
-from .tables import BLOB, Dealer, Lookup, attach, by_bucket, collect_garbage, dealt, doc_id, id_buckets, joined, keyed, partitions, small_batches, written
+from .tables import BLOB, BUCKETS_A_PARTITION, Dealer, Lookup, attach, by_bucket, collect_garbage, dealt, doc_id, id_buckets, joined, keyed, only_met, partitions, small_batches, written
 
 GRAM = 8
+#: What an entry is, and what a place is.
+KEY, PLACE = ("fp", "sw", "sx"), ("id", "tag", "pos")
 #: Kinds of packed rows: words that repeat for certain; what a merge-join met, either that (n is 0) or entries to verify; all entries.
 HIT, MET, ENTRY = 0, 1, 2
 
@@ -47,8 +55,8 @@ def _fingerprints(window: int, n: int):
         def flush() -> Iterator[pa.RecordBatch]:
             x = joined(held)
             held.clear()
-            some, new = copies(x)
-            place = _changes(x["fp"][some], x["sw"][some], x["id"][some], x["tag"][some], x["pos"][some])
+            some, new = copies(x, KEY)
+            place = _changes(*(x[k][some] for k in (*KEY, *PLACE)))
             group = np.cumsum(new) - 1
             places = np.cumsum(place)
             nth = places - places[np.flatnonzero(new)][group] if len(some) else places  # of its group's places, from 0
@@ -65,13 +73,14 @@ def _fingerprints(window: int, n: int):
                 raw, starts, ends, at = _words(part.column(2))
                 if len(starts) < window:
                     continue
-                spans = X.Spans(X.word_hashes(raw, starts, ends))
+                words = X.word_hashes(raw, starts, ends)
+                spans = X.Spans(words)
                 i = np.arange(len(starts) - GRAM + 1)
                 grams = spans(i, i + GRAM)
                 a, first, last = X.anchors(grams, at, window, GRAM)
                 doc = np.searchsorted(at, a, "right") - 1
                 held.append({
-                    "fp": grams[a], "sw": spans(first, last + window), "id": part.column(0).to_numpy()[doc], "tag": part.column(1).to_numpy()[doc].astype(np.uint16),
+                    "fp": grams[a], "sw": spans(first, last + window), "sx": X.Spans(words, 12345)(first, last + window), "id": part.column(0).to_numpy()[doc], "tag": part.column(1).to_numpy()[doc].astype(np.uint16),
                     "pos": (first - at[doc]).astype(np.int64), "n": (last - first + 1).astype(np.uint16),
                 })
                 rows += len(a)
@@ -85,21 +94,32 @@ def _fingerprints(window: int, n: int):
     return run
 
 
-def _in_order(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    order = np.lexsort((x["pos"], x["tag"], x["id"], x["sw"], x["fp"]))
-    return {k: v[order] for k, v in x.items()}
+def merged(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Entries of several sorted runs in order of KEY and PLACE, each place once.
+
+    The stable sort is a merge of the runs it finds, so their order is used; only entries that share ``fp`` are ordered further.
+    """
+    x = joined(parts)
+    order = np.argsort(x["fp"], kind="stable")
+    x = {k: v[order] for k, v in x.items()}
+    new = _changes(x["fp"])
+    size = np.diff(np.append(np.flatnonzero(new), len(order)))
+    several = np.flatnonzero(np.repeat(size, size) > 1)
+    some = {k: v[several] for k, v in x.items()}
+    within = np.lexsort(tuple(some[k] for k in reversed((*KEY, *PLACE))))
+    for k, v in some.items():
+        x[k][several] = v[within]
+    once = _changes(*(x[k] for k in (*KEY, *PLACE)))
+    return {k: v[once] for k, v in x.items()}
 
 
 def _sorted_run(bucket: int, have: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
-    """One bucket of a run, or of several to be merged: entries in order, each place once."""
+    """One bucket of a run, or of several to be merged."""
     if HIT in have:  # already where their documents will be
         yield from dealt(y := joined(have[HIT]), np.full(len(y["id"]), bucket), HIT)
-    if ENTRY not in have:
-        return
-    x = _in_order(joined(have[ENTRY]))
-    new = _changes(x["fp"], x["sw"], x["id"], x["tag"], x["pos"])
-    x = {k: v[new] for k, v in x.items()}
-    yield from dealt(x, np.full(len(x["fp"]), bucket), ENTRY)
+    if ENTRY in have:
+        x = merged(have[ENTRY])
+        yield from dealt(x, np.full(len(x["fp"]), bucket), ENTRY)
 
 
 def _merge_join(newest: int, window: int, n: int):
@@ -112,17 +132,14 @@ def _merge_join(newest: int, window: int, n: int):
             if newest not in have:
                 return
             new = joined(have[newest])
-            fps = np.unique(new["fp"])
             parts = [new | {"age": np.ones(len(new["fp"]), np.int8)}]
             for age, blobs in have.items():
                 for b in blobs if age != newest else ():
-                    at = np.searchsorted(fps, b["fp"])  # both are sorted
-                    met = fps[np.minimum(at, len(fps) - 1)] == b["fp"]
+                    at = np.searchsorted(new["fp"], b["fp"])  # both are sorted
+                    met = new["fp"][np.minimum(at, len(new["fp"]) - 1)] == b["fp"]
                     parts.append({k: v[met] for k, v in b.items()} | {"age": np.zeros(int(met.sum()), np.int8)})
-            x = _in_order(joined(parts))
-            first = _changes(x["fp"], x["sw"], x["id"], x["tag"], x["pos"])
-            x = {k: v[first] for k, v in x.items()}
-            new_group, new_class = _changes(x["fp"]), _changes(x["fp"], x["sw"])
+            x = merged(parts)
+            new_group, new_class = _changes(x["fp"]), _changes(*(x[k] for k in KEY))
             group, class_ = np.cumsum(new_group) - 1, np.cumsum(new_class) - 1
             hit = (np.bincount(class_) > 1)[class_] & (np.bincount(class_, weights=x["age"]) > 0)[class_]
             check = new_class & (np.bincount(group, weights=new_class) > 1)[group]
@@ -190,42 +207,50 @@ def _verified(window: int, n: int):
     return make
 
 
+def _to_verify(have: dict[str, np.ndarray]) -> np.ndarray:
+    return have["n"] > 0
+
+
 class FingerprintIndex:
     """Sorted immutable runs of the windows of all documents added so far; ``runs`` are their tables in the shared folder."""
 
-    def __init__(self, spark: SparkSession, window: int = 35):
+    def __init__(self, spark: SparkSession, window: int = 35, most_runs: int = 4):
         if window <= GRAM:
             raise ValueError(f"window: more than {GRAM} words")
         small_batches(spark)
-        self.spark, self.window, self.n = spark, window, partitions(spark)
+        self.spark, self.window, self.most_runs = spark, window, most_runs
+        self.n = partitions(spark) * BUCKETS_A_PARTITION
         self.runs: list[DataFrame] = []
         self.documents: DataFrame | None = None
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Adds a batch as a new run. Returns packed words (see Lookup) of new and earlier documents in windows that the batch repeats or that repeat in it."""
+        if len(self.runs) > self.most_runs:
+            self.compact()
         batch = keyed(docs)
         self.documents = batch if self.documents is None else self.documents.unionByName(batch)
         entries = batch.mapInArrow(_fingerprints(self.window, self.n), BLOB)
         run = written(by_bucket(entries, lambda: (_sorted_run, None), BLOB))
         hits = run.where(F.col("kind") == HIT)
-        self.runs.append(run.where(F.col("kind") == ENTRY))
+        self.runs.append(run)
         newest = len(self.runs) - 1
         all_runs = None
         for age, run in enumerate(self.runs):
-            run = run.withColumn("kind", F.lit(age))
+            run = run.where(F.col("kind") == ENTRY).withColumn("kind", F.lit(age))
             all_runs = run if all_runs is None else all_runs.unionByName(run)
         met = written(by_bucket(all_runs, _merge_join(newest, self.window, self.n), BLOB))
-        windows = attach(self.documents, met, self.n, _windows(self.window, self.n), BLOB)
+        windows = attach(only_met(self.documents, met, _to_verify), met, self.n, _windows(self.window, self.n), BLOB)
         verified = written(by_bucket(windows, _verified(self.window, self.n), BLOB))
         return met.unionByName(verified).unionByName(hits)
 
     def compact(self) -> None:
-        """Merges all runs into one."""
+        """Merges all runs into one. Their tables stay, as what add() returned reads from them."""
         if len(self.runs) > 1:
-            merged = self.runs[0]
-            for run in self.runs[1:]:
-                merged = merged.unionByName(run)
-            self.runs = [written(by_bucket(merged, lambda: (_sorted_run, None), BLOB))]
+            merged_ = None
+            for run in self.runs:
+                run = run.where(F.col("kind") == ENTRY)
+                merged_ = run if merged_ is None else merged_.unionByName(run)
+            self.runs = [written(by_bucket(merged_, lambda: (_sorted_run, None), BLOB))]
 
 
 KEPT = "id long, tag int, kept string, n_words long, n_removed long, spans array<struct<start: long, end: long>>"
@@ -264,15 +289,14 @@ def keep_words(batch: pa.RecordBatch, have: dict[int, list[dict]]) -> Iterator[p
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), kept, pa.array(np.diff(at)), pa.array(removed), spans], names=["id", "tag", "kept", "n_words", "n_removed", "spans"])
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, batches: int = 2) -> DataFrame:
-    """doc_id, kept, n_words, n_removed, spans: one row for each row of ``docs``, added to a new index in ``batches`` parts by doc_id's hash."""
+def remove_repeats(docs: DataFrame, window: int = 35, batches: int = 3, most_runs: int = 1) -> DataFrame:
+    """doc_id, kept, n_words, n_removed, spans: one row for each row of ``docs``, added to a new index in ``batches`` parts by doc_id's hash (rows without one by their text's)."""
     spark = docs.sparkSession
-    index = FingerprintIndex(spark, window)
+    index = FingerprintIndex(spark, window, most_runs)
     found = None
     for b in range(batches):
-        part = index.add(docs.where(F.pmod(F.xxhash64(docs["doc_id"]), F.lit(batches)) == b))
+        part = index.add(docs.where(F.pmod(F.xxhash64(F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(docs["text"]))), F.lit(batches)) == b))
         found = part if found is None else found.unionByName(part)
-    index.compact()
     collect_garbage(spark)
     out = attach(keyed(docs), found, index.n, lambda: (keep_words, None), KEPT)
     return out.select(doc_id(), "kept", "n_words", "n_removed", "spans")

@@ -5,13 +5,14 @@ at content-chosen anchors are sorted: every string of ``length`` bytes has one a
 equal strings have theirs at the same place. In four passes:
 
 1. Anchors meet by the hash of the GRAM bytes that they start with; an anchor that is alone there can't lie in a repeated
-   string and goes no further. Anchors whose whole context (all windows that chose them) is equal form a class, and its
-   earliest member stands for it; the others lie wholly in repeats.
-2. The suffixes of representatives whose anchors met other contexts are sorted in each task and leave it front-coded:
-   each one as the length of the prefix it shares with the one before, and its tail.
+   string and goes no further. Of equal contexts (all windows that chose an anchor) in one task's share the earliest stands for
+   all, so a hot passage comes once from each task; the others lie wholly in repeats.
+2. The suffixes at the anchors that met are sorted in each task and leave it front-coded: each one as the length of the
+   prefix it shares with the one before, and its tail.
 3. Runs meet, and a loser tree merges them. Each contender knows the prefix that it shares with the last output, so
-   known prefixes are never compared again. Neighbours that share GRAM bytes or more form a group, in which equal strings
-   of ``length`` bytes are found with their left contexts; all but the earliest are repeats.
+   known prefixes are never compared again. Suffixes that share GRAM bytes or more with their neighbours form a group. The
+   prefixes that they share, which the merge has found, and the equal ends of their left contexts decide which windows of
+   ``length`` bytes are equal; all but the earliest are repeats.
 4. Repeats come to their documents, whose covered bytes are cut out.
 
 Null texts are empty, empty and short texts are kept whole, and rows that repeat doc_id and text count as one document.
@@ -30,15 +31,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as X
-from .tables import BLOB, BUCKETS_A_PARTITION, Dealer, Lookup, attach, blob_batch, by_bucket, collect_garbage, doc_id, id_buckets, joined, keyed, pack, partitions, small_batches, written
+from .tables import BLOB, BUCKETS_A_PARTITION, Dealer, Lookup, attach, blob_batch, by_bucket, collect_garbage, doc_id, id_buckets, joined, keyed, only_met, pack, partitions, small_batches, written
 
 GRAM = 32
 #: Most suffixes of one task's sorted runs.
-RUN_ROWS = 400_000
+RUN_ROWS = 100_000
 #: Kinds of packed rows.
 WHOLE, EDGE, ANCHOR, WINDOW = 0, 1, 2, 3
-#: The largest group of suffixes that is searched at once.
-MOST_GROUP = 4096
+#: The most different contexts of a group that are held at once, and that are compared pair by pair.
+MOST_GROUP, PAIRWISE = 4096, 24
 
 
 def _anchored(length: int, n: int):
@@ -83,14 +84,16 @@ def _anchored(length: int, n: int):
     return run
 
 
-def copies(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The rows whose fp and sw others have, too, in order of these and of their places, and which of them are the first of theirs."""
-    key = X.mix(x["fp"]) ^ x["sw"]
-    order = np.argsort(key, kind="stable")
-    size = np.diff(np.append(np.flatnonzero(_changes(key[order])), len(order)))
+def copies(x: dict[str, np.ndarray], key: tuple[str, ...] = ("fp", "sw")) -> tuple[np.ndarray, np.ndarray]:
+    """The rows whose ``key`` others have, too, in order of it and of their places, and which of them are the first of theirs."""
+    whole = X.mix(x[key[0]])
+    for k in key[1:]:
+        whole = whole ^ x[k]
+    order = np.argsort(whole, kind="stable")
+    size = np.diff(np.append(np.flatnonzero(_changes(whole[order])), len(order)))
     some = order[np.repeat(size, size) > 1]
-    some = some[np.lexsort((x["pos"][some], x["tag"][some], x["id"][some], x["sw"][some], x["fp"][some]))]
-    return some, _changes(x["fp"][some], x["sw"][some])
+    some = some[np.lexsort(tuple(x[k][some] for k in reversed((*key, "id", "tag", "pos"))))]
+    return some, _changes(*(x[k][some] for k in key))
 
 
 def later_copies(x: dict[str, np.ndarray]) -> np.ndarray:
@@ -109,8 +112,8 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _classed(length: int, n: int):
-    """Classes of equal contexts among the anchors of one bucket."""
+def _met(n: int):
+    """The anchors of one bucket whose gram starts at several places."""
 
     def make():
         out = Dealer()
@@ -122,25 +125,10 @@ def _classed(length: int, n: int):
                 return
             x = joined(have[ANCHOR])
             order = np.argsort(x["fp"], kind="stable")
-            new = _changes(x["fp"][order])
-            size = np.diff(np.append(np.flatnonzero(new), len(order)))
+            size = np.diff(np.append(np.flatnonzero(_changes(x["fp"][order])), len(order)))
             x = {k: v[order[np.repeat(size, size) > 1]] for k, v in x.items()}
-            if not len(x["fp"]):
-                return
-            order = np.lexsort((x["pos"], x["tag"], x["id"], x["sw"], x["fp"]))
-            x = {k: v[order] for k, v in x.items()}
-            new_class = _changes(x["fp"], x["sw"])
-            new_row = _changes(x["fp"], x["sw"], x["id"], x["tag"], x["pos"])
-            own = np.zeros(len(order), bool)  # repeats of the representative's own row are the same place
-            own[new_class] = True
-            lead = np.maximum.accumulate(np.where(new_class, np.arange(len(order)), 0))
-            own |= (x["id"] == x["id"][lead]) & (x["tag"] == x["tag"][lead]) & (x["pos"] == x["pos"][lead])
-            again = ~own & new_row
-            yield from out.add({"id": x["id"][again], "tag": x["tag"][again], "pos": x["pos"][again], "end": x["pos"][again] + x["n"][again] + length - 1}, id_buckets(x["id"][again], n), WHOLE)
-            group = np.cumsum(_changes(x["fp"])) - 1
-            several = (np.bincount(group, weights=new_class) > 1)[group] & new_class
-            keep = {k: x[k][several] for k in ("id", "tag", "pos", "n", "off")}
-            yield from out.add(keep | {"to": np.full(int(several.sum()), bucket, np.int32)}, id_buckets(keep["id"], n), EDGE)
+            keep = {k: x[k] for k in ("id", "tag", "pos", "n", "off")}
+            yield from out.add(keep | {"to": np.full(len(x["fp"]), bucket, np.int32)}, id_buckets(keep["id"], n), EDGE)
 
         return fn, out.flush
 
@@ -285,31 +273,84 @@ def _sorted_runs(length: int, n: int):
     return make
 
 
-def _repeats(group: list[tuple[bytes, bytes, int, int, int]], length: int, out: list[tuple[int, int, int, int]]) -> None:
-    """Adds the windows of a group of suffixes with the same anchor that also occur earlier."""
-    first: dict[bytes, tuple[int, int, int]] = {}
-    texts = [left + right for right, left, *_ in group]
-    for s, (_, left, i, tag, pos) in zip(texts, group, strict=True):
-        # a window is told from others by its place around the anchor too, but equal windows have it at the same place
-        for j in range(len(s) - length + 1):
-            w = s[j : j + length]
-            place = (i, tag, pos + j)
-            if first.setdefault(w, place) > place:
-                first[w] = place
-    for s, (_, left, i, tag, pos) in zip(texts, group, strict=True):
-        begin = None
-        for j in range(len(s) - length + 1):
-            if first[s[j : j + length]] < (i, tag, pos + j):
-                begin = j if begin is None else begin
-            elif begin is not None:
-                out.append((i, tag, pos + begin, pos + j - 1 + length))
-                begin = None
-        if begin is not None:
-            out.append((i, tag, pos + begin, pos + len(s)))
+class Group:
+    """Contexts around one gram, in the order of their suffixes, each with the prefix it shares with the one before.
+
+    An entry is (suffix, left context, doc id, tag, place of its first window). A window holds the last l bytes of a left context
+    and the first length - l of its suffix, so two entries share the window of l if their left contexts end in the same l bytes
+    and their suffixes share length - l. The entry whose anchor comes first has the earlier window, for every l.
+    """
+
+    def __init__(self, length: int):
+        self.length, self.entries, self.lcp = length, [], []
+        self.own: dict[bytes, int] = {}
+        self.out: list[tuple[int, int, int, int]] = []
+
+    def add(self, entry: tuple[bytes, bytes, int, int, int], lcp: int) -> None:
+        suffix, left = entry[:2]
+        if self.entries and lcp == len(suffix) == len(self.entries[-1][0]):
+            same = self.own.get(left)  # of this very suffix
+            if same is not None:
+                other = self.entries[same]
+                if other[2:] == entry[2:]:
+                    return  # a row that is there twice
+                first, later = (other, entry) if other[2:] < entry[2:] else (entry, other)
+                self.entries[same] = first
+                self.out.append((*later[2:], later[4] + len(left) + len(suffix)))
+                return
+        else:
+            self.own.clear()
+        self.own[left] = len(self.entries)
+        self.entries.append(entry)
+        self.lcp.append(lcp)
+
+    def close(self) -> list[tuple[int, int, int, int]]:
+        """All repeats (id, tag, first byte, end), and an empty group again."""
+        if len(self.entries) > PAIRWISE:
+            self._by_blocks()
+        elif len(self.entries) > 1:
+            self._by_pairs()
+        out, self.entries, self.lcp, self.own, self.out = self.out, [], [], {}, []
+        return out
+
+    def _later(self, a: tuple, b: tuple) -> tuple:
+        return b if (a[2], a[3], a[4] + len(a[1])) < (b[2], b[3], b[4] + len(b[1])) else a
+
+    def _repeat(self, entry: tuple, least: int, most: int) -> None:
+        """The windows of ``least`` to ``most`` left bytes of an entry."""
+        anchor = entry[4] + len(entry[1])
+        self.out.append((entry[2], entry[3], anchor - most, anchor - least + self.length))
+
+    def _by_pairs(self) -> None:
+        for i, a in enumerate(self.entries):
+            common = self.length
+            for j in range(i + 1, len(self.entries)):
+                common = min(common, self.lcp[j])
+                if common < GRAM:
+                    break
+                b = self.entries[j]
+                least = self.length - common
+                if a[1][len(a[1]) - least :] != b[1][len(b[1]) - least :] or min(len(a[1]), len(b[1])) < least:
+                    continue
+                most = shared(a[1][::-1], b[1][::-1], least)
+                self._repeat(self._later(a, b), least, most)
+
+    def _by_blocks(self) -> None:
+        for n in range(max(len(e[1]) for e in self.entries) + 1):
+            need, block, first, own = self.length - n, 0, {}, []
+            for e, lcp in zip(self.entries, self.lcp, strict=True):
+                block += lcp < need
+                if len(e[1]) >= n and len(e[0]) >= need:
+                    key = (block, e[1][len(e[1]) - n :])
+                    own.append((key, e))
+                    first[key] = e if key not in first else e if self._later(first[key], e) is first[key] else first[key]
+            for key, e in own:
+                if first[key] is not e:
+                    self._repeat(e, n, n)
 
 
 def _merged(length: int, n: int):
-    """Repeats among the merged suffixes. A group of more than MOST_GROUP is passed on window by window, so a task never holds more of one."""
+    """Repeats among the merged suffixes. A group of more than MOST_GROUP different contexts is passed on window by window, so a task never holds more of one."""
 
     def make():
         dealer = Dealer()
@@ -330,25 +371,31 @@ def _merged(length: int, n: int):
             lefts = [np.concatenate([[0], np.cumsum(b["lsizes"], dtype=np.int64)]).tolist() for b in blobs]
             places = [list(zip(b["id"].tolist(), b["tag"].tolist(), b["pos"].tolist(), strict=True)) for b in blobs]
             out: list[tuple[int, int, int, int]] = []
-            group: list[tuple] = []
-            large = False
+            group, large = Group(length), False
+
+            def closed() -> Iterator[pa.RecordBatch]:
+                if large:
+                    yield from passed_on(group.entries)
+                    group.entries = group.entries[:0]
+                out.extend(group.close())
+
             for r, i, suffix, lcp in merge(runs):
                 if lcp < GRAM:
-                    if large:
-                        yield from passed_on(group)
-                    elif len(group) > 1:
-                        _repeats(group, length, out)
-                    group, large = [], False
-                elif len(group) == MOST_GROUP:
-                    yield from passed_on(group)
-                    group, large = [], True
-                group.append((suffix, blobs[r]["left"][lefts[r][i] : lefts[r][i + 1]], *places[r][i]))
-            if large:
-                yield from passed_on(group)
-            elif len(group) > 1:
-                _repeats(group, length, out)
+                    yield from closed()
+                    large = False
+                elif len(group.entries) == MOST_GROUP:
+                    large = True
+                    yield from closed()
+                group.add((suffix, blobs[r]["left"][lefts[r][i] : lefts[r][i + 1]], *places[r][i]), lcp)
+                if len(out) > 200_000:
+                    yield from dealt_out(out)
+            yield from closed()
+            yield from dealt_out(out)
+
+        def dealt_out(out: list[tuple[int, int, int, int]]) -> Iterator[pa.RecordBatch]:
             if out:
                 i, tag, pos, end = zip(*out, strict=True)
+                out.clear()
                 ids = np.array(i, np.int64)
                 yield from dealer.add({"id": ids, "tag": np.array(tag, np.uint16), "pos": np.array(pos, np.int64), "end": np.array(end, np.int64)}, id_buckets(ids, n), WHOLE)
 
@@ -413,8 +460,9 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     n = partitions(spark) * BUCKETS_A_PARTITION
-    found = written(by_bucket(keyed(docs).mapInArrow(_anchored(length, n), BLOB), _classed(length, n), BLOB))
-    runs = attach(keyed(docs), found.where(F.col("kind") == EDGE), n, _sorted_runs(length, n), BLOB)
+    found = written(by_bucket(keyed(docs).mapInArrow(_anchored(length, n), BLOB), _met(n), BLOB))
+    met = found.where(F.col("kind") == EDGE)
+    runs = attach(only_met(keyed(docs), met), met, n, _sorted_runs(length, n), BLOB)
     edges = written(by_bucket(runs, _merged(length, n), BLOB))
     large = written(by_bucket(edges.where(F.col("kind") == WINDOW), _earliest(length, n), BLOB))
     return found.unionByName(edges).unionByName(large).where(F.col("kind") == WHOLE)

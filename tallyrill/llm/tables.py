@@ -40,6 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing else uses; all of a session's are in one folder."""
+    return f"{shared_dir(spark)}/tallyrill/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """The same rows, read back from Parquet in the shared folder: the lineage ends there, and losing an executor loses nothing.
 
@@ -47,7 +52,7 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     collect_garbage(spark)  # what the caller of the step before still held then
-    path = f"{shared_dir(spark)}/tallyrill/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     schema = df.schema
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
@@ -324,6 +329,31 @@ def attach(docs: DataFrame, blobs: DataFrame, n_buckets: int, make: Callable[[],
     return docs.unionByName(blobs.select("bucket", "kind", "blob")).repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket", "kind").mapInArrow(run, schema)
 
 
+#: The most documents that are told apart by a broadcast: 16 bytes each.
+MOST_IDS = 1_000_000
+
+
+def _places(which: Callable[[dict], np.ndarray] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0):
+                x = unpack(blob.as_py())
+                some = slice(None) if which is None else which(x)
+                ids, tags = x["id"][some], x["tag"][some]
+                _, first = np.unique(Lookup._key(ids, tags), return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(tags[first].astype(np.int32))], names=["id", "tag"])
+
+    return run
+
+
+def only_met(docs: DataFrame, blobs: DataFrame, which: Callable[[dict], np.ndarray] | None = None) -> DataFrame:
+    """Of documents (as keyed() gives them) those that packed findings are about, or all where these are more than MOST_IDS."""
+    places = written(blobs.select("blob").mapInArrow(_places(which), "id long, tag int").distinct())
+    if places.count() > MOST_IDS:
+        return docs
+    return docs.join(F.broadcast(places), ["id", "tag"], "left_semi")
+
+
 class Lookup:
     """Rows of packed arrays by document (id and tag)."""
 
