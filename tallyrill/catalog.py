@@ -12,7 +12,7 @@ from .functions.record import display, lookup
 from .operators import normalize, udf, window
 from .plans.compiler import compile_pipeline, window_spec
 from .plans import ir
-from .sources import generator, tables
+from .sources import generator, otlp, tables
 
 DAY, HOUR = 86_400_000_000_000, 3_600_000_000_000
 Query = Callable[[SparkSession, str], DataFrame]
@@ -251,7 +251,8 @@ def _sinks() -> None:
         "sink_json", lambda s, d: sinks.lines(counted(s, d).withColumn("name", F.lit("n")), "json"),
         f"""with {_REC}, g as (select t - t % {DAY} as s, event_type, bucket, count(*) as c from rec group by 1, 2, 3) select '{{"ts_nanos":' || (s + {DAY}) || ',"start_ts_nanos":' || s || ',"resource":{{}},"scope":null,"name":"n","value":' || c || '.0,"attrs":{{"bucket":"' || bucket || '","event_type":"' || event_type || '"}}}}' as line from g""",
     )
-    _add("otlp_encode", lambda s, d: sinks.otlp_requests(_run(s, d, _win("count", size="7d"))).select(F.md5("request").alias("md5"), F.length("request").alias("n")), None)
+    read_back = lambda s, d: otlp.decoded(sinks.otlp_requests(_run(s, d, _win("sum", size="1h"))), "request")
+    _add("otlp_encode", lambda s, d: _windows(read_back(s, d), "event_type", "bucket"), _group("sum", f"t - t % {HOUR}", HOUR))
 
 
 for _part in (_filters, _maps, _tumbling, _sliding, _exact, _names, _joins, _udfs, _sources, _sinks):

@@ -7,14 +7,18 @@ import json
 import shutil
 import sys
 import tempfile
+import time
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from . import inspect, metrics, sinks
 from .plans import ir
 from .plans.compiler import Compiled, compile_pipeline
 from .plans.validate import ValidationError, validate
+from .streaming.windows import end_input
 
 
 def session() -> SparkSession:
@@ -43,12 +47,33 @@ def emit(compiled: Compiled) -> None:
             print(row["line"], flush=True)
 
 
-def stream(compiled: Compiled, checkpoint: str, drain: bool) -> None:
-    """Unbounded input: a query for each sink, until one fails; with ``drain``, until what is there now has been read."""
-    spark, queries = None, []
+def stream(compiled: Compiled, checkpoint: str, marks: str | None = None) -> None:
+    """Unbounded input: a query for each sink, until one fails. With ``marks``, until what is there now has been read; then the input ends, and all windows fire."""
+    if marks is None:
+        queries = started(compiled, checkpoint, False)
+        if queries:
+            queries[0].sparkSession.streams.awaitAnyTermination()
+        return
+    for passes in range(2 + ir.windows_deep(compiled.pipeline)):
+        if passes:  # a window after a window that counts records needs a mark after what the first one's made fire
+            end_input(next(iter(compiled.frames.values())).sparkSession, marks)
+        queries = started(compiled, checkpoint, True)
+        try:
+            while any(q.isActive for q in queries):
+                time.sleep(0.1)
+                if any(q.exception() for q in queries):
+                    break
+            for q in queries:
+                if e := q.exception():
+                    raise e
+        finally:
+            for q in queries:
+                q.stop()
+
+
+def started(compiled: Compiled, checkpoint: str, drain: bool) -> list[StreamingQuery]:
+    queries = []
     for sink, df in compiled.sinks().values():
-        spark = df.sparkSession
-
         def write(batch: DataFrame, _: int, sink: ir.Sink = sink) -> None:
             if isinstance(sink, ir.OtlpSink):
                 sinks.export(batch, sink.endpoint)
@@ -58,11 +83,17 @@ def stream(compiled: Compiled, checkpoint: str, drain: bool) -> None:
 
         writer = metrics.observed(df, sink.id).writeStream.outputMode("append").option("checkpointLocation", f"{checkpoint}/{sink.id}").foreachBatch(write)
         queries.append((writer.trigger(availableNow=True) if drain else writer).start())
-    if drain:
-        for q in queries:
-            q.awaitTermination()
-    elif queries:
-        spark.streams.awaitAnyTermination()
+    return queries
+
+
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder in spark.checkpoint.dir; a temporary one only where all run on this machine."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return f"{at.rstrip('/')}/tallyrill-{what}-{uuid.uuid4().hex}"
+    if not spark.conf.get("spark.master", "").startswith("local["):
+        raise SystemExit(f"--{what} (or spark.checkpoint.dir) must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix=f"tallyrill-{what}-")
 
 
 def main(args: list[str] | None = None) -> int:
@@ -77,12 +108,16 @@ def main(args: list[str] | None = None) -> int:
     for p in (run, look):
         p.add_argument("--input", action="append", default=[], metavar="ID=PATH", help="where a source's lines are")
         p.add_argument("--records", type=int, default=100, help="how many records a generator makes of bounded input")
-        p.add_argument("--exact", action="store_true", help="take records in their order of arrival, with watermark and lateness")
+        p.add_argument("--keep-late", action="store_true", help="of bounded input: windows take all records, however late, in any order; faster")
     run.add_argument("--stream", action="store_true", help="read without end")
-    run.add_argument("--drain", action="store_true", help="with --stream: stop when all that is there has been read")
+    run.add_argument("--drain", action="store_true", help="with --stream: end the input when all that is there has been read, let all windows fire, and stop")
     run.add_argument("--checkpoint", help="with --stream: where offsets and state are kept")
     run.add_argument("--metrics", action="store_true", help="print each node's counts to standard error at the end")
     look.add_argument("--node", action="append", default=[], metavar="ID")
+    look.add_argument("--checkpoint", help="of a running stream: where its state is kept; with --sink")
+    look.add_argument("--sink", help="the sink whose query is looked at")
+    look.add_argument("--watch", action="store_true", help="with --checkpoint: show the state again whenever it has changed")
+    look.add_argument("--times", type=int, help="with --watch: stop after so many looks")
     a = parser.parse_args(args)
     if a.command == "schema":
         print(ir.schema_text())
@@ -96,12 +131,24 @@ def main(args: list[str] | None = None) -> int:
     if a.command == "validate":
         print("ok")
         return 0
+    spark = session()
+    if a.command == "inspect" and a.checkpoint:
+        at, spec = f"{a.checkpoint}/{a.sink}", inspect.last_window(p, a.sink)
+        for nodes in inspect.watch(lambda: [inspect.stream_snapshot(spark, at, spec)], times=a.times if a.watch else 1):
+            print(inspect.render(nodes), end="", flush=True)
+        return 0
     live = a.command == "run" and a.stream
-    compiled = compile_pipeline(session(), p, _inputs(p, a.input), stream=live, exact=True if a.exact else None, records=a.records)
+    checkpoint = (a.checkpoint or shared_folder(spark, "checkpoint")) if live else None
+    marks = None
+    if live and a.drain:
+        marks = f"{checkpoint}/end-of-input"
+        path = spark._jvm.org.apache.hadoop.fs.Path(marks)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    compiled = compile_pipeline(spark, p, _inputs(p, a.input), stream=live, exact=None if a.keep_late else True, records=a.records, marks=marks)
     if a.command == "inspect":
         print(inspect.render(inspect.snapshot(compiled, a.node)), end="")
     elif live:
-        stream(compiled, a.checkpoint or tempfile.mkdtemp(prefix="tallyrill-checkpoint-"), a.drain)
+        stream(compiled, checkpoint, marks)
     else:
         emit(compiled)
         if a.metrics:

@@ -16,6 +16,8 @@ FIELDS = ("ts_nanos", "start_ts_nanos", "resource", "scope", "name", "value", "a
 RECORD = f"ts_nanos bigint, start_ts_nanos bigint, resource map<string,{ATTR}>, scope string, name string, value double, attrs map<string,{ATTR}>"
 #: Besides the fields of RECORD a frame may have SEQ, the order of arrival, which first names, lateness, caps and counters go by.
 SEQ = "_seq"
+#: In a stream, what orders the records of one micro-batch that come from several files.
+ARRIVAL = "_arrival"
 
 
 def attr(value: Column, kind: int) -> Column:
@@ -81,7 +83,7 @@ def display(a: Column) -> Column:
     return F.when(a["t"] == BOOL, a["b"].cast("string")).when(a["t"] == INT, a["i"].cast("string")).when(a["t"] == DOUBLE, display_double(a["d"])).when(a["t"] == STR, a["s"])
 
 
-def record(df: DataFrame, *, ts_nanos: Column, name: Column, value: Column, attrs: dict[str, Column] | Column, seq: Column | None = None, resource: dict[str, Column] | Column | None = None, scope: Column | None = None, start_ts_nanos: Column | None = None) -> DataFrame:
+def record(df: DataFrame, *, ts_nanos: Column, name: Column, value: Column, attrs: dict[str, Column] | Column, seq: Column | None = None, resource: dict[str, Column] | Column | None = None, scope: Column | None = None, start_ts_nanos: Column | None = None, more: tuple[str, ...] = ()) -> DataFrame:
     """Records from any frame."""
     maps = [m if isinstance(m, Column) else attr_map(m or {}) for m in (resource, attrs)]
     null = F.lit(None)
@@ -94,6 +96,7 @@ def record(df: DataFrame, *, ts_nanos: Column, name: Column, value: Column, attr
         value.cast("double").alias("value"),
         maps[1].alias("attrs"),
         *([] if seq is None else [seq.cast("bigint").alias(SEQ)]),
+        *more,
     )
 
 

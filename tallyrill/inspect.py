@@ -10,22 +10,39 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions.record import display
-from .operators import window
+from .operators import join, window
 from .plans import ir
 from .plans.compiler import Compiled, window_spec
 
 
 def snapshot(compiled: Compiled, only: list[str] | None = None) -> list[dict[str, Any]]:
-    """Open groups of the windows of a compiled, bounded pipeline. Unknown nodes are left out; nodes are in order of their ids."""
+    """Open groups of the windows and joins of a compiled, bounded pipeline. Unknown nodes are left out; nodes are in order of their ids."""
     out = []
-    for t in sorted((t for t in compiled.pipeline.transforms if isinstance(t, ir.Window)), key=lambda t: t.id):
+    by_id = {t.id: t for t in compiled.pipeline.transforms}
+    for t in sorted((t for t in compiled.pipeline.transforms if isinstance(t, ir.Window | ir.Join)), key=lambda t: t.id):
         if only and t.id not in only:
             continue
+        if isinstance(t, ir.Join):
+            rows = join.open_groups({i: compiled.frames[i] for i in t.inputs}, by_id[t.inputs[0]].group_by).collect()
+            out.append({"id": t.id, "kind": "join", "groups": sorted((r.asDict() for r in rows), key=lambda g: (g["window_start_nanos"], sorted(g["labels"].items())))})
+            continue
         rows = window.open_groups(compiled.frames[t.input], window_spec(t)).collect()
         out.append({"id": t.id, "kind": "window", "groups": sorted((r.asDict() for r in rows), key=lambda g: (g["window_start_nanos"], sorted(g["labels"].items())))})
     return out
 
 
+def last_window(p: ir.Pipeline, sink: str | None) -> window.Spec:
+    """The window nearest to a sink (the only one, if none is named): its state is the first operator's of the sink's query."""
+    at = next((s.input for s in p.sinks if sink in (None, s.id)), None)
+    by_id = {t.id: t for t in p.transforms}
+    while at in by_id:
+        t = by_id[at]
+        if isinstance(t, ir.Window):
+            return window_spec(t)
+        at = ir.inputs(t)[0]
+    raise SystemExit(f"there is no window before sink {sink}")
+
+
 def stream_snapshot(spark: SparkSession, checkpoint: str, spec: window.Spec, operator_id: int = 0) -> dict[str, Any]:
     """Open groups in the state store of a streaming window."""
     state = spark.read.format("statestore").option("operatorId", operator_id).load(checkpoint)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import expr
-from ..functions.record import SEQ, attr, attr_map, fault, numeric
+from ..functions.record import SEQ, attr, attr_map, display, fault, numeric
 
 
 def _aligned(inputs: dict[str, DataFrame], group_by: list[str], max_groups: int | None) -> tuple[DataFrame, list[str]]:
@@ -38,7 +38,9 @@ def _full(n: int) -> Column:
     return out
 
 
-def _reduced(ids: list[str], group_by: list[str], keys: list[str], value: str) -> tuple[Column, Column]:
+def reduced(groups: DataFrame, ids: list[str], group_by: list[str], keys: list[str], value: str) -> DataFrame:
+    """Groups with the expression's ``_new`` and ``_fault``. Ids of inputs come before labels of that name."""
+
     def resolve(name: str) -> tuple[Column, Column]:
         none = F.lit(None).cast("string")
         if name == "value":
@@ -50,7 +52,7 @@ def _reduced(ids: list[str], group_by: list[str], keys: list[str], value: str) -
             return numeric(a), fault(a)
         return F.lit(None).cast("double"), F.lit("missing")
 
-    return expr.compiled(expr.parse(value), resolve)
+    return expr.evaluated(groups, expr.parse(value), resolve)
 
 
 def apply(inputs: dict[str, DataFrame], group_by: list[str], value: str | None = None, name: str | None = None, max_groups: int | None = None, node: str = "join") -> DataFrame:
@@ -61,8 +63,8 @@ def apply(inputs: dict[str, DataFrame], group_by: list[str], value: str | None =
     if value is None:
         out, labels = F.lit(0.0), labels | {i: attr(F.col(f"_v{n}"), 3) for n, i in enumerate(ids)}
     else:
-        out, wrong = _reduced(ids, group_by, keys, value)
-        groups = groups.withColumn("_fault", wrong).where("_fault is null")
+        groups = reduced(groups, ids, group_by, keys, value).where("_fault is null")
+        out = F.col("_new")
     return groups.select(
         F.col("_end").alias("ts_nanos"),
         F.col("_start").alias("start_ts_nanos"),
@@ -75,12 +77,21 @@ def apply(inputs: dict[str, DataFrame], group_by: list[str], value: str | None =
     )
 
 
+def open_groups(inputs: dict[str, DataFrame], group_by: list[str]) -> DataFrame:
+    """The groups that still lack an input when the inputs end: labels as text, bounds, and the values that are there."""
+    groups, keys = _aligned(inputs, group_by, None)
+    pairs = lambda of, kind: F.map_filter(F.create_map(*(x for k, c in of for x in (F.lit(k), c))), lambda _, v: v.isNotNull()) if of else F.create_map().cast(f"map<string,{kind}>")
+    labels = pairs([(k, display(F.col(c))) for k, c in zip(group_by, keys, strict=True)], "string")
+    values = pairs([(i, F.col(f"_v{n}")) for n, i in enumerate(inputs)], "double")
+    return groups.where(~_full(len(inputs))).select(labels.alias("labels"), F.col("_start").alias("window_start_nanos"), F.col("_end").alias("window_end_nanos"), values.alias("inputs"))
+
+
 def dropped(inputs: dict[str, DataFrame], group_by: list[str], value: str | None = None, max_groups: int | None = None) -> dict[str, DataFrame]:
     """Groups that lack an input, groups that the expression can't be read for, and groups over the cap."""
     groups, keys = _aligned(inputs, group_by, max_groups)
     out = {"incomplete": groups.where(~_full(len(inputs)))}
     if value is not None:
-        out["invalid"] = groups.where(_full(len(inputs))).where(_reduced(list(inputs), group_by, keys, value)[1].isNotNull())
+        out["invalid"] = reduced(groups.where(_full(len(inputs))), list(inputs), group_by, keys, value).where("_fault is not null")
     if max_groups is not None:
         every, _ = _aligned(inputs, group_by, None)
         rank = F.row_number().over(W.partitionBy("_end").orderBy("_first", *keys))

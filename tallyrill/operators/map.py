@@ -10,11 +10,10 @@ from .faults import checked, kept
 
 
 def apply(df: DataFrame, value: str, name: str | None = None, on_missing: str = "skip", on_invalid: str = "skip", node: str = "map") -> DataFrame:
-    result, fault = expr.compiled(expr.parse(value))
-    new = checked(result, fault, node, on_missing, on_invalid)
-    out = df.withColumns({"_fault": fault, "_new": new}).where(kept(F.col("_fault"), on_missing, on_invalid))
-    return out.withColumns({"value": F.col("_new")} | ({"name": F.lit(name)} if name is not None else {})).drop("_fault", "_new")
+    out = expr.evaluated(df, expr.parse(value)).where(kept(F.col("_fault"), on_missing, on_invalid))
+    new = checked(F.col("_new"), F.col("_fault"), node, on_missing, on_invalid)
+    return out.withColumns({"value": new} | ({"name": F.lit(name)} if name is not None else {})).drop("_fault", "_new")
 
 
 def dropped(df: DataFrame, value: str) -> dict[str, DataFrame]:
-    return {"invalid": df.where(expr.compiled(expr.parse(value))[1].isNotNull())}
+    return {"invalid": expr.evaluated(df, expr.parse(value)).where("_fault is not null")}

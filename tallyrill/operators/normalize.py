@@ -22,10 +22,10 @@ def delta(value: Column, before: Column, monotonic: Column) -> Column:
     return F.when(monotonic & (value < before), value).otherwise(value - before)
 
 
-def apply(df: DataFrame, cumulative: str = "_cumulative", monotonic: str = "_monotonic") -> DataFrame:
+def apply(df: DataFrame, cumulative: str = "_cumulative", monotonic: str = "_monotonic", order: tuple[str, ...] = (SEQ,)) -> DataFrame:
     """Deltas in place of cumulative samples; other records pass. Both flag columns go."""
     rest = df.where(~F.col(cumulative)).drop(cumulative, monotonic)
-    w = W.partitionBy(*series()).orderBy(SEQ)
+    w = W.partitionBy(*series()).orderBy(*order)
     sums = df.where(cumulative).withColumn("_last", F.lag("value").over(w))
     deltas = sums.where("_last is not null").withColumn("value", delta(F.col("value"), F.col("_last"), F.col(monotonic)))
     return rest.unionByName(deltas.drop("_last", cumulative, monotonic))

@@ -11,6 +11,7 @@ number of ranges of SEQ, then a running maximum within each range, so no task ha
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,8 +21,8 @@ from pyspark.sql.window import Window as W
 from ..functions.record import SEQ, attr_map, fault, lookup, numeric
 from .faults import checked, kept
 
-#: Ranges of SEQ for the running maximum; their maxima are one small table.
-RANGES = 256
+#: Ranges of SEQ for the running maximum, by the input's size; their maxima are one small table.
+LEAST_RANGES, MOST_RANGES, RANGE_BYTES = 16, 4096, 64 << 20
 
 
 @dataclass(frozen=True)
@@ -117,15 +118,29 @@ def _first_name(spec: Spec, columns: list[str]) -> list[Column]:
     return [(F.min_by("name", SEQ) if SEQ in columns else F.first("name")).alias("_name")]
 
 
+def _range_of(df: DataFrame) -> Column:
+    """The number of SEQ's range: as many ranges as the input's size asks for, with near equally many records each."""
+    plan = df._jdf.queryExecution().optimizedPlan() if hasattr(df, "_jdf") else None
+    n = MOST_RANGES if plan is None else min(MOST_RANGES, max(LEAST_RANGES, int(plan.stats().sizeInBytes()) // RANGE_BYTES))
+    edges = sorted({int(b) for b in df.approxQuantile(SEQ, [i / n for i in range(1, n)], 1 / (4 * n))})
+    if not edges:
+        return F.lit(0)
+    # found in two steps, each over the square root of their number
+    k = math.isqrt(len(edges)) + 1
+    array = lambda xs: "array(" + ", ".join(f"{x}L" for x in xs) + ")"
+    blocks = [edges[i : i + k] for i in range(0, len(edges), k)]
+    coarse = f"size(filter({array(b[0] for b in blocks)}, b -> b <= {SEQ}))"
+    fine = f"size(filter(element_at(array({', '.join(map(array, blocks))}), greatest({coarse}, 1)), b -> b <= {SEQ}))"
+    return F.expr(f"greatest({coarse} - 1, 0) * {k} + {fine}")
+
+
 def with_watermark(df: DataFrame, spec: Spec) -> DataFrame:
-    """``_before``: the watermark just before each record."""
-    bounds = df.approxQuantile(SEQ, [i / RANGES for i in range(1, RANGES)], 0.01) if not df.isEmpty() else []
-    edges = F.array(*(F.lit(int(b)) for b in sorted(set(bounds)))) if bounds else F.array().cast("array<bigint>")
-    ranged = df.withColumn("_range", F.size(F.filter(edges, lambda b: b <= F.col(SEQ))))
+    """``_before``: the watermark just before each record. Records that share SEQ, as a user function makes them of one, are in order of time and name."""
+    ranged = df.withColumn("_range", _range_of(df))
     tops = ranged.groupBy("_range").agg(F.max("ts_nanos").alias("_top"))
-    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # RANGES rows at most
+    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
     tops = tops.withColumn("_earlier", F.max("_top").over(earlier)).select("_range", "_earlier")
-    own = W.partitionBy("_range").orderBy(SEQ).rowsBetween(W.unboundedPreceding, -1)
+    own = W.partitionBy("_range").orderBy(SEQ, "ts_nanos", "name").rowsBetween(W.unboundedPreceding, -1)
     seen = F.greatest(F.max("ts_nanos").over(own), F.col("_earlier"))
     return ranged.join(F.broadcast(tops), "_range").withColumn("_before", F.greatest(F.lit(0), F.coalesce(seen, F.lit(0)) - F.lit(spec.lateness))).drop("_range", "_earlier")
 
@@ -148,7 +163,7 @@ def _groups(rows: DataFrame, spec: Spec, exact: bool) -> DataFrame:
 def apply(df: DataFrame, spec: Spec, exact: bool | None = None) -> DataFrame:
     """Aggregated records. ``exact``: by default where the order of arrival is known and matters to the outcome asked for."""
     if exact is None:
-        exact = SEQ in df.columns and spec.max_groups is not None
+        exact = spec.max_groups is not None
     if exact and SEQ not in df.columns:
         raise ValueError(f"{spec.node}: exact windows need the order of arrival in {SEQ}")
     rows = _live(df, spec) if exact else with_starts(prepared(df, spec).where(readable(spec)), spec)

@@ -67,11 +67,12 @@ def read_keys(p: ir.Pipeline, source: str) -> set[str] | None:
         at = t.id
 
 
-def compile_pipeline(spark: SparkSession, p: ir.Pipeline, inputs: dict[str, DataFrame | str | Callable[[set[str] | None], DataFrame]] | None = None, *, stream: bool = False, exact: bool | None = None, records: int = 100) -> Compiled:
+def compile_pipeline(spark: SparkSession, p: ir.Pipeline, inputs: dict[str, DataFrame | str | Callable[[set[str] | None], DataFrame]] | None = None, *, stream: bool = False, exact: bool | None = None, records: int = 100, marks: str | None = None) -> Compiled:
     """Frames of all nodes.
 
     ``inputs``: for each source a frame of records, a function that gives one with the attributes that are read (all for None), or the path of its lines (of OTLP requests, for otlp). A generator needs none and makes ``records`` records.
     ``exact``: windows of bounded input take records in their order of arrival, with watermark, lateness and caps; by default those with max_groups do.
+    ``marks``: of a stream that will end, the folder of the mark at its end (see streaming.windows).
     """
     validate(p)
     out, inputs = Compiled(p), inputs or {}
@@ -86,11 +87,11 @@ def compile_pipeline(spark: SparkSession, p: ir.Pipeline, inputs: dict[str, Data
         t = next(x for x in waiting if all(i in out.frames for i in ir.inputs(x)))
         waiting.remove(t)
         sources = [out.frames[i] for i in ir.inputs(t)]
-        out.frames[t.id], out.drops[t.id] = _node(t, sources, by_id, exact)
+        out.frames[t.id], out.drops[t.id] = _node(t, sources, by_id, exact, marks)
     return out
 
 
-def _node(t: ir.Transform, sources: list[DataFrame], by_id: dict[str, ir.Transform], exact: bool | None) -> tuple[DataFrame, Callable[[], dict[str, DataFrame]]]:
+def _node(t: ir.Transform, sources: list[DataFrame], by_id: dict[str, ir.Transform], exact: bool | None, marks: str | None) -> tuple[DataFrame, Callable[[], dict[str, DataFrame]]]:
     df = sources[0]
     live = df.isStreaming
     if isinstance(t, ir.Filter):
@@ -99,16 +100,15 @@ def _node(t: ir.Transform, sources: list[DataFrame], by_id: dict[str, ir.Transfo
         return map_.apply(df, t.value, t.name, t.on_missing, t.on_invalid, t.id), lambda: map_.dropped(df, t.value)
     if isinstance(t, ir.Udf):
         timeout = nanoseconds(t.timeout or "100ms") / 1e9
-        return udf.apply(df, t.module, t.sha256, t.on_error, timeout, memory_bytes(t.max_memory or "64Mi"), t.id), dict
+        most = memory_bytes(t.max_memory or "64Mi")
+        return udf.apply(df, t.module, t.sha256, t.on_error, timeout, most, t.id), lambda: udf.dropped(df, t.module, t.sha256, timeout, most, t.id)
     if isinstance(t, ir.Window):
         spec = window_spec(t)
         if live:
-            return streaming.apply(df, spec, idle=nanoseconds(t.idle_timeout) if t.idle_timeout else None), dict
+            return streaming.apply(df, spec, idle=nanoseconds(t.idle_timeout) if t.idle_timeout else None, marks=marks), dict
         return window.apply(df, spec, exact), lambda: window.dropped(df, spec) if exact else {"invalid": window.prepared(df, spec).where("_fault is not null")}
     own = dict(zip(t.inputs, sources, strict=True))
     group_by = by_id[t.inputs[0]].group_by
     if live:
-        if t.max_groups is not None:
-            raise ValueError(f"{t.id}: a join in a stream can't have max_groups")
-        return streaming.join(own, group_by, t.value, t.name, t.id), dict
+        return streaming.join(own, group_by, t.value, t.name, t.max_groups, t.id), dict
     return join.apply(own, group_by, t.value, t.name, t.max_groups, t.id), lambda: join.dropped(own, group_by, t.value, t.max_groups)

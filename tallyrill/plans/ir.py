@@ -151,6 +151,17 @@ def inputs(node: Transform | Sink) -> list[str]:
     return list(node.inputs) if isinstance(node, Join) else [node.input]
 
 
+def windows_deep(p: Pipeline) -> int:
+    """The most windows on a way from a source to a sink."""
+    by_id = {t.id: t for t in p.transforms}
+
+    def deep(at: str) -> int:
+        t = by_id.get(at)
+        return 0 if t is None else isinstance(t, Window) + max(map(deep, inputs(t)))
+
+    return max((deep(s.input) for s in p.sinks), default=0)
+
+
 def _made(kind: type, data: Any, where: str) -> Any:
     if not isinstance(data, dict):
         raise ParseError(f"{where}: a mapping is expected")

@@ -7,9 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from .functions.record import BOOL, DOUBLE, INT, SEQ, STR, display, entries
+from .functions.record import BOOL, DOUBLE, INT, STR, display, entries
 
 SCOPE = "tallyrill"
 MOST_POINTS = 512
@@ -66,14 +65,17 @@ def _otlp_attrs() -> Column:
 
 
 def otlp_requests(df: DataFrame, most: int = MOST_POINTS) -> DataFrame:
-    """Export requests (column ``request``): a gauge for each name, ``most`` points at most. Resources and scopes aren't sent."""
-    order = [SEQ] if SEQ in df.columns else ["ts_nanos"]
+    """Export requests (column ``request``): batches of ``most`` records that follow each other in a partition, whatever their names, a gauge for each name. Resources and scopes aren't sent."""
     point = F.struct(_otlp_attrs().alias("attributes"), F.coalesce("start_ts_nanos", F.lit(0)).cast("string").alias("startTimeUnixNano"), F.col("ts_nanos").cast("string").alias("timeUnixNano"), F.col("value").alias("asDouble"))
-    rows = df.select("name", point.alias("point"), F.floor((F.row_number().over(W.partitionBy("name").orderBy(*order)) - 1) / most).alias("_part"))
-    metrics = rows.groupBy("name", "_part").agg(F.collect_list("point").alias("dataPoints"))
-    metric = F.struct(F.col("name"), F.struct(F.col("dataPoints")).alias("gauge"))
-    scope = F.struct(F.struct(F.lit(SCOPE).alias("name")).alias("scope"), F.array(metric).alias("metrics"))
-    return metrics.select(F.to_json(F.struct(F.array(F.struct(F.array(scope).alias("scopeMetrics"))).alias("resourceMetrics"))).alias("request"))
+    at = F.monotonically_increasing_id()  # the partition's number, and 33 bits for the row's in it
+    rows = df.select(F.struct(at.alias("at"), F.col("name"), point.alias("point")).alias("item"))
+    nth = F.floor(F.col("item.at").bitwiseAND(F.lit((1 << 33) - 1)) / most)
+    batches = rows.groupBy(F.shiftright("item.at", 33).alias("_partition"), nth.alias("_batch")).agg(F.sort_array(F.collect_list("item")).alias("items"))
+    names = F.array_sort(F.array_distinct(F.transform("items", lambda i: i["name"])))
+    points = lambda n: F.transform(F.filter("items", lambda i: i["name"] == n), lambda i: i["point"])
+    metrics = F.transform(names, lambda n: F.struct(n.alias("name"), F.struct(points(n).alias("dataPoints")).alias("gauge")))
+    scope = F.struct(F.struct(F.lit(SCOPE).alias("name")).alias("scope"), metrics.alias("metrics"))
+    return batches.select(F.to_json(F.struct(F.array(F.struct(F.array(scope).alias("scopeMetrics"))).alias("resourceMetrics"))).alias("request"))
 
 
 def deliver(send: Callable[[str], None], request: str, first_wait: float = 0.1, longest_wait: float = 5.0, pause: Callable[[float], None] = time.sleep, attempts: int | None = None) -> int:

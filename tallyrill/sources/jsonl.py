@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.record import ATTR, BOOL, DOUBLE, INT, SEQ, STR, attr, record
+from ..functions.record import ARRIVAL, ATTR, BOOL, DOUBLE, INT, SEQ, STR, attr, record
+from .files import arrival, lines
 
 
 def _kind(v: Column) -> Column:
@@ -24,7 +25,7 @@ def _attr(v: Column) -> Column:
 
 
 def parsed(df: DataFrame, line: str = "value") -> DataFrame:
-    """Records of a frame of lines; SEQ is kept if it is there."""
+    """Records of a frame of lines; SEQ and ARRIVAL are kept if they are there."""
     v = F.col("_v")
     at = lambda path: F.try_variant_get(v, path, "variant")
     rows = df.where(F.trim(line) != "").withColumn("_v", F.try_parse_json(line)).where("_v is not null")
@@ -53,16 +54,16 @@ def parsed(df: DataFrame, line: str = "value") -> DataFrame:
         & ((F.col("_start") >= 0) | absent("$.start_ts_nanos")) & (F.col("_scope").isNotNull() | absent("$.scope"))
         & map_ok("$.resource", "_resource") & map_ok("$.attrs", "_attrs")
     )
-    return record(good, ts_nanos=F.col("_ts"), start_ts_nanos=F.col("_start"), name=F.col("_name"), value=F.col("_value"), scope=F.col("_scope"), resource=F.col("_resource"), attrs=F.col("_attrs"), seq=F.col(SEQ) if SEQ in df.columns else None)
+    return record(good, ts_nanos=F.col("_ts"), start_ts_nanos=F.col("_start"), name=F.col("_name"), value=F.col("_value"), scope=F.col("_scope"), resource=F.col("_resource"), attrs=F.col("_attrs"), seq=F.col(SEQ) if SEQ in df.columns else None, more=tuple(c for c in df.columns if c == ARRIVAL))
 
 
 def batch(spark: SparkSession, path: str) -> DataFrame:
     """Records of text files, in the order of files and lines."""
-    return parsed(spark.read.text(path).withColumn(SEQ, F.monotonically_increasing_id()))
+    return parsed(lines(spark, path))
 
 
 def stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     reader = spark.readStream.format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return parsed(reader.load(path))
+    return parsed(reader.load(path).select("value", arrival()))

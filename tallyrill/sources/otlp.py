@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.record import ATTR, BOOL, DOUBLE, INT, SEQ, STR, attr
+from ..functions.record import ARRIVAL, ATTR, BOOL, DOUBLE, INT, SEQ, STR, attr
 from ..operators import normalize
+from .files import arrival, lines
 
 _VALUE = "struct<stringValue:string,boolValue:boolean,intValue:string,doubleValue:double>"
 _ATTRS = f"array<struct<key:string,value:{_VALUE}>>"
@@ -16,8 +17,6 @@ REQUEST = (
     f"metrics:array<struct<name:string,gauge:struct<dataPoints:array<{_POINT}>>,"
     f"sum:struct<dataPoints:array<{_POINT}>,aggregationTemporality:string,isMonotonic:boolean>>>>>>>>"
 )
-#: Orders the files of a micro-batch, which several tasks read.
-ARRIVAL = "_arrival"
 _CUMULATIVE = ("2", "AGGREGATION_TEMPORALITY_CUMULATIVE")
 
 
@@ -38,7 +37,7 @@ def decoded(df: DataFrame, line: str = "value") -> DataFrame:
 
     Exploding keeps the order of a request's points.
     """
-    own = [c for c in df.columns if c == ARRIVAL]
+    own = [c for c in df.columns if c in (ARRIVAL, SEQ)]
     rows = df.select(*own, F.explode(F.from_json(line, REQUEST)["resourceMetrics"]).alias("rm"))
     rows = rows.select(*own, F.col("rm.resource.attributes").alias("resource"), F.explode("rm.scopeMetrics").alias("sm"))
     rows = rows.select(*own, "resource", F.col("sm.scope.name").alias("scope"), F.explode("sm.metrics").alias("m"))
@@ -61,8 +60,9 @@ def decoded(df: DataFrame, line: str = "value") -> DataFrame:
 
 
 def batch(spark: SparkSession, path: str) -> DataFrame:
-    """Records of files of requests in the order of files, lines and points, cumulative sums as deltas."""
-    return normalize.apply(decoded(spark.read.text(path)).withColumn(SEQ, F.monotonically_increasing_id()))
+    """Records of files of requests in the order of files and lines, cumulative sums as deltas in the order of a request's points. The records of a request share SEQ."""
+    points = decoded(lines(spark, path)).withColumn("_nth", F.monotonically_increasing_id())  # exploding keeps their order
+    return normalize.apply(points, order=(SEQ, "_nth")).drop("_nth")
 
 
 def stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -70,6 +70,4 @@ def stream(spark: SparkSession, path: str, max_files: int | None = None) -> Data
     reader = spark.readStream.format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    m = "_metadata.file_"
-    arrival = F.format_string("%020d %s %020d", F.unix_micros(f"{m}modification_time"), F.col(f"{m}path"), F.col(f"{m}block_start"))
-    return decoded(reader.load(path).select("value", arrival.alias(ARRIVAL)))
+    return decoded(reader.load(path).select("value", arrival()))

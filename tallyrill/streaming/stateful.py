@@ -1,7 +1,9 @@
 """What order of arrival or wall-clock time decides in a stream: caps on groups, idle flushes, and counters to deltas.
 
 Windows here are exact by record. Their watermark and caps span all groups of a node, so a node's state is one key: a
-throughput limit that the plain streaming windows don't have, chosen only where these options are set.
+throughput limit that the plain streaming windows don't have, chosen only where these options are set. The same holds for a
+join's cap, which is on all its open groups: a group is there from its first input's value until all have come, or until every
+input has gone beyond its end.
 """
 
 from __future__ import annotations
@@ -16,11 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.record import ATTR, attr_map, schema
+from ..functions.record import ARRIVAL, ATTR, attr_map, schema
 from ..operators import normalize
 from ..operators import window as batch
-from ..sources.otlp import ARRIVAL
 
+#: The event time of the mark at the end of the input.
+LAST = 9_000_000_000_000_000_000
 _FOLDED = "_start bigint, _value double, _samples bigint, _name string, _keys string"
 
 
@@ -50,6 +53,8 @@ class WindowState:
 
     def record(self, ts: int, key: str, name: str, number: float | None) -> list[tuple]:
         """Takes a record (without a number if a field is faulty) and returns what fires."""
+        if ts == LAST:
+            return self.fire(None)
         if number is None:
             self.invalid += 1
         else:
@@ -80,6 +85,12 @@ class WindowState:
         return out
 
 
+def in_order(rows: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """A batch's rows in their order of arrival: a shuffle brings those of several files in any. The optimizer may have renamed their columns."""
+    pdf = pd.concat([p.set_axis(columns, axis=1) for p in rows])
+    yield pdf.sort_values("_arrival", kind="stable")
+
+
 class _Windows(StatefulProcessor):
     def __init__(self, spec: batch.Spec, idle: int | None):
         self.spec, self.idle = spec, idle
@@ -100,8 +111,7 @@ class _Windows(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         w, out = self._loaded(), []
-        for pdf in rows:
-            pdf.columns = ["ts_nanos", "name", "_number", "_fault", "_keys", "_node"]  # the optimizer may have renamed them
+        for pdf in in_order(rows, ["ts_nanos", "name", "_number", "_fault", "_keys", "_arrival", "_node"]):
             for ts, k, name, number in zip(pdf["ts_nanos"], pdf["_keys"], pdf["name"], pdf["_number"].astype(object).where(pdf["_fault"].isna(), None), strict=True):
                 out += w.record(int(ts), k, name, None if number is None else float(number))
         self.state.update((w.dump(),))
@@ -126,7 +136,7 @@ def window(df: DataFrame, spec: batch.Spec, idle: int | None = None) -> DataFram
     number, wrong = batch.reading(spec)
     number = batch.checked(number, wrong, spec.node, spec.on_missing, spec.on_invalid)
     keys = F.to_json(F.struct(*(batch.lookup(k).alias(c) for k, c in zip(spec.group_by, batch.key_columns(spec), strict=True)))) if spec.group_by else F.lit("{}")
-    rows = df.select("ts_nanos", "name", number.alias("_number"), wrong.alias("_fault"), keys.alias("_keys"), F.lit(spec.node).alias("_node"))
+    rows = df.select("ts_nanos", "name", number.alias("_number"), wrong.alias("_fault"), keys.alias("_keys"), (F.col(ARRIVAL) if ARRIVAL in df.columns else F.lit("")).alias("_arrival"), F.lit(spec.node).alias("_node"))
     out = rows.groupBy("_node").transformWithStateInPandas(_Windows(spec, idle), _FOLDED, "Append", "ProcessingTime" if idle is not None else "None")
     parts = F.from_json("_keys", "struct<" + ",".join(f"{c}:{ATTR}" for c in batch.key_columns(spec)) + ">") if spec.group_by else None
     labels = {k: parts[c] for k, c in zip(spec.group_by, batch.key_columns(spec), strict=True)} if spec.group_by else {}
@@ -136,15 +146,86 @@ def window(df: DataFrame, spec: batch.Spec, idle: int | None = None) -> DataFram
     )
 
 
+class JoinState:
+    """The open groups of a join; plain Python, so it can be tested without a stream."""
+
+    def __init__(self, inputs: int, max_groups: int | None):
+        self.inputs, self.max_groups = inputs, max_groups
+        self.open: dict[tuple[int, int, str], list[float | None]] = {}
+        self.seen = [0] * inputs
+        self.capped = self.incomplete = 0
+
+    def load(self, text: str) -> None:
+        data = json.loads(text)
+        self.seen, self.capped, self.incomplete = data["seen"], data["capped"], data["incomplete"]
+        self.open = {(s, e, k): values for s, e, k, values in data["open"]}
+
+    def dump(self) -> str:
+        return json.dumps({"seen": self.seen, "capped": self.capped, "incomplete": self.incomplete, "open": [[*key, values] for key, values in self.open.items()]})
+
+    def value(self, of: int, start: int, end: int, key: str, value: float) -> tuple | None:
+        """Takes an input's value of a group; the group with all values, if that was the last."""
+        place, out = (start, end, key), None
+        self.seen[of] = max(self.seen[of], end)
+        if place in self.open or self.max_groups is None or len(self.open) < self.max_groups:
+            values = self.open.setdefault(place, [None] * self.inputs)
+            values[of] = value
+            if None not in values:
+                del self.open[place]
+                out = (start, end, key, values)
+        else:
+            self.capped += 1
+        gone = [p for p in self.open if p[1] < min(self.seen)]  # not yet those of the windows that are still coming in
+        for p in gone:
+            del self.open[p]
+        self.incomplete += len(gone)
+        return out
+
+
+class _Joins(StatefulProcessor):
+    def __init__(self, inputs: int, max_groups: int | None):
+        self.inputs, self.max_groups = inputs, max_groups
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("groups", T.StructType([T.StructField("json", T.StringType())]))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        state = JoinState(self.inputs, self.max_groups)
+        if self.state.exists():
+            state.load(self.state.get()[0])
+        pdf = pd.concat(list(rows))
+        pdf.columns = ["_start", "_end", "_keys", "_value", "_input", "_node"]  # the optimizer may have renamed them
+        out = []
+        # a batch's windows come in the order in which they fired, the inputs one after the other
+        for s, e, k, v, n in zip(*(pdf.sort_values(["_end", "_input"], kind="stable")[c].tolist() for c in ("_start", "_end", "_keys", "_value", "_input")), strict=True):
+            if done := state.value(int(n), int(s), int(e), k, float(v)):
+                out.append(done)
+        self.state.update((state.dump(),))
+        yield pd.DataFrame(out, columns=["_start", "_end", "_keys", "_values"])
+
+    def close(self) -> None:
+        pass
+
+
+def join(inputs: dict[str, DataFrame], group_by: list[str], max_groups: int | None, node: str) -> DataFrame:
+    """start_ts_nanos, ts_nanos, labels (_k0 ..) and values (_v0 ..) of the groups that every input has."""
+    parts = None
+    for n, df in enumerate(inputs.values()):
+        keys = F.to_json(F.struct(*(F.col("attrs").getItem(k).alias(f"_k{i}") for i, k in enumerate(group_by)))) if group_by else F.lit("{}")
+        part = df.select(F.col("start_ts_nanos").alias("_start"), F.col("ts_nanos").alias("_end"), keys.alias("_keys"), F.col("value").alias("_value"), F.lit(n).alias("_input"), F.lit(node).alias("_node"))
+        parts = part if parts is None else parts.unionByName(part)
+    out = parts.groupBy("_node").transformWithStateInPandas(_Joins(len(inputs), max_groups), "_start bigint, _end bigint, _keys string, _values array<double>", "Append", "None")
+    labels = F.from_json("_keys", "struct<" + ",".join(f"_k{i}:{ATTR}" for i in range(len(group_by))) + ">") if group_by else None
+    return out.select(F.col("_start").alias("start_ts_nanos"), F.col("_end").alias("ts_nanos"), *(labels[f"_k{i}"].alias(f"_k{i}") for i in range(len(group_by))), *(F.col("_values")[n].alias(f"_v{n}") for n in range(len(inputs))))
+
+
 class _Deltas(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", T.StructType([T.StructField("value", T.DoubleType())]))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
-        pdf = pd.concat(list(rows))
-        pdf.columns = ["value", "_monotonic", "_arrival", "_row", "_series"]
-        pdf = pdf.sort_values("_arrival", kind="stable")  # a shuffle brings the rows of several files in any order
+        pdf = next(in_order(rows, ["value", "_monotonic", "_arrival", "_row", "_series"]))
         out, first = [], last is None
         for v, monotonic in zip(pdf["value"], pdf["_monotonic"], strict=True):
             out.append(None if last is None else v if monotonic and v < last else v - last)

@@ -70,11 +70,28 @@ def test_otlp_counters(read):
     assert [r["value"] for r in read(request("sum", [point(5, 1)], aggregationTemporality=1))] == [5]
 
 
+def test_files_are_read_in_their_order(spark, tmp_path, monkeypatch):
+    """A later file that is larger, and so is packed first; blocks in a broadcast and beyond it."""
+    import os
+
+    from tallyrill.sources import files
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for n, name in enumerate("zma"):
+        (folder / name).write_text("\n".join(json.dumps({"ts_nanos": 100 * n + i, "name": "m", "value": 1}) for i in range(1 + 20 * n)))
+        os.utime(folder / name, (1_000_000 + n, 1_000_000 + n))
+    for most in (100_000, 0):
+        monkeypatch.setattr(files, "MOST_BLOCKS", most)
+        rows = jsonl.batch(spark, str(folder)).select("_seq", "ts_nanos").collect()
+        assert [r[1] for r in sorted(rows)] == sorted(r[1] for r in rows) and len({r[0] for r in rows}) == len(rows) == 63
+
+
 def test_otlp_requests(spark):
     df = frame(spark, [{"ts": i, "name": n, "value": i, "attrs": {"s": "x", "i": 1, "b": True}} for i, n in enumerate("aabab")])
-    sent = [json.loads(r[0]) for r in sinks.otlp_requests(df, most=2).collect()]
-    metrics = [m for r in sent for rm in r["resourceMetrics"] for sm in rm["scopeMetrics"] for m in sm["metrics"]]
-    assert sorted((m["name"], len(m["gauge"]["dataPoints"])) for m in metrics) == [("a", 1), ("a", 2), ("b", 2)]
+    sent = [json.loads(r[0]) for r in sinks.otlp_requests(df.coalesce(1), most=2).collect()]
+    metrics = [[(m["name"], len(m["gauge"]["dataPoints"])) for rm in r["resourceMetrics"] for sm in rm["scopeMetrics"] for m in sm["metrics"]] for r in sent]
+    assert sorted(metrics) == [[("a", 1), ("b", 1)], [("a", 2)], [("b", 1)]]
     back = otlp.decoded(sinks.otlp_requests(df).select(F.col("request").alias("value")))
     assert sorted((r["name"], r["value"]) for r in back.collect()) == sorted((n, float(i)) for i, n in enumerate("aabab"))
 

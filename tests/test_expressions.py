@@ -63,9 +63,25 @@ def test_parser_never_breaks(text):
         pass
 
 
+@pytest.mark.parametrize("text", ["/".join(["a", "b"] * 256), "+".join(["a", "b"] * 256), "a - " * 300 + "b % a / b", "a ^ " * 60 + "b", "a ^ -" * 30 + "b", "a / (" * 30 + "b" + " + b / a)" * 30, "((a / b) % 3 + " * 30 + "b" + ")" * 30, "-" * 60 + "a", "(" * 60 + "a" + ")" * 60, "a * (b / a ^ (a - b)) ^ (b / (a / b))"])
+def test_long_expressions_are_planned(spark, text):
+    """As long and as deep as the language allows; plans grow as the text does."""
+    import time
+
+    rows = [{"value": 1, "attrs": {"a": 1.25, "b": 0.5}}, {"value": 1, "attrs": {"a": 1.0, "b": 2.0}}]
+    df = frame(spark, rows)
+    began = time.time()
+    out = map_.apply(df, text)
+    size = len(out._jdf.queryExecution().optimizedPlan().toString())
+    took = time.time() - began
+    assert took < 10 and size < 400_000
+    want = [v for r in rows if math.isfinite(v := evaluate(expr.parse(text), r["attrs"]))]
+    assert sorted(r["value"] for r in plain(out)) == pytest.approx(sorted(want))
+
+
 def test_ieee_arithmetic(spark):
     numbers = [0.0, -0.0, 1.0, -1.0, 2.5, 1e308]
-    texts = ["1 / (a / b)", "a % b", "1 / (1 / (a ^ b))", "1 ^ (a / b)", "(0 - 1) ^ (a / 0)", "-a / b"]
+    texts = ["(a + b) / (a - b)", "(a / b) / (b / a)", "(a / b) ^ (b / a)", "(0 - a) ^ (1 / b)", "a / b / a / b / a / b / a / b", "a * b % a * b % 3 / a * b", "1 / (a / b)", "a % b", "1 / (1 / (a ^ b))", "1 ^ (a / b)", "(0 - 1) ^ (a / 0)", "-a / b"]
     rows = [{"value": 1, "attrs": {"a": a, "b": b}} for a in numbers for b in numbers]
     for text in texts:
         node = expr.parse(text)

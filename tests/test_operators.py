@@ -109,6 +109,19 @@ def test_exact_windows_equal_a_record_by_record_run(spark, seed):
     assert dropped == {"invalid": state.invalid, "late": state.late} | ({"capped": state.capped} if spec.max_groups else {})
 
 
+@pytest.mark.parametrize("ranges", [2, 7, 100, 4096])
+def test_ranges_of_arrival(spark, monkeypatch, ranges):
+    monkeypatch.setattr(window, "LEAST_RANGES", ranges)
+    monkeypatch.setattr(window, "MOST_RANGES", ranges)
+    r = random.Random(ranges)
+    rows = [(r.randint(0, 500), r.choice("ab"), 1.0) for _ in range(300)]
+    spec = Spec(20, lateness=30, group_by=("k",), op="sum")
+    df = frame(spark, [{"ts": t, "attrs": {"k": k}, "value": v} for t, k, v in rows])
+    want, state = simulated(rows, spec)
+    assert {(x["start"], x["attrs"]["k"]): x["value"] for x in plain(window.apply(df, spec, exact=True))} == {k: v for k, (v, _) in want.items()}
+    assert state.late
+
+
 def rollups(spark, rows):
     return frame(spark, [{"start": s, "ts": e, "value": v, "attrs": {"service.name": k}} for s, e, k, v in rows])
 
@@ -160,8 +173,9 @@ def test_udf(spark, tmp_path):
     f = tmp_path / "double.py"
     f.write_text(SOURCE.format(version=1))
     df = frame(spark, [{"value": 21, "attrs": {"times": 2, "ok": True, "x": 1.5}}, {"value": -1}, {"name": "bad"}, {"name": "loop"}, {"value": 1, "start": 3}])
-    out = plain(udf.apply(df, str(f)))
+    out = sorted(plain(udf.apply(df, str(f))), key=lambda r: -r["value"])
     assert [(r["value"], r["attrs"]) for r in out] == [(42, {"times": 2, "ok": True, "x": 1.5})] * 2 + [(2, {})]
+    assert udf.dropped(df, str(f))["invalid"].count() == 2
     with pytest.raises(Exception, match="bad"):
         udf.apply(df, f"file://{f}", on_error="error").collect()
     with pytest.raises(udf.UdfError):
@@ -171,6 +185,36 @@ def test_udf(spark, tmp_path):
         udf.check(str(f))
 
 
+WIDE = """
+def transform(record):
+    n = record["attrs"]["n"]
+    return [record | {"value": n, "attrs": {"n": n, "wide": 1 << (62 + n)}, "resource": {"r": n > 0, "s": "x", "f": 0.5}}, record | {"attrs": {}}]
+"""
+
+
+def test_udf_keeps_order_and_counts_drops(spark, tmp_path):
+    f = tmp_path / "wide.py"
+    f.write_text(WIDE)
+    df = frame(spark, [{"ts": i, "attrs": {"n": i % 3}, "scope": "s"} for i in range(30)])
+    out = udf.apply(df, str(f))
+    assert sorted(r[0] for r in out.select("_seq").collect()) == sorted([i for i in range(30) if i % 3 == 0] * 2)  # wider than 64 bits otherwise
+    first = out.where("size(attrs) > 0").first()
+    assert first["attrs"]["wide"]["i"] == 1 << 62 and first["resource"]["r"]["b"] is False and first["resource"]["f"]["d"] == 0.5 and first["scope"] == "s"
+    assert udf.dropped(df, str(f))["invalid"].count() == 20
+    with pytest.raises(Exception, match="64 bits"):
+        udf.apply(df, str(f), on_error="error").collect()
+
+
+def test_capped_window_after_a_udf(spark, tmp_path):
+    f = tmp_path / "same.py"
+    f.write_text("def transform(record):\n    return [record]\n")
+    df = frame(spark, [{"ts": 1, "attrs": {"svc": s}} for s in "abcdea"])
+    spec = Spec(1000, group_by=("svc",), max_groups=2)
+    assert {r["attrs"]["svc"]: r["value"] for r in plain(window.apply(udf.apply(df, str(f)), spec))} == {"a": 2, "b": 1}
+    with pytest.raises(ValueError, match="order of arrival"):
+        window.apply(df.drop("_seq"), spec)
+
+
 def test_empty_input(spark):
     df = frame(spark, [])
     assert plain(window.apply(df, Spec(10, max_groups=1))) == []

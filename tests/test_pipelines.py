@@ -120,6 +120,24 @@ def test_join_pipeline(spark):
     assert sorted((r["start"], r["value"], r["name"]) for r in plain(c.frames["spread"])) == [(0, 7, "diff"), (5 * s, 0, "diff")]
 
 
+def test_inspect_a_join(spark):
+    s = 10**9
+    a, b = frame(spark, [{"ts": s, "value": 10, "attrs": {"s": "x"}}, {"ts": s, "value": 4, "attrs": {"s": "y"}}]), frame(spark, [{"ts": s, "value": 3, "attrs": {"s": "x"}}])
+    c = compile_pipeline(spark, ir.loads(SPREAD), {"a": a, "b": b})
+    assert inspect.render(inspect.snapshot(c, ["spread"])) == "spread (join) - 1 group(s)\n  s=y  window=[0,5000000000)  inputs={hi=4}\n"
+
+
+def test_late_records_of_bounded_input_are_dropped(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    f, lines = tmp_path / "p.yaml", tmp_path / "in.jsonl"
+    f.write_text("sources: [{type: stdin, id: a}]\ntransforms: [{type: window, id: w, input: a, size: 1s, aggregate: {op: sum}}]\nsinks: [{type: stdout, id: o, input: w}]")
+    lines.write_text("\n".join(json.dumps({"ts_nanos": t * 10**8, "name": "m", "value": 1.0}) for t in (1, 15, 2)))
+    assert cli.main(["run", str(f), "--input", f"a={lines}"]) == 0
+    assert [x.rsplit(" ", 2)[1] for x in capsys.readouterr().out.splitlines()] == ["m=1.00", "m=1.00"]
+    assert cli.main(["run", str(f), "--input", f"a={lines}", "--keep-late"]) == 0
+    assert [x.rsplit(" ", 2)[1] for x in capsys.readouterr().out.splitlines()] == ["m=2.00", "m=1.00"]
+
+
 def test_inspect(spark):
     s = 10**9
     df = frame(spark, [{"ts": s, "value": 2, "attrs": {"s": "x"}}, {"ts": 6 * s, "value": 4, "attrs": {"s": "x"}}, {"ts": 7 * s, "value": 9}])

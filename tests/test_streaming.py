@@ -124,12 +124,71 @@ def test_counters_in_a_pipeline(spark, tmp_path):
     assert sorted((r["start"] // S, r["attrs"]["s"], r["value"]) for r in got) == [(0, "x", 75 + 20 + 30), (0, "y", 3)]
 
 
-def test_a_cap_of_a_join_is_refused(spark, tmp_path):
+def test_cap_of_a_join(spark, tmp_path):
+    for k, v in (("a", 10), ("b", 4)):
+        write(tmp_path / k, 0, [(1, v, s) for s in "xyz"])
+        write(tmp_path / k, 1, [(11, 0, "x")])
+    p = pipeline(win("hi", "a"), win("lo", "b"), {"type": "join", "id": "j", "inputs": ["hi", "lo"], "value": "hi - lo", "max_groups": 2}, sources=("a", "b"))
+    df = compile_pipeline(spark, p, {k: jsonl.stream(spark, str(tmp_path / k), 1) for k in "ab"}, stream=True).frames["j"]
+    got = plain(drained(df, tmp_path, "capped_join"))
+    assert [r["value"] for r in got] == [6, 6] and len({r["attrs"]["s"] for r in got}) == 2
+
+
+def test_join_of_capped_windows(spark, tmp_path):
+    for k, v in (("a", 10), ("b", 4)):
+        write(tmp_path / k, 0, [(1, v, s) for s in "xyz"])
+        write(tmp_path / k, 1, [(11, 0, "x")])
+    p = pipeline(win("hi", "a", max_groups=2), win("lo", "b"), {"type": "join", "id": "j", "inputs": ["hi", "lo"], "value": "hi - lo"}, sources=("a", "b"))
+    df = compile_pipeline(spark, p, {k: jsonl.stream(spark, str(tmp_path / k), 1) for k in "ab"}, stream=True).frames["j"]
+    assert [r["value"] for r in plain(drained(df, tmp_path, "capped_windows"))] == [6, 6]
+
+
+def test_open_groups_of_a_join():
+    """Groups are there from the first value to the last, count for the cap, and go when all inputs are beyond them."""
+    j = stateful.JoinState(2, 2)
+    assert [j.value(0, 0, 5, k, 1.0) for k in "xyz"] == [None] * 3 and j.capped == 1
+    assert j.value(1, 0, 5, "x", 2.0) == (0, 5, "x", [1.0, 2.0]) and list(j.open) == [(0, 5, "y")]
+    assert [j.value(n, 5, 10, "x", 2.0) for n in (0, 1)] == [None, (5, 10, "x", [2.0, 2.0])] and j.open == {} and j.incomplete == 1
+    j = stateful.JoinState(2, 2)
+    assert j.value(0, 0, 5, "x", 1.0) is None and j.value(0, 0, 5, "x", 3.0) is None  # the last counts
+    again = stateful.JoinState(2, 2)
+    again.load(j.dump())
+    assert again.value(1, 0, 5, "x", 2.0) == (0, 5, "x", [3.0, 2.0])
+    again.value(0, 5, 10, "y", 1.0)
+    again.value(1, 10, 15, "y", 1.0)
+    assert again.incomplete == 0 and [p[0] for p in again.open] == [5, 10]
+
+
+@pytest.mark.parametrize("more", [{}, {"max_groups": 2}])
+def test_a_drained_stream_gives_the_rows_of_bounded_input(spark, tmp_path, capsys, monkeypatch, more):
+    from tallyrill import cli
+
+    monkeypatch.setattr(cli, "session", lambda: spark)
     for k in "ab":
-        write(tmp_path / k, 0, [(1, 1, "x")])
-    p = pipeline(win("hi", "a"), win("lo", "b"), {"type": "join", "id": "j", "inputs": ["hi", "lo"], "value": "hi - lo", "max_groups": 1}, sources=("a", "b"))
-    with pytest.raises(ValueError, match="max_groups"):
-        compile_pipeline(spark, p, {k: str(tmp_path / k) for k in "ab"}, stream=True)
+        for n, rows in enumerate([[(1, 1, "x"), (2, 2, "y")], [(6, 5, "x"), (7, 1, "z"), (8, 1, "y")], [(12, 9, "x")]]):
+            write(tmp_path / k, n, [(t, v * (3 if k == "a" else 1), s) for t, v, s in rows])
+    p = pipeline({"type": "filter", "id": "f", "input": "a", "key": "s"}, win("hi", "f", **more), win("lo", "b", **more), {"type": "join", "id": "j", "inputs": ["hi", "lo"], "value": "hi - lo"}, sources=("a", "b"))
+    file = tmp_path / "p.json"
+    file.write_text(json.dumps(ir.to_dict(p)))
+    args = ["run", str(file), *(x for k in "ab" for x in ("--input", f"{k}={tmp_path / k}"))]
+    assert cli.main(args) == 0
+    want = sorted(capsys.readouterr().out.splitlines())
+    assert cli.main([*args, "--stream", "--drain", "--checkpoint", str(tmp_path / "state")]) == 0
+    assert sorted(capsys.readouterr().out.splitlines()) == want and len(want) == (5 if more else 6)
+
+
+def test_inspect_a_stream(spark, tmp_path, capsys, monkeypatch):
+    from tallyrill import cli
+
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    write(tmp_path / "a", 0, [(1, 1, "x"), (2, 2, "y")])
+    p = pipeline(win(), {"type": "map", "id": "m", "input": "w", "value": "value * 2"})
+    df = compile_pipeline(spark, p, {"a": jsonl.stream(spark, str(tmp_path / "a"), 1)}, stream=True).frames["m"]
+    drained(df, tmp_path, "o")
+    (tmp_path / "p.json").write_text(json.dumps(ir.to_dict(p)))
+    assert cli.main(["inspect", str(tmp_path / "p.json"), "--checkpoint", str(tmp_path), "--sink", "o", "--watch", "--times", "2"]) == 0
+    out = capsys.readouterr().out
+    assert "w (window) - 2 group(s)" in out and out.count("s=x") == 1
 
 
 def test_sub_microsecond_windows_are_refused(spark, tmp_path):
