@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from . import language, toxicity
+from .bpe import encode_documents
+from .chat import format_conversations, read_back
+from .decontaminate import find
+from .jaccard import join
+from .neighbours import near_duplicates
+from .reshard import reshard, rewrite, shards
+from .substring_index import remove_repeats
+from .suffixes import dedup_substrings
+from .tables import new_folder, table
 
 
 def fold(doc_id: Column) -> Column:
@@ -15,9 +25,6 @@ def fold(doc_id: Column) -> Column:
 
 def op1_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From 6 old shards by the text's CRC-32 to 8 new ones of equal bytes; read back from the files of the shards that were rewritten, others as they are."""
-    from .reshard import reshard, rewrite, shards
-    from .tables import new_folder
-
     docs = table(spark, sf_dir, "documents")
     utf8 = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     plan = reshard(docs, F.pmod(F.crc32(F.encode(F.coalesce(docs["text"], F.lit("")), "UTF-8")), F.lit(6)), n_old=6, n_new=8)
@@ -31,22 +38,16 @@ def op1_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .toxicity import learn, score
-
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    scored = score(docs, learn(docs, labels.where(fold(labels["doc_id"]) != 0)))
+    scored = toxicity.score(docs, toxicity.learn(docs, labels.where(fold(labels["doc_id"]) != 0)))
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .neighbours import near_duplicates
-
     return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat import format_conversations, read_back
-
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -54,46 +55,32 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .jaccard import join
-
     return join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .substring_index import remove_repeats
-
     kept = remove_repeats(table(spark, sf_dir, "documents"), window=35)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .language import identify, learn
-
     docs = table(spark, sf_dir, "documents")
-    found = identify(docs, learn(docs.where(fold(docs["doc_id"]) != 0)))
+    found = language.identify(docs, language.learn(docs.where(fold(docs["doc_id"]) != 0)))
     return found.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    from .bpe import encode_documents
-
     out = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .decontaminate import find
-
     found = find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
     items = F.array_join(F.array_sort("items"), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.encode(items, "UTF-8"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .suffixes import dedup_substrings
-
     kept = dedup_substrings(table(spark, sf_dir, "documents"), length=100)
     return kept.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 

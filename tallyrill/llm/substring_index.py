@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import text as X
 from .suffixes import _changes, copies
-from .tables import BLOB, BUCKETS_A_PARTITION, Dealer, Lookup, attach, by_bucket, collect_garbage, dealt, doc_id, id_buckets, joined, keyed, only_met, partitions, small_batches, written
+from .tables import BLOB, Dealer, Lookup, attach, by_bucket, collect_garbage, dealt, doc_id, id_buckets, joined, keyed, only_met, partitions, small_batches, written
 
 GRAM = 8
 #: What an entry is, and what a place is.
@@ -219,7 +219,7 @@ class FingerprintIndex:
             raise ValueError(f"window: more than {GRAM} words")
         small_batches(spark)
         self.spark, self.window, self.most_runs = spark, window, most_runs
-        self.n = partitions(spark) * BUCKETS_A_PARTITION
+        self.n = partitions(spark)  # every task has something for every bucket, so there is one for each task
         self.runs: list[DataFrame] = []
         self.documents: DataFrame | None = None
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as X
-from .tables import BLOB, BUCKETS_A_PARTITION, Dealer, Lookup, attach, blob_batch, by_bucket, collect_garbage, doc_id, id_buckets, joined, keyed, only_met, pack, partitions, small_batches, written
+from .tables import BLOB, Dealer, Lookup, attach, blob_batch, by_bucket, collect_garbage, doc_id, id_buckets, joined, keyed, pack, partitions, small_batches, written
 
 GRAM = 32
 #: Most suffixes of one task's sorted runs.
@@ -459,10 +459,10 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
         raise ValueError(f"length: at least {2 * GRAM}")
     spark = docs.sparkSession
     small_batches(spark)
-    n = partitions(spark) * BUCKETS_A_PARTITION
+    n = partitions(spark)  # every task has something for every bucket, so there is one for each task
     found = written(by_bucket(keyed(docs).mapInArrow(_anchored(length, n), BLOB), _met(n), BLOB))
     met = found.where(F.col("kind") == EDGE)
-    runs = attach(only_met(keyed(docs), met), met, n, _sorted_runs(length, n), BLOB)
+    runs = attach(keyed(docs), met, n, _sorted_runs(length, n), BLOB)
     edges = written(by_bucket(runs, _merged(length, n), BLOB))
     large = written(by_bucket(edges.where(F.col("kind") == WINDOW), _earliest(length, n), BLOB))
     return found.unionByName(edges).unionByName(large).where(F.col("kind") == WHOLE)
@@ -472,7 +472,7 @@ def dedup_substrings(docs: DataFrame, length: int = 100, with_it: str | None = N
     """doc_id, kept (binary), n_bytes, spans: one row for each row of ``docs``. ``with_it``: a column of ``docs`` to return, too."""
     found = repeats(docs, length)
     collect_garbage(docs.sparkSession)
-    n = partitions(docs.sparkSession) * BUCKETS_A_PARTITION
+    n = partitions(docs.sparkSession)
     rows = keyed(docs, *([docs[with_it].alias("with_it")] if with_it else []))
     schema = T.StructType([*T._parse_datatype_string(KEPT).fields, *(f for f in rows.schema.fields if f.name not in ("tag", "text"))])
     return attach(rows, found, n, lambda: (cut_out, None), schema).select(doc_id(), "kept", "n_bytes", "spans", *([F.col("with_it").alias(with_it)] if with_it else []))

@@ -333,22 +333,18 @@ def attach(docs: DataFrame, blobs: DataFrame, n_buckets: int, make: Callable[[],
 MOST_IDS = 1_000_000
 
 
-def _places(which: Callable[[dict], np.ndarray] | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0):
-                x = unpack(blob.as_py())
-                some = slice(None) if which is None else which(x)
-                ids, tags = x["id"][some], x["tag"][some]
-                _, first = np.unique(Lookup._key(ids, tags), return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(tags[first].astype(np.int32))], names=["id", "tag"])
+def only_met(docs: DataFrame, blobs: DataFrame, which: Callable[[dict], np.ndarray]) -> DataFrame:
+    """Of documents (as keyed() gives them) those that packed findings, dealt by them, are about, or all where these are more than MOST_IDS."""
 
-    return run
+    def make():
+        def fn(_: int, have: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
+            x = joined([{k: b[k][which(b)] for k in ("id", "tag")} for own in have.values() for b in own])
+            _, first = np.unique(Lookup._key(x["id"], x["tag"]), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x["id"][first]), pa.array(x["tag"][first].astype(np.int32))], names=["id", "tag"])
 
+        return fn, None
 
-def only_met(docs: DataFrame, blobs: DataFrame, which: Callable[[dict], np.ndarray] | None = None) -> DataFrame:
-    """Of documents (as keyed() gives them) those that packed findings are about, or all where these are more than MOST_IDS."""
-    places = written(blobs.select("blob").mapInArrow(_places(which), "id long, tag int").distinct())
+    places = written(by_bucket(blobs, make, "id long, tag int"))
     if places.count() > MOST_IDS:
         return docs
     return docs.join(F.broadcast(places), ["id", "tag"], "left_semi")
