@@ -25,14 +25,18 @@ def session() -> SparkSession:
     return SparkSession.builder.appName("tallyrill").config("spark.sql.session.timeZone", "UTC").config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider").getOrCreate()
 
 
-def _inputs(p: ir.Pipeline, given: list[str]) -> dict[str, str]:
-    """ID=PATH options; a stdin source without one is read from standard input, spooled to a file."""
+def _inputs(spark: SparkSession, p: ir.Pipeline, given: list[str]) -> dict[str, str]:
+    """ID=PATH options; a stdin source without one is read from standard input, spooled to a file that all executors can read."""
     out = dict(x.split("=", 1) for x in given)
     for s in p.sources:
         if isinstance(s, ir.Stdin) and s.id not in out:
-            with tempfile.NamedTemporaryFile("w", suffix=".jsonl", delete=False) as f:
+            folder = shared_folder(spark, "input").removeprefix("file://")
+            if "://" in folder:
+                raise SystemExit(f"source {s.id}: standard input can't be put into {folder}; give --input {s.id}=PATH")
+            Path(folder).mkdir(parents=True, exist_ok=True)
+            with open(f"{folder}/{s.id}.jsonl", "w") as f:
                 shutil.copyfileobj(sys.stdin, f)
-            out[s.id] = f.name
+            out[s.id] = f"{folder}/{s.id}.jsonl"
     return out
 
 
@@ -144,7 +148,7 @@ def main(args: list[str] | None = None) -> int:
         marks = f"{checkpoint}/end-of-input"
         path = spark._jvm.org.apache.hadoop.fs.Path(marks)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
-    compiled = compile_pipeline(spark, p, _inputs(p, a.input), stream=live, exact=None if a.keep_late else True, records=a.records, marks=marks)
+    compiled = compile_pipeline(spark, p, _inputs(spark, p, a.input), stream=live, exact=None if a.keep_late else True, records=a.records, marks=marks)
     if a.command == "inspect":
         print(inspect.render(inspect.snapshot(compiled, a.node)), end="")
     elif live:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -15,18 +16,29 @@ REASONS = ("filtered", "invalid", "late", "incomplete", "capped")
 
 
 def collect(compiled: Compiled) -> list[dict[str, Any]]:
-    """For each node of a bounded pipeline: records.out, records.dropped by reason, and of windows their flushes and groups. Each count is an aggregate in the cluster."""
-    out = []
+    """For each node of a bounded pipeline: records.out, records.dropped by reason, and of windows their flushes and groups.
+
+    All counts are aggregates of one query, so what nodes have in common is shuffled once.
+    """
     kinds = {n.id: "source" if n in compiled.pipeline.sources else n.type for n in [*compiled.pipeline.sources, *compiled.pipeline.transforms]}
+    counts: list[DataFrame] = []
+
+    def count(node: str, what: str, df: DataFrame, of: Column | None = None) -> None:
+        counts.append(df.agg((F.count(F.lit(1)) if of is None else of).alias("n")).select(F.lit(node).alias("node"), F.lit(what).alias("what"), "n"))
+
     for node, df in compiled.frames.items():
-        row = {"node": node, "kind": kinds[node], "records.out": df.count()}
+        count(node, "records.out", df)
         for reason, dropped in compiled.drops.get(node, dict)().items():
-            row[f"records.dropped.{reason}"] = dropped.count()
+            count(node, f"records.dropped.{reason}", dropped)
         if kinds[node] == "window":
-            row["window.flushes"] = df.select("start_ts_nanos").distinct().count()
+            count(node, "window.flushes", df, F.count_distinct("start_ts_nanos"))
+    out = {node: {"node": node, "kind": kinds[node]} for node in compiled.frames}
+    for r in reduce(DataFrame.unionByName, counts).collect():
+        out[r["node"]][r["what"]] = r["n"]
+    for row in out.values():
+        if row["kind"] == "window":
             row["window.groups"] = row["records.out"]
-        out.append(row)
-    return out
+    return list(out.values())
 
 
 def observed(df: DataFrame, node: str) -> DataFrame:

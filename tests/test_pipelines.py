@@ -12,17 +12,12 @@ from tallyrill.plans.compiler import compile_pipeline
 LATENCY = """
 version: 0
 sources:
-  - {type: generator, id: gen, metric: http.server.duration, interval: 200ms}
+  - {type: generator, id: made, metric: wait, interval: 200ms, services: [north, south, west], routes: [/in, /out]}
 transforms:
-  - {type: filter, id: only, input: gen, key: service.name, equals: checkout}
-  - type: window
-    id: windowed
-    input: only
-    size: 5s
-    group_by: [service.name, http.route]
-    aggregate: {op: avg, field: value}
+  - {type: filter, id: only, input: made, key: service.name, equals: north}
+  - {type: window, id: means, input: only, size: 4s, group_by: [http.route, service.name], aggregate: {op: avg, field: value}}
 sinks:
-  - {type: stdout, id: out, input: windowed, format: text}
+  - {type: stdout, id: shown, input: means, format: text}
 """
 SPREAD = """
 sources: [{type: stdin, id: a}, {type: stdin, id: b}]
@@ -55,7 +50,7 @@ def test_parse():
     p = ir.loads(LATENCY)
     v.validate(p)
     assert ir.from_dict(ir.to_dict(p)) == p
-    assert p.sources[0].services == [] and p.transforms[1].aggregate.on_missing == "skip" and p.sinks[0].format == "text"
+    assert p.sources[0].services == ["north", "south", "west"] and p.transforms[1].aggregate.on_missing == "skip" and p.sinks[0].format == "text"
     v.validate(ir.loads(SPREAD))
     assert json.loads(ir.schema_text())["title"] == "Pipeline"
     with pytest.warns(UserWarning, match="unknown"):
@@ -106,10 +101,10 @@ def test_validation(pipeline, error):
 
 def test_generator_pipeline(spark):
     c = compile_pipeline(spark, ir.loads(LATENCY), records=90)
-    rows = plain(c.frames["windowed"])
-    assert {r["attrs"]["http.route"] for r in rows} == {"/", "/api/order", "/api/items"} and {r["attrs"]["service.name"] for r in rows} == {"checkout"}
+    rows = plain(c.frames["means"])
+    assert {r["attrs"]["http.route"] for r in rows} == {"/in", "/out"} and {r["attrs"]["service.name"] for r in rows} == {"north"}
     counts = {m["node"]: m for m in metrics.collect(c)}
-    assert counts["only"]["records.out"] == 30 and counts["only"]["records.dropped.filtered"] == 60 and counts["windowed"]["window.flushes"] == 4
+    assert counts["only"]["records.out"] == 30 and counts["only"]["records.dropped.filtered"] == 60 and counts["means"]["window.flushes"] == 5
 
 
 def test_join_pipeline(spark):
@@ -156,8 +151,8 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["schema"]) == 0 and '"title"' in capsys.readouterr().out
     assert cli.main(["run", str(f), "--records", "30", "--metrics"]) == 0
     out = capsys.readouterr()
-    assert "http.server.duration=" in out.out and '"records.out"' in out.err
-    assert cli.main(["inspect", str(f), "--records", "30"]) == 0 and "windowed (window)" in capsys.readouterr().out
+    assert " wait=" in out.out and '"records.out"' in out.err
+    assert cli.main(["inspect", str(f), "--records", "30"]) == 0 and "means (window)" in capsys.readouterr().out
     f.write_text("sources: [{type: stdin, id: a}]\nsinks: [{type: stdout, id: o, input: a, format: json}]")
     lines.write_text('{"ts_nanos":1,"name":"m","value":2.0}\n\nbad\n')
     assert cli.main(["run", str(f), "--input", f"a={lines}"]) == 0
