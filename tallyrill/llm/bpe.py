@@ -12,6 +12,8 @@ A safe place is a space or newline after an ASCII byte that is no white space: e
 ends before it or starts at it, whatever surrounds it, and no special token holds white space, so encoding the parts before
 and after it apart gives the ids of encoding both together. A document without agreement is encoded whole.
 
+A chunk has no longest length: a text in which no place is chosen is one chunk, encoded whole.
+
 A null text is empty and has no ids. Rows that repeat doc_id and text are encoded alike, each for itself.
 """
 

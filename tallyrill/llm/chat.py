@@ -8,7 +8,8 @@ and after each ``<`` that begins ``</turn>``, so neither mark occurs in an escap
 each pair of backslashes, or a single one, restores it. In roles a newline becomes ``\n`` besides.
 
 Turns are ordered by turn, role and text, nulls first. A null text or role is empty; a null conv_id is a conversation of
-its own; repeated rows are turns of their own.
+its own; repeated rows are turns of their own. A formatted conversation has 2 GB at most, as any string in Spark: a longer one
+fails the job, and nothing is cut.
 """
 
 from __future__ import annotations

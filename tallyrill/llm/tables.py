@@ -76,6 +76,11 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def clean(spark: SparkSession) -> None:
+    """Deletes all that this session's operators have written; what they returned can't be read any more."""
+    delete(spark, f"{shared_dir(spark)}/tallyrill/{spark.sparkContext.applicationId}")
+
+
 _SCOPES: list[list[tuple[SparkSession, str]]] = []
 
 
