@@ -579,5 +579,5 @@ def representatives(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     found = components(docs, k, num, den, unite=False)
     n = partitions(docs.sparkSession) * BUCKETS_A_PARTITION
     losing = written(found.where(F.struct("id", "tag") != F.col("component")).select("id", "tag").mapInArrow(_losing(n), BLOB))
-    rows = keyed(docs, F.struct(*(docs[c] for c in docs.columns)).alias("row")).select("id", "tag", "row")
+    rows = keyed(docs, F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns)).alias("row")).select("id", "tag", "row")
     return attach(rows, losing, n, _staying(docs.columns), docs.schema)

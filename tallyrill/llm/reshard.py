@@ -127,7 +127,7 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int = 8) -> P
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     id_ = docs["doc_id"].cast("long")
     rows = docs.select(
-        F.struct(*(docs[c] for c in docs.columns)).alias("row"),
+        F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns)).alias("row"),
         id_.alias("id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
