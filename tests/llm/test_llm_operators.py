@@ -458,6 +458,48 @@ def test_index_is_incremental(spark):
     assert {r.id for r in out.collect() if r.n_removed} >= {999}
 
 
+def test_batches_do_not_multiply_packed_rows(spark, monkeypatch):
+    """Steps that make a row from each task for each bucket are taken by all batches together, and find the same."""
+    docs, made, old = documents(3, 200), {}, spark.conf.get("spark.sql.shuffle.partitions")
+    rows = []
+
+    def counted(df):
+        out = tables.written(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(substring_index, "written", counted)
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        for batches in (1, 4):
+            rows.clear()
+            out = substring_index.remove_repeats(frame(spark, docs), 12, batches)
+            made[batches] = sum(rows)
+            assert {r.doc_id: (r.kept, r.n_words, r.n_removed) for r in out.collect()} == windows(docs, 12)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert made[1] > 144  # a row from each of 12 tasks for each of 12 buckets
+    assert made[4] < 2 * made[1], made
+
+
+def test_found_tells_of_all_batches_put(spark):
+    docs = documents(4)
+    kept = []
+    for at_once in (True, False):
+        index, found = substring_index.FingerprintIndex(spark, 12, most_runs=1), None
+        for part in (docs[:25], docs[25:50], docs[50:]):
+            if at_once:
+                index.put(frame(spark, part))
+            else:
+                own = index.add(frame(spark, part))
+                found = own if found is None else found.unionByName(own)
+        out = tables.attach(tables.keyed(frame(spark, docs)), index.found() if at_once else found, index.n, lambda: (substring_index.keep_words, None), substring_index.KEPT)
+        kept.append({r.id: (r.kept, r.n_words, r.n_removed) for r in out.collect()})
+        with pytest.raises(ValueError, match="no batch"):
+            index.found()
+    assert kept[0] == kept[1] == windows(docs, 12)
+
+
 def test_runs_are_merged():
     r = np.random.default_rng(3)
     kinds = {"fp": np.uint64, "sw": np.uint64, "sx": np.uint64, "id": np.int64, "tag": np.uint16, "pos": np.int64}
